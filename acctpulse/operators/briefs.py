@@ -164,6 +164,12 @@ def brief_gates(ctx: DataFrame, briefs: DataFrame) -> DataFrame:
     return hash_gate(hashed, briefs).withColumn("gate", gate)
 
 
+def brief_queue(gated: DataFrame) -> DataFrame:
+    """Gate of every account with the prompt of those that go on to the generator."""
+    prompt = F.when(F.col("gate") == "generate", F.col("prompt")).alias("prompt")
+    return brief_prompt(gated).select("company_id", "prompt_hash", "gate", prompt)
+
+
 RESPONSE_FIELDS = "company_id long, prompt_hash string, text string, input_tokens long, output_tokens long, error string"
 BatchFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -197,7 +203,9 @@ def generate(gated: DataFrame, fn: BatchFn, parallelism: int | None = None) -> D
     ``parallelism`` may spread them evenly over that many tasks. Store the result before using it twice:
     every evaluation calls the generator again.
     """
-    todo = brief_prompt(gated.filter(F.col("gate") == "generate")).select("company_id", "prompt_hash", "prompt")
+    todo = gated.filter(F.col("gate") == "generate")
+    todo = todo if "prompt" in todo.columns else brief_prompt(todo)
+    todo = todo.select("company_id", "prompt_hash", "prompt")
     if parallelism:
         todo = todo.repartition(parallelism, "company_id")
     return todo.mapInPandas(fn, RESPONSE_FIELDS)

@@ -47,8 +47,12 @@ STORE_SCHEMAS: dict[str, T.StructType] = {
     "alert_log": _schema(
         alert_id=_STR, company_id=_LONG, alert_type=_STR, message=_STR, acknowledged=_BOOL, created_at=_TS
     ),
+    "daily_log": _schema(
+        company_id=_LONG, event_date=_DATE, event_type=_STR, event_count=_LONG, unique_users=_LONG, max_id=_LONG
+    ),
     "alert_acks": _schema(alert_id=_STR, acknowledged_at=_TS),
     "sync_state": _schema(table_name=_STR, last_synced_id=_LONG, last_synced_at=_TS),
+    "brief_queue": _schema(company_id=_LONG, prompt_hash=_STR, gate=_STR, prompt=_STR),
     "responses": _schema(
         company_id=_LONG, prompt_hash=_STR, text=_STR, input_tokens=_LONG, output_tokens=_LONG, error=_STR
     ),

@@ -1,0 +1,120 @@
+"""The scoring rules, case by case."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from acctpulse.functions import scores as S
+from acctpulse.operators.scoring import PARTS, final_score, score_accounts, with_total
+
+AS_OF = datetime(2024, 1, 31, 12, 0)
+
+
+def evaluate(rows, schema, cases, column):
+    df = rows([(i, *c) for i, c in enumerate(cases)], f"i int, {schema}")
+    return [r.v for r in df.select("i", column.alias("v")).orderBy("i").collect()]
+
+
+def test_login_recency(rows):
+    ages = [timedelta(hours=2), timedelta(days=5), timedelta(days=10), timedelta(days=20), timedelta(days=60)]
+    cases = [(AS_OF - a,) for a in ages] + [(None,)]
+    got = evaluate(rows, "t timestamp_ntz", cases, S.login_recency(F.col("t"), AS_OF))
+    assert got == [25, 20, 15, 10, 0, 0]
+
+
+def test_login_recency_bounds_are_exact_and_inclusive(rows):
+    second = timedelta(seconds=1)
+    cases = [(AS_OF - timedelta(days=d) - extra,) for d in (3, 7, 14, 30) for extra in (timedelta(0), second)]
+    cases.append((AS_OF - timedelta(days=3, hours=12),))
+    got = evaluate(rows, "t timestamp_ntz", cases, S.login_recency(F.col("t"), AS_OF))
+    assert got == [25, 20, 20, 15, 15, 10, 10, 0, 20]
+
+
+def test_adoption(rows):
+    got = evaluate(rows, "n long", [(0,), (2,), (5,), (100,)], S.adoption_score(F.col("n")))
+    assert got == [0, 8, 20, 20]
+
+
+def test_tickets(rows):
+    cases = [(0, 0), (1, 1), (3, 3), (1, 3), (5, 5)]
+    got = evaluate(rows, "c long, o long", cases, S.ticket_score(F.col("c"), F.col("o")))
+    assert got == [20, 12, 0, 6, 0]
+
+
+def test_plan_tier(rows):
+    cases = [("enterprise",), ("pro",), ("starter",), ("trial",), ("unknown",), (None,)]
+    assert evaluate(rows, "p string", cases, S.plan_tier(F.col("p"))) == [15, 12, 8, 4, 4, 4]
+
+
+def test_seats(rows):
+    cases = [(10, 10), (5, 10), (0, 0), (1000, 10), (1, 8), (5, 8), (3, 0)]
+    got = evaluate(rows, "a long, n long", cases, S.seat_score(F.col("a"), F.col("n")))
+    assert got == [20, 10, 0, 20, 3, 13, 0]
+
+
+def test_seats_round_half_up_everywhere(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    pairs = spark.range(1, 101).select(F.col("id").alias("n")).select("n", F.explode(F.sequence(F.lit(0), "n")).alias("a"))
+    for r in pairs.select("a", "n", S.seat_score(F.col("a"), F.col("n")).alias("v")).collect():
+        exact = (Decimal(r.a) * 20 / Decimal(r.n)).quantize(Decimal(1), ROUND_HALF_UP)
+        assert r.v == min(int(exact), 20), (r.a, r.n)
+
+
+@pytest.mark.parametrize(
+    "age,types,critical,open_,plan,active,seats,churned,check",
+    [
+        (timedelta(hours=1), 5, 0, 0, "enterprise", 10, 10, False, lambda v: v == 100),
+        (timedelta(hours=1), 5, 0, 0, "enterprise", 10, 10, True, lambda v: v == 0),
+        (timedelta(days=45), 1, 2, 3, "trial", 0, 3, False, lambda v: v < 20),
+        (None, 0, 10, 10, "trial", 0, 1, False, lambda v: 0 <= v <= 100),
+    ],
+)
+def test_total(rows, age, types, critical, open_, plan, active, seats, churned, check):
+    row = (
+        1, "a", plan, 0, AS_OF if churned else None, AS_OF - age if age else None, types, critical, open_, active, seats
+    )
+    df = rows(
+        [row],
+        "company_id long, company_name string, plan string, mrr_cents long, churned_at timestamp_ntz, "
+        "last_login_at timestamp_ntz, distinct_event_types long, critical_tickets long, open_tickets long, "
+        "active_users_30d long, total_users long",
+    )
+    from acctpulse.operators.scoring import health_components
+
+    seated = df.withColumn("seat_score", S.seat_score(F.col("active_users_30d"), F.col("total_users")))
+    out = score_accounts(with_total(health_components(seated, None, AS_OF)), AS_OF).first()
+    assert check(out.score)
+    if churned:
+        # The components of a churned account keep their values.
+        assert sum(out.components) == 100
+
+
+def test_score_is_clamped(rows):
+    got = evaluate(
+        rows, "t int, c timestamp_ntz", [(-5, None), (140, None), (50, AS_OF)], final_score(F.col("t"), F.col("c"))
+    )
+    assert got == [0, 100, 0]
+    assert len(PARTS) == 5
+
+
+def test_at_risk(rows):
+    cases = [(50, 65, 10), (50, 65, 20), (50, 64, 5), (50, None, 0), (70, 55, 5), (50, 65, 14)]
+    data = [(cur, prev, AS_OF - timedelta(days=d), AS_OF) for cur, prev, d in cases]
+    data.append((50, 65, AS_OF - timedelta(days=14, hours=1), AS_OF))
+    flag = S.is_at_risk(F.col("p"), F.col("c"), F.col("pa"), F.col("ca"))
+    got = evaluate(rows, "c int, p int, pa timestamp_ntz, ca timestamp_ntz", data, flag)
+    assert got == [True, False, False, False, False, True, False]
+
+
+def test_score_moved_is_strict_and_passes_without_history(rows):
+    got = evaluate(
+        rows, "a int, b int", [(50, 55), (50, 56), (56, 50), (50, None), (None, None)], S.score_moved(F.col("a"), F.col("b"))
+    )
+    assert got == [False, True, True, True, True]
+
+
+def test_rules_under_ansi_mode_have_no_division_error(rows, spark):
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    assert evaluate(rows, "a long, n long", [(7, 0)], S.ratio_points(F.col("a"), F.col("n"), 20)) == [0]
