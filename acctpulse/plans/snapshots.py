@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acctpulse.functions import scores as rules
-from acctpulse.functions.times import as_of_col
-from acctpulse.operators.rollup import fanout_rows
 from acctpulse.operators.scoring import health_components, score_accounts, with_total
 
 WINDOW_DAYS = 30
@@ -22,40 +20,39 @@ EARLIEST = ("first_event_at",)
 
 
 class Slots:
-    """Ascending snapshot times as expressions. Slot ``n`` stands for "after the last snapshot"."""
+    """Ascending snapshot times; gives SQL text. Slot ``n`` stands for "after the last snapshot"."""
 
     def __init__(self, as_ofs: Sequence[str]):
-        self.times = sorted(str(a) for a in as_ofs)
+        self.times = [f"timestamp_ntz'{t}'" for t in sorted(str(a) for a in as_ofs)]
         self.n = len(self.times)
 
-    def _first(self, hit: Callable[[Column], Column], low: int = 0, high: int | None = None) -> Column:
+    def _first(self, hit: Callable[[str], str], low: int = 0, high: int | None = None) -> str:
         """Index of the first snapshot time for which ``hit`` holds (``n`` if none): a bisection in CASE form."""
         high = self.n if high is None else high
         if low == high:
-            return F.lit(low)
+            return str(low)
         mid = (low + high) // 2
-        return F.when(hit(as_of_col(self.times[mid])), self._first(hit, low, mid)).otherwise(
-            self._first(hit, mid + 1, high)
-        )
+        return f"if({hit(self.times[mid])}, {self._first(hit, low, mid)}, {self._first(hit, mid + 1, high)})"
 
-    def first_from(self, ts: Column) -> Column:
+    def first_from(self, ts: str) -> str:
         """First snapshot at or after ``ts``; NULL counts as "since ever"."""
-        return F.when(ts.isNull(), 0).otherwise(self._first(lambda at: at >= ts))
+        return f"if({ts} is null, 0, {self._first(lambda at: f'{at} >= {ts}')})"
 
-    def first_past_window(self, event_date: Column) -> Column:
+    def first_past_window(self, event_date: str) -> str:
         """First snapshot whose trailing window no longer reaches back to ``event_date``."""
-        return self._first(lambda at: F.date_sub(F.to_date(at), WINDOW_DAYS) > event_date)
+        return self._first(lambda at: f"date_sub(date({at}), {WINDOW_DAYS}) > {event_date}")
 
-    def rows(self) -> Column:
-        items = [F.struct(F.lit(i).alias("slot"), as_of_col(t).alias("scored_at")) for i, t in enumerate(self.times)]
-        return F.inline(F.array(*items))
+    def rows(self) -> str:
+        items = ", ".join(f"struct({i} as slot, {t} as scored_at)" for i, t in enumerate(self.times))
+        return f"inline(array({items}))"
 
 
-def _change(slot: Column, **values: Column | int) -> Column:
+def _change(slot: str, **values: str) -> str:
     """One state change at a slot, with every state column present."""
-    fields = {c: F.lit(values.get(c, 0)).cast("bigint") for c in COUNTERS}
-    fields |= {c: F.lit(values.get(c)).cast("timestamp_ntz") for c in (*LATEST, *EARLIEST)}
-    return F.struct(slot.cast("int").alias("slot"), *[v.alias(c) for c, v in fields.items()])
+    fields = [f"int({slot}) as slot"]
+    fields += [f"bigint({values.get(c, '0')}) as {c}" for c in COUNTERS]
+    fields += [f"cast({values.get(c, 'null')} as timestamp_ntz) as {c}" for c in (*LATEST, *EARLIEST)]
+    return f"struct({', '.join(fields)})"
 
 
 def _merge(changes: DataFrame, *keys: str) -> DataFrame:
@@ -67,27 +64,25 @@ def _merge(changes: DataFrame, *keys: str) -> DataFrame:
 
 
 def _user_changes(users: DataFrame, slots: Slots, login_event: str | None) -> DataFrame:
-    admin = F.when(F.col("role") == "admin", 1).otherwise(0)
-    changes = [_change(slots.first_from(F.col("created_at")), users=1, admins=admin)]
+    changes = [_change(slots.first_from("created_at"), users="1", admins="if(role = 'admin', 1, 0)")]
     if login_event is None:
         # Without login events the stored last login is all there is; it counts from its own time on.
-        login = F.col("last_login")
-        changes.append(_change(slots.first_from(login), last_login_at=login))
-    return users.select("company_id", F.inline(F.array(*changes)))
+        changes.append(_change(slots.first_from("last_login"), last_login_at="last_login"))
+    return users.selectExpr("company_id", f"inline(array({', '.join(changes)}))")
 
 
 def _ticket_changes(tickets: DataFrame, slots: Slots) -> DataFrame:
     """A ticket counts from its creation; it is open until it was resolved."""
-    opened = slots.first_from(F.col("created_at"))
-    closed = F.when(F.col("status") != "resolved", slots.n).otherwise(
-        F.when(F.col("resolved_at").isNull(), opened).otherwise(slots.first_from(F.col("resolved_at")))
-    )
-    spans = tickets.select("company_id", "severity", opened.alias("opened"), closed.alias("closed"))
-    live = F.when(F.col("opened") < F.col("closed"), 1).otherwise(0)
-    critical = F.when(F.col("severity") == "critical", live).otherwise(0)
-    start = _change(F.col("opened"), tickets=1, open=live, critical=critical)
-    end = _change(F.col("closed"), open=-live, critical=-critical)
-    return spans.select("company_id", F.inline(F.array(start, end)))
+    spans = tickets.selectExpr(
+        "company_id",
+        "severity",
+        f"{slots.first_from('created_at')} as opened",
+        f"if(status <> 'resolved', {slots.n}, {slots.first_from('coalesce(resolved_at, created_at)')}) as closed",
+    ).selectExpr("company_id", "severity", "opened", "closed", "if(opened < closed, 1, 0) as live")
+    critical = "if(severity = 'critical', live, 0)"
+    start = _change("opened", tickets="1", open="live", critical=critical)
+    end = _change("closed", open="-live", critical=f"-{critical}")
+    return spans.selectExpr("company_id", f"inline(array({start}, {end}))")
 
 
 def _event_changes(events: DataFrame, users: DataFrame, slots: Slots, seats: str, login_event: str | None):
@@ -100,49 +95,50 @@ def _event_changes(events: DataFrame, users: DataFrame, slots: Slots, seats: str
     """
     if seats not in ("distinct", "daily_sum"):
         raise ValueError(f"unknown seats: {seats}")
-    at = F.col("occurred_at")
-    in_time = events.filter(F.col("user_id").isNotNull() & (at <= as_of_col(slots.times[-1])))
-    keys = [F.col("user_id"), F.col("event_type"), slots.first_from(at).alias("slot")]
-    if seats == "daily_sum":
-        keys.append(F.to_date(at).alias("event_date"))
-    folded = in_time.groupBy(*keys).agg(
-        F.count("id").alias("n"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at")
+    daily = seats == "daily_sum"
+    keys = ["user_id", "event_type", f"{slots.first_from('occurred_at')} as slot"]
+    keys += ["date(occurred_at) as event_date"] if daily else []
+    folded = (
+        events.filter(f"user_id is not null and occurred_at <= {slots.times[-1]}")
+        .groupBy(*[F.expr(k) for k in keys])
+        .agg(F.count("id").alias("n"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"))
     )
-    owner = users.select(F.col("id").alias("user_id"), "company_id")
-    rows = folded.join(owner, "user_id")
+    rows = folded.join(users.selectExpr("id as user_id", "company_id"), "user_id")
 
     # Windows below share the join's partitioning by user; a user has few rows (types x slots, or x days).
-    by_user = Window.partitionBy("user_id").orderBy("slot")
-    seen = F.row_number().over(Window.partitionBy("user_id").orderBy("slot", "event_type"))
-    if seats == "distinct":
-        pick = F.row_number().over(Window.partitionBy("user_id", "slot").orderBy("event_type"))
-        newest = F.max("last_at").over(Window.partitionBy("user_id", "slot"))
-        following = F.min("slot").over(by_user.rangeBetween(1, Window.unboundedFollowing))
-        window_end = slots.first_past_window(F.to_date("newest"))
-        end = F.least(F.coalesce(F.col("following"), F.lit(slots.n)), window_end)
-        rows = rows.withColumns({"seen": seen, "pick": pick, "newest": newest, "following": following})
+    if daily:
+        picked = rows.selectExpr(
+            "*",
+            "row_number() over (partition by user_id order by slot, event_type, event_date) as seen",
+            "row_number() over (partition by user_id, event_date, event_type order by slot) as pick",
+            f"{slots.first_past_window('event_date')} as end",
+        )
     else:
-        pick = F.row_number().over(Window.partitionBy("user_id", "event_date", "event_type").orderBy("slot"))
-        seen = F.row_number().over(Window.partitionBy("user_id").orderBy("slot", "event_type", "event_date"))
-        end = slots.first_past_window(F.col("event_date"))
-        rows = rows.withColumns({"seen": seen, "pick": pick})
-    spans = rows.withColumn("end", end)
-    active = F.when((F.col("pick") == 1) & (F.col("slot") < F.col("end")), 1).otherwise(0)
-    login = F.when(F.col("event_type") == login_event, F.col("last_at")) if login_event else F.lit(None)
+        picked = rows.selectExpr(
+            "*",
+            "row_number() over (partition by user_id order by slot, event_type) as seen",
+            "row_number() over (partition by user_id, slot order by event_type) as pick",
+            "max(last_at) over (partition by user_id, slot) as newest",
+            """min(slot) over (partition by user_id order by slot
+                 range between 1 following and unbounded following) as following""",
+        ).selectExpr(
+            "*", f"least(coalesce(following, {slots.n}), {slots.first_past_window('date(newest)')}) as end"
+        )
+    active = "if(pick = 1 and slot < end, 1, 0)"
     start = _change(
-        F.col("slot"), events=F.col("n"), seen_users=F.when(F.col("seen") == 1, 1).otherwise(0), active=active,
-        first_event_at=F.col("first_at"), last_event_at=F.col("last_at"), last_login_at=login,
-    )
-    stop = _change(F.col("end"), active=-active)
-    merged = _merge(
-        spans.select("company_id", "event_type", F.inline(F.array(start, stop))).filter(F.col("slot") < slots.n),
-        "company_id", "event_type", "slot",
+        "slot", events="n", seen_users="if(seen = 1, 1, 0)", active=active, first_event_at="first_at",
+        last_event_at="last_at", last_login_at=f"if(event_type = '{login_event}', last_at, null)" if login_event else "null",
     )
+    stop = _change("end", active=f"-{active}")
+    changes = picked.selectExpr("company_id", "event_type", f"inline(array({start}, {stop}))")
+    merged = _merge(changes.filter(f"slot < {slots.n}"), "company_id", "event_type", "slot")
     # A type counts once, from its first slot with events.
-    first_slot = F.min(F.when(F.col("events") > 0, F.col("slot"))).over(Window.partitionBy("company_id", "event_type"))
-    return merged.withColumn("_first", first_slot).withColumn(
-        "types", F.when(F.col("event_type").isNotNull() & (F.col("slot") == F.col("_first")), 1).otherwise(0)
-    ).select("company_id", "slot", *[F.col(c).cast("bigint").alias(c) for c in COUNTERS], *LATEST, *EARLIEST)
+    first = "min(if(events > 0, slot, null)) over (partition by company_id, event_type)"
+    others = [c for c in COUNTERS if c != "types"]
+    return merged.selectExpr(
+        "company_id", "slot", *others, *LATEST, *EARLIEST,
+        f"bigint(if(event_type is not null and slot = {first}, 1, 0)) as types",
+    )
 
 
 def account_states(
@@ -162,44 +158,42 @@ def account_states(
     source is scanned once and the work is linear in its rows, whatever the number of snapshots.
     """
     slots = Slots(as_ofs)
-    users = users.filter(F.col("company_id").isNotNull())
-    tickets = tickets.filter(F.col("company_id").isNotNull())
+    users = users.filter("company_id is not null")
     branches = [
         _user_changes(users, slots, login_event),
-        _ticket_changes(tickets, slots),
+        _ticket_changes(tickets.filter("company_id is not null"), slots),
         _event_changes(events, users, slots, seats, login_event),
     ]
-    changes = reduce(DataFrame.unionByName, branches).filter(F.col("slot") < slots.n)
+    changes = reduce(DataFrame.unionByName, branches).filter(f"slot < {slots.n}")
     merged = _merge(changes, "company_id", "slot")
-    grid = companies.withColumnRenamed("id", "company_id").select("*", slots.rows())
-    running = Window.partitionBy("company_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    state = grid.join(merged, ["company_id", "slot"], "left").withColumns(
-        {c: F.coalesce(F.sum(c).over(running), F.lit(0)) for c in COUNTERS}
-        | {c: F.max(c).over(running) for c in LATEST}
-        | {c: F.min(c).over(running) for c in EARLIEST}
+    grid = companies.withColumnRenamed("id", "company_id").selectExpr("*", slots.rows())
+    running = "over (partition by company_id order by slot rows between unbounded preceding and current row)"
+    attributes = ["company_id", "name", "plan", "mrr_cents", "churned_at", "created_at", "scored_at"]
+    state = grid.join(merged, ["company_id", "slot"], "left").selectExpr(
+        *attributes,
+        *[f"coalesce(sum({c}) {running}, 0) as {c}" for c in COUNTERS],
+        *[f"max({c}) {running} as {c}" for c in LATEST],
+        *[f"min({c}) {running} as {c}" for c in EARLIEST],
     )
-    existing = F.col("created_at").isNull() | (F.col("created_at") <= F.col("scored_at"))
-    n_events, n_open, n_critical = F.col("events"), F.col("open"), F.col("critical")
+    n_events, rows = ("events", "1")
     if mode == "fanout":
-        rows = fanout_rows(n_events, F.col("users"), F.col("seen_users"))
-        n_events = n_events * F.greatest(F.col("tickets"), F.lit(1))
-        n_open, n_critical = n_open * rows, n_critical * rows
-    return state.filter(existing).select(
+        n_events, rows = "events * greatest(tickets, 1)", "greatest(events + users - seen_users, 1)"
+    return state.filter("created_at is null or created_at <= scored_at").selectExpr(
         "company_id",
-        F.col("name").alias("company_name"),
+        "name as company_name",
         "plan",
         "mrr_cents",
-        F.when(F.col("churned_at") <= F.col("scored_at"), F.col("churned_at")).alias("churned_at"),
-        F.col("users").alias("total_users"),
-        F.col("admins").alias("admin_count"),
+        "if(churned_at <= scored_at, churned_at, null) as churned_at",
+        "users as total_users",
+        "admins as admin_count",
         "last_login_at",
         "first_event_at",
         "last_event_at",
-        n_events.alias("total_events"),
-        F.col("types").alias("distinct_event_types"),
-        n_open.alias("open_tickets"),
-        n_critical.alias("critical_tickets"),
-        F.col("active").alias("active_users_30d"),
+        f"{n_events} as total_events",
+        "types as distinct_event_types",
+        f"open * {rows} as open_tickets",
+        f"critical * {rows} as critical_tickets",
+        "active as active_users_30d",
         "scored_at",
     )
 

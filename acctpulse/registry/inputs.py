@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acctpulse.functions.text import content_hash
+from acctpulse.operators import alerts as AL
 from acctpulse.operators import briefs as B
 from acctpulse.operators.daily import active_users_30d, events_daily, with_seats
 from acctpulse.operators.rollup import account_rollup
 from acctpulse.operators.scoring import current_health, health_components, score_accounts
 from acctpulse.operators.trend import flag_history
 from acctpulse.plans.snapshots import score_snapshots
+from acctpulse.session import staged
 from acctpulse.sources import adapters
 
 AS_OF = "2024-01-31 00:00:00"
@@ -97,6 +99,10 @@ class Inputs:
         """Score history as weekly runs would have stored it."""
         return flag_history(self.snapshots())
 
+    def stage_scores(self) -> None:
+        """Compute the history once, for queries that use it in several branches."""
+        self.scores = staged(self.scores, "scores")
+
     @cached_property
     def notes(self) -> DataFrame:
         return adapters.notes(self.spark, self.sf_dir)
@@ -133,10 +139,6 @@ class Inputs:
             "generated_at",
         )
 
-    @cached_property
-    def briefs(self) -> DataFrame:
-        return self.briefs_for(self.context)
-
     @cached_property
     def plain_briefs(self) -> DataFrame:
         """Stored briefs that do not depend on a context."""
@@ -147,10 +149,34 @@ class Inputs:
             )
         )
 
+    # The brief queries use the context in several branches, so it is staged once per query.
+
+    @cached_property
+    def staged_context(self) -> DataFrame:
+        return staged(self.context, "context")
+
+    @cached_property
+    def briefs(self) -> DataFrame:
+        return self.briefs_for(self.staged_context)
+
     @cached_property
     def gated(self) -> DataFrame:
-        return B.brief_gates(self.context, self.briefs)
+        return B.brief_gates(self.staged_context, self.briefs)
+
+    @cached_property
+    def queue(self) -> DataFrame:
+        return staged(B.brief_queue(self.gated), "queue")
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """Generator output, stored before it is used: evaluating it again would call the generator again."""
+        return staged(B.generate(self.queue, stub_generator()), "answers")
+
+    @cached_property
+    def at_risk(self) -> DataFrame:
+        names = self.companies.selectExpr("id as company_id", "name as company_name", "plan")
+        return AL.at_risk_accounts(self.scores, names)
 
     @cached_property
-    def responses(self) -> DataFrame:
-        return B.generate(self.gated, stub_generator())
+    def staged_at_risk(self) -> DataFrame:
+        return staged(self.at_risk, "at_risk")

@@ -17,7 +17,7 @@ from acctpulse.operators import quality as Q
 from acctpulse.operators import scoring as S
 from acctpulse.operators import trend as T
 from acctpulse.plans.counters import run_counters
-from acctpulse.registry.inputs import AS_OF, BATCH_CUTS, DENSE_SNAPSHOTS, SCAN_AT, Inputs
+from acctpulse.registry.inputs import AS_OF, BATCH_CUTS, DENSE_SNAPSHOTS, MODEL, SCAN_AT, Inputs
 from acctpulse.sources import adapters
 from acctpulse.sources import readers as R
 from acctpulse.sources.drift import schema_drift
@@ -276,29 +276,25 @@ def _newest_run(i: Inputs) -> DataFrame:
 # --- alerts -----------------------------------------------------------------------------------------------------
 
 
-def _at_risk(i: Inputs, current_only: bool = False) -> DataFrame:
-    names = i.companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"), "plan")
-    return AL.at_risk_accounts(i.scores, names, current_only)
-
-
 @query
 def at_risk_accounts(i):
-    return _at_risk(i)
+    return i.at_risk
 
 
 @query
 def at_risk_accounts_current(i):
-    return _at_risk(i, current_only=True)
+    names = i.companies.selectExpr("id as company_id", "name as company_name", "plan")
+    return AL.at_risk_accounts(i.scores, names, current_only=True)
 
 
 @query
 def new_alerts(i):
-    return AL.new_alerts(_at_risk(i), i.alerts, SCAN_AT)
+    return AL.new_alerts(i.at_risk, i.alerts, SCAN_AT)
 
 
 @query
 def chat_alerts(i):
-    fresh = _at_risk(i).join(AL.alerted_today(i.alerts, SCAN_AT), "company_id", "left_anti")
+    fresh = i.at_risk.join(AL.alerted_today(i.alerts, SCAN_AT), "company_id", "left_anti")
     return fresh.select(
         "company_id", chat_message(F.col("company_name"), F.col("plan"), F.col("score")).alias("text")
     )
@@ -306,13 +302,13 @@ def chat_alerts(i):
 
 @query
 def alert_run_summary(i):
-    at_risk = _at_risk(i)
+    at_risk = i.staged_at_risk
     return AL.alert_summary(at_risk, AL.new_alerts(at_risk, i.alerts, SCAN_AT))
 
 
 @query
 def alert_digest(i):
-    return AL.alert_digest(_at_risk(i), SCAN_AT)
+    return AL.alert_digest(i.staged_at_risk, SCAN_AT)
 
 
 def _named(i: Inputs) -> DataFrame:
@@ -413,7 +409,7 @@ def brief_gate_score_change(i):
 
 @query
 def brief_gate_hash(i):
-    return B.hash_gate(i.context, i.briefs).select("company_id", "prompt_hash", "stored_hash", "changed")
+    return B.hash_gate(i.staged_context, i.briefs).select("company_id", "prompt_hash", "stored_hash", "changed")
 
 
 @query
@@ -423,7 +419,7 @@ def brief_gates(i):
 
 @query
 def generated_briefs(i):
-    return B.to_briefs(i.responses, "stub-1", AS_OF)
+    return B.to_briefs(i.answers, MODEL, AS_OF)
 
 
 @query
@@ -435,18 +431,19 @@ def parse_briefs(i):
 
 @query
 def brief_run_summary(i):
-    return B.brief_summary(i.gated, B.to_briefs(i.responses, "stub-1", AS_OF))
+    return B.brief_summary(i.queue, B.to_briefs(i.answers, MODEL, AS_OF))
 
 
 @query
 def run_summary(i):
-    at_risk = _at_risk(i)
+    i.stage_scores()
+    at_risk = i.staged_at_risk
     return run_counters(
         accounts=i.accounts,
-        daily=D.events_daily(i.events, i.users),
-        scores=_newest_run(i),
-        gated=i.gated,
-        briefs=B.to_briefs(i.responses, "stub-1", AS_OF),
+        daily=i.daily,
+        scores=i.scores.filter(F.col("scored_at") == F.lit(AS_OF).cast("timestamp_ntz")),
+        gated=i.queue,
+        briefs=B.to_briefs(i.answers, MODEL, AS_OF),
         at_risk=at_risk,
         alerts=AL.new_alerts(at_risk, i.alerts, SCAN_AT),
     )

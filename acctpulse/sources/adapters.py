@@ -6,24 +6,18 @@ event an event, every conversation turn a note and every document a generator re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from acctpulse.functions.text import content_hash
-from acctpulse.functions.times import days
-
-_LONG, _INT, _STR, _DBL, _TS = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType(), T.TimestampNTZType()
-
-RAW_SCHEMAS: dict[str, dict[str, T.DataType]] = {
-    "supplier": {"s_suppkey": _LONG, "s_name": _STR, "s_nationkey": _INT, "s_acctbal": _DBL},
-    "customer": {"c_custkey": _LONG, "c_name": _STR, "c_nationkey": _INT},
-    "orders": {
-        "o_orderkey": _LONG, "o_custkey": _LONG, "o_orderstatus": _STR, "o_orderdate": _TS, "o_orderpriority": _STR
-    },
-    "events": {"event_id": _LONG, "ts": _TS, "user_id": _LONG, "event_type": _STR, "props": _STR},
-    "documents": {"doc_id": _LONG, "text": _STR},
-    "conversations": {"conv_id": _LONG, "turn": _LONG, "role": _STR, "text": _STR},
+
+RAW_SCHEMAS: dict[str, str] = {
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string",
+    "documents": "doc_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 LOGIN_EVENT = "signup"
@@ -34,86 +28,64 @@ OPEN_SINCE = "2001-06-15"
 UNKNOWN_ACCOUNT = 1_000_000_000
 
 
-def _ts(text: str):
-    return F.lit(text).cast("timestamp_ntz")
-
-
 def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    schema = T.StructType([T.StructField(n, t) for n, t in RAW_SCHEMAS[table].items()])
-    return spark.read.schema(schema).parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(RAW_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _company_count(spark: SparkSession, sf_dir: str):
+def _company_count(spark: SparkSession, sf_dir: str) -> Column:
     """Number of companies as an uncorrelated scalar subquery."""
     return raw(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = F.col("s_nationkey") % 5
-    plan = (
-        F.when(nation == 0, "trial").when(nation == 1, "starter").when(nation == 2, "pro")
-        .when(nation == 3, "enterprise").otherwise("legacy")
-    )
-    churned = _ts("2024-01-05 00:00:00") + F.make_dt_interval((F.col("s_suppkey") % 25).cast("int"))
-    return raw(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("id"),
-        F.col("s_name").alias("name"),
-        plan.alias("plan"),
-        (F.floor(F.greatest("s_acctbal", F.lit(0.0))).cast("bigint") * 100).alias("mrr_cents"),
-        F.when(F.col("s_acctbal") < 0, churned).alias("churned_at"),
-        _ts("2023-06-01 00:00:00").alias("created_at"),
+    return raw(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey as id",
+        "s_name as name",
+        """element_at(array('trial', 'starter', 'pro', 'enterprise', 'legacy'), s_nationkey % 5 + 1) as plan""",
+        "bigint(floor(greatest(s_acctbal, 0.0d))) * 100 as mrr_cents",
+        "if(s_acctbal < 0, timestamp_ntz'2024-01-05' + make_dt_interval(int(s_suppkey % 25)), null) as churned_at",
+        "timestamp_ntz'2023-06-01' as created_at",
     )
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     logins = (
-        events(spark, sf_dir).filter(F.col("event_type") == LOGIN_EVENT)
+        events(spark, sf_dir).filter(f"event_type = '{LOGIN_EVENT}'")
         .groupBy("user_id").agg(F.max("occurred_at").alias("last_login"))
     )
-    nation = F.col("c_nationkey") % 5
-    return (
-        raw(spark, sf_dir, "customer")
-        .join(logins, F.col("c_custkey") == F.col("user_id"), "left")
-        .select(
-            F.col("c_custkey").alias("id"),
-            F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
-            (F.col("c_custkey") % _company_count(spark, sf_dir)).alias("company_id"),
-            F.when(nation == 0, "admin").when(nation == 4, "viewer").otherwise("member").alias("role"),
-            _ts("2023-06-15 00:00:00").alias("created_at"),
-            "last_login",
-        )
+    people = raw(spark, sf_dir, "customer").withColumn("company_id", F.col("c_custkey") % _company_count(spark, sf_dir))
+    return people.join(logins, F.expr("c_custkey = user_id"), "left").selectExpr(
+        "c_custkey as id",
+        "concat(lower(c_name), '@example.com') as email",
+        "company_id",
+        "case c_nationkey % 5 when 0 then 'admin' when 4 then 'viewer' else 'member' end as role",
+        "timestamp_ntz'2023-06-15' as created_at",
+        "last_login",
     )
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"),
-        "user_id",
-        "event_type",
-        F.col("ts").alias("occurred_at"),
-        F.col("props").alias("metadata"),
+    return raw(spark, sf_dir, "events").selectExpr(
+        "event_id as id", "user_id", "event_type", "ts as occurred_at", "props as metadata"
     )
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = F.col("o_orderdate") < _ts(f"{OPEN_SINCE} 00:00:00")
-    status = (
-        F.when(old | (F.col("o_orderstatus") == "F"), "resolved")
-        .when(F.col("o_orderstatus") == "O", "open").otherwise("pending")
-    )
-    priority = F.substring("o_orderpriority", 1, 1)
-    severity = (
-        F.when(priority == "1", "critical").when(priority == "2", "high")
-        .when(priority == "3", "medium").otherwise("low")
+    levels = "map('1', 'critical', '2', 'high', '3', 'medium')"
+    orders = raw(spark, sf_dir, "orders").withColumns(
+        {
+            "company_id": F.col("o_custkey") % _company_count(spark, sf_dir),
+            "done": F.expr(f"o_orderdate < timestamp_ntz'{OPEN_SINCE}' or o_orderstatus = 'F'"),
+        }
     )
-    return raw(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        (F.col("o_custkey") % _company_count(spark, sf_dir)).alias("company_id"),
-        F.concat(F.lit("ticket "), F.col("o_orderkey").cast("string")).alias("subject"),
-        status.alias("status"),
-        severity.alias("severity"),
-        (F.col("o_orderdate") + days(ORDER_SHIFT_DAYS)).alias("created_at"),
-        F.when(status == "resolved", F.col("o_orderdate") + days(ORDER_SHIFT_DAYS + 1)).alias("resolved_at"),
+    return orders.selectExpr(
+        "o_orderkey as id",
+        "company_id",
+        "concat('ticket ', o_orderkey) as subject",
+        "case when done then 'resolved' when o_orderstatus = 'O' then 'open' else 'pending' end as status",
+        f"coalesce(element_at({levels}, left(o_orderpriority, 1)), 'low') as severity",
+        f"o_orderdate + interval {ORDER_SHIFT_DAYS} days as created_at",
+        f"if(done, o_orderdate + interval {ORDER_SHIFT_DAYS + 1} days, null) as resolved_at",
     )
 
 
@@ -126,38 +98,35 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as account notes. Some of them name an account that does not exist."""
-    known = F.col("conv_id") % _company_count(spark, sf_dir)
-    company = F.when(F.col("conv_id") % 10 == 7, F.col("conv_id") + UNKNOWN_ACCOUNT).otherwise(known)
-    created = (
-        _ts("2024-01-02 00:00:00")
-        + F.make_dt_interval((F.col("conv_id") % 20).cast("int"), F.col("turn").cast("int"))
-        + F.make_dt_interval(mins=F.floor(F.col("conv_id") / 20).cast("int"))
-    )
-    return raw(spark, sf_dir, "conversations").select(
-        content_hash(F.col("conv_id"), F.col("turn")).alias("note_id"),
-        company.alias("company_id"),
-        F.col("role").alias("author"),
-        F.col("text").alias("note"),
-        created.alias("created_at"),
+    turns = raw(spark, sf_dir, "conversations").withColumn("known", F.col("conv_id") % _company_count(spark, sf_dir))
+    rows = turns.selectExpr(
+        "conv_id",
+        "turn",
+        f"if(conv_id % 10 = 7, conv_id + {UNKNOWN_ACCOUNT}, known) as company_id",
+        "role as author",
+        "text as note",
+        """timestamp_ntz'2024-01-02'
+             + make_dt_interval(int(conv_id % 20), int(turn), int(floor(conv_id / 20)), 0) as created_at""",
     )
+    note_id = content_hash(F.col("conv_id"), F.col("turn")).alias("note_id")
+    return rows.select(note_id, "company_id", "author", "note", "created_at")
 
 
 def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alert per critical ticket and per account, partly acknowledged; some accounts do not exist."""
-    critical = tickets(spark, sf_dir).filter(F.col("severity") == "critical").select(
-        (F.col("company_id") + F.when(F.col("id") % 50 == 0, UNKNOWN_ACCOUNT).otherwise(0)).alias("company_id"),
-        F.lit("critical_ticket").alias("alert_type"),
-        F.concat(F.lit("critical: "), F.col("subject")).alias("message"),
-        (F.col("id") % 3 == 0).alias("acknowledged"),
+    critical = tickets(spark, sf_dir).filter("severity = 'critical'").selectExpr(
+        f"company_id + if(id % 50 = 0, {UNKNOWN_ACCOUNT}, 0) as company_id",
+        "'critical_ticket' as alert_type",
+        "concat('critical: ', subject) as message",
+        "id % 3 = 0 as acknowledged",
         "created_at",
     )
-    drops = companies(spark, sf_dir).select(
-        F.col("id").alias("company_id"),
-        F.lit("score_drop").alias("alert_type"),
-        F.concat(F.lit("drop: "), F.col("name")).alias("message"),
-        (F.col("id") % 4 == 0).alias("acknowledged"),
-        F.when(F.col("id") % 2 == 0, _ts("2024-01-31 00:30:00")).otherwise(_ts("2024-01-30 09:00:00"))
-        .alias("created_at"),
+    drops = companies(spark, sf_dir).selectExpr(
+        "id as company_id",
+        "'score_drop' as alert_type",
+        "concat('drop: ', name) as message",
+        "id % 4 = 0 as acknowledged",
+        "if(id % 2 = 0, timestamp_ntz'2024-01-31 00:30:00', timestamp_ntz'2024-01-30 09:00:00') as created_at",
     )
     log = critical.unionByName(drops)
     alert_id = content_hash(F.col("company_id"), F.col("alert_type"), F.col("message"))
@@ -166,16 +135,14 @@ def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as generator responses: bare text, complete and partial JSON objects, arrays, mixed text."""
-    kind = F.col("doc_id") % 6
-    options = {"ignoreNullFields": "false"}
-    full = F.to_json(F.struct(F.col("text").alias("summary"), F.lit("call them").alias("recommended_action")), options)
-    partial = F.to_json(F.struct(F.col("text").alias("summary")), options)
-    body = (
-        F.when(kind == 0, full)
-        .when(kind == 1, F.concat(F.lit("  \n"), partial, F.lit("\n ")))
-        .when(kind == 2, F.to_json(F.array("text")))
-        .when(kind == 3, F.concat(F.lit("Here it is: "), partial))
-        .when(kind == 4, F.lit('{"summary": null, "recommended_action": "x"}'))
-        .otherwise(F.concat(F.lit(" "), F.col("text"), F.lit(" ")))
+    partial = "to_json(named_struct('summary', text))"
+    return raw(spark, sf_dir, "documents").selectExpr(
+        "doc_id as company_id",
+        f"""case doc_id % 6
+              when 0 then to_json(named_struct('summary', text, 'recommended_action', 'call them'))
+              when 1 then concat('  \\n', {partial}, '\\n ')
+              when 2 then to_json(array(text))
+              when 3 then concat('Here it is: ', {partial})
+              when 4 then '{{"summary": null, "recommended_action": "x"}}'
+              else concat(' ', text, ' ') end as text""",
     )
-    return raw(spark, sf_dir, "documents").select(F.col("doc_id").alias("company_id"), body.alias("text"))
