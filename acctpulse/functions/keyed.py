@@ -37,24 +37,24 @@ def previous_row(df: DataFrame, key: str, ts: str, cols: Sequence[str], bucket:
     """Add ``prev_<col>`` from the preceding row of the same key, over the whole history.
 
     A plain ``lag`` would sort all rows of a key in one task. Here rows are windowed per (key, calendar
-    bucket), and only one boundary row per bucket is carried over to the next non-empty bucket.
+    bucket), and the first row of a bucket takes the last values of the preceding non-empty bucket. Those
+    come from an aggregation that combines in the map tasks, so only one row per bucket is carried over.
     """
+    bucketed = df.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
     w = Window.partitionBy(key, "_bucket").orderBy(ts)
-    row = F.struct(*[F.col(c) for c in cols])
-    inside = df.withColumn("_bucket", F.date_trunc(bucket, F.col(ts))).select(
-        "*",
-        F.lag(row).over(w).alias("_prev"),
-        F.row_number().over(w).alias("_pos"),
-        F.lead(F.lit(1)).over(w).alias("_more"),
+    inside = bucketed.select(
+        "*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in cols], F.row_number().over(w).alias("_pos")
     )
-    carry = inside.filter(F.col("_more").isNull()).select(
-        F.col(key).alias("_key"),
-        F.col("_bucket").alias("_b"),
-        F.lag(row).over(Window.partitionBy(key).orderBy("_bucket")).alias("_carry"),
+    last = bucketed.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_b")).agg(
+        *[F.max_by(c, ts).alias(f"_last_{c}") for c in cols]
     )
-    on = (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_b")) & (F.col("_pos") == 1)
-    out = inside.join(carry, on, "left").withColumn("_prev", F.coalesce("_prev", "_carry"))
-    return out.select(*df.columns, *[F.col("_prev")[c].alias(f"prev_{c}") for c in cols])
+    by_bucket = Window.partitionBy("_key").orderBy("_b")
+    carry = last.select("_key", "_b", *[F.lag(f"_last_{c}").over(by_bucket).alias(f"_carry_{c}") for c in cols])
+    on = (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_b"))
+    prev = [
+        F.when(F.col("_pos") == 1, F.col(f"_carry_{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}") for c in cols
+    ]
+    return inside.join(carry, on, "left").select(*df.columns, *prev)
 
 
 def spread_semi(

@@ -82,7 +82,7 @@ def _ticket_changes(tickets: DataFrame, slots: Slots) -> DataFrame:
     critical = "if(severity = 'critical', live, 0)"
     start = _change("opened", tickets="1", open="live", critical=critical)
     end = _change("closed", open="-live", critical=f"-{critical}")
-    return spans.selectExpr("company_id", f"inline(array({start}, {end}))")
+    return spans.selectExpr("company_id", f"inline(if(live = 1, array({start}, {end}), array({start})))")
 
 
 def _event_changes(events: DataFrame, users: DataFrame, slots: Slots, seats: str, login_event: str | None):
@@ -119,8 +119,10 @@ def _event_changes(events: DataFrame, users: DataFrame, slots: Slots, seats: str
             "row_number() over (partition by user_id order by slot, event_type) as seen",
             "row_number() over (partition by user_id, slot order by event_type) as pick",
             "max(last_at) over (partition by user_id, slot) as newest",
-            """min(slot) over (partition by user_id order by slot
-                 range between 1 following and unbounded following) as following""",
+        ).selectExpr(
+            "*",
+            """lead(if(pick = 1, slot, null)) ignore nulls over (partition by user_id order by slot, event_type)
+                 as following""",
         ).selectExpr(
             "*", f"least(coalesce(following, {slots.n}), {slots.first_past_window('date(newest)')}) as end"
         )
@@ -130,7 +132,9 @@ def _event_changes(events: DataFrame, users: DataFrame, slots: Slots, seats: str
         last_event_at="last_at", last_login_at=f"if(event_type = '{login_event}', last_at, null)" if login_event else "null",
     )
     stop = _change("end", active=f"-{active}")
-    changes = picked.selectExpr("company_id", "event_type", f"inline(array({start}, {stop}))")
+    changes = picked.selectExpr(
+        "company_id", "event_type", f"inline(if({active} = 1, array({start}, {stop}), array({start})))"
+    )
     merged = _merge(changes.filter(f"slot < {slots.n}"), "company_id", "event_type", "slot")
     # A type counts once, from its first slot with events.
     first = "min(if(events > 0, slot, null)) over (partition by company_id, event_type)"
