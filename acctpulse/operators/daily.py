@@ -71,7 +71,11 @@ def advance_watermark(state: DataFrame, table: str, batch: DataFrame, as_of: AsO
     new = max_id(batch).filter(F.col("last_synced_id").isNotNull()).select(
         F.lit(table).alias("table_name"), "last_synced_id", as_of_col(as_of).alias("last_synced_at")
     )
-    return state.join(new, "table_name", "left_anti").unionByName(new)
+    both = state.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)))
+    return both.groupBy("table_name").agg(
+        F.max_by("last_synced_id", "_turn").alias("last_synced_id"),
+        F.max_by("last_synced_at", "_turn").alias("last_synced_at"),
+    )
 
 
 def watermark(state: DataFrame, table: str, default: int = NO_MARK) -> int:
