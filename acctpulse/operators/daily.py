@@ -17,7 +17,29 @@ def user_days(events: DataFrame) -> DataFrame:
     """One row per (user, day, type). Every later distinct count is a plain count of these rows."""
     return events.filter(F.col("user_id").isNotNull()).groupBy(
         "user_id", F.to_date("occurred_at").alias("event_date"), "event_type"
-    ).agg(F.count("*").alias("events"), F.max("id").alias("max_id"))
+    ).agg(
+        F.count("*").alias("events"),
+        F.max("id").alias("max_id"),
+        F.min("occurred_at").alias("first_at"),
+        F.max("occurred_at").alias("last_at"),
+    )
+
+
+def fold_user_days(log: DataFrame) -> DataFrame:
+    """(user, day, type) rows of any number of batches as if they had been one."""
+    return log.groupBy("user_id", "event_date", "event_type").agg(
+        F.sum("events").alias("events"),
+        F.max("max_id").alias("max_id"),
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+    )
+
+
+def activity_of(log: DataFrame) -> DataFrame:
+    """(user, type) activity for :func:`acctpulse.operators.rollup.account_rollup` from a log of user days."""
+    return log.groupBy("user_id", "event_type").agg(
+        F.sum("events").alias("events"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
+    )
 
 
 def events_with_company(user_rows: DataFrame, users: DataFrame) -> DataFrame:
@@ -26,16 +48,21 @@ def events_with_company(user_rows: DataFrame, users: DataFrame) -> DataFrame:
     return user_rows.join(owner, "user_id")
 
 
-def events_daily(events: DataFrame, users: DataFrame, hwm: int | Column | None = None) -> DataFrame:
-    """New events per company, day and type: event count, distinct users and highest id."""
-    fresh = events if hwm is None else incremental(events, hwm)
-    return events_with_company(user_days(fresh), users).groupBy(*DAILY_KEYS).agg(
+def facts_of(user_rows: DataFrame, users: DataFrame) -> DataFrame:
+    """Daily facts from (user, day, type) rows."""
+    return events_with_company(user_rows, users).groupBy(*DAILY_KEYS).agg(
         F.sum("events").alias("event_count"),
         F.count("*").alias("unique_users"),
         F.max("max_id").alias("max_id"),
     )
 
 
+def events_daily(events: DataFrame, users: DataFrame, hwm: int | Column | None = None) -> DataFrame:
+    """New events per company, day and type: event count, distinct users and highest id."""
+    fresh = events if hwm is None else incremental(events, hwm)
+    return facts_of(user_days(fresh), users)
+
+
 def fold_daily(log: DataFrame) -> DataFrame:
     """State of the daily facts after any number of batches: counts add up, uniques keep the largest.
 

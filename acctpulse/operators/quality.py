@@ -19,6 +19,8 @@ NOT_NULL = {
     "crm_notes": ("company_id", "author", "note"),
     "alert_log": ("company_id", "alert_type"),
 }
+# Links that may be NULL in the source; such rows belong to no account and are left out of every measure.
+LINKS = {"users": ("company_id",), "events": ("user_id",), "tickets": ("company_id",)}
 DOMAINS = {
     ("companies", "plan"): PLANS,
     ("users", "role"): ROLES,
@@ -39,6 +41,7 @@ FOREIGN = (("users", "company_id", "companies"), ("events", "user_id", "users"),
 def row_rules(table: str) -> dict[str, Column]:
     """Rules a single row can break: a NULL breaks NOT NULL only."""
     rules = {f"{table}.{c} not null": F.col(c).isNull() for c in NOT_NULL.get(table, ())}
+    rules |= {f"{table}.{c} present": F.col(c).isNull() for c in LINKS.get(table, ())}
     for (owner, column), allowed in DOMAINS.items():
         if owner == table:
             rules[f"{table}.{column} in domain"] = ~F.col(column).isin(*allowed)

@@ -61,21 +61,31 @@ def fanout_rows(events, total_users, users_with_events):
 
 
 def account_rollup(
-    companies: DataFrame, users: DataFrame, events: DataFrame, tickets: DataFrame, as_of: AsOf, mode: str = "exact"
+    companies: DataFrame,
+    users: DataFrame,
+    events: DataFrame,
+    tickets: DataFrame,
+    as_of: AsOf,
+    mode: str = "exact",
+    activity: DataFrame | None = None,
 ) -> DataFrame:
     """Account dimension in one of two modes.
 
     ``exact`` counts every event and ticket once. ``fanout`` returns what one four-way LEFT JOIN over the
     same tables returns, where each event row meets each ticket row of its company: the inflated counts come
     from the branch totals by multiplication, and the product itself is never built.
+
+    ``activity`` may give the (user, type) rows of :func:`user_activity` from a log, so that the events are
+    not scanned again.
     """
     fanout = mode == "fanout"
     if mode not in ("exact", "fanout"):
         raise ValueError(f"unknown mode: {mode}")
+    activity = user_activity(events) if activity is None else activity
     joined = (
         companies.withColumnRenamed("id", "company_id")
         .join(user_measures(users), "company_id", "left")
-        .join(event_measures(user_activity(events), users, count_users=fanout), "company_id", "left")
+        .join(event_measures(activity, users, count_users=fanout), "company_id", "left")
         .join(ticket_measures(tickets), "company_id", "left")
     )
     n_events, n_tickets = or_zero(F.col("events")), or_zero(F.col("tickets"))

@@ -21,6 +21,7 @@ from acctpulse.operators.rollup import account_rollup
 from acctpulse.operators.scoring import current_health, health_components, score_accounts
 from acctpulse.operators.trend import flag_new
 from acctpulse.plans.counters import run_counters
+from acctpulse.sources.readers import incremental
 from acctpulse.sources.store import APPEND, REPLACE, Store
 
 log = logging.getLogger(__name__)
@@ -51,32 +52,44 @@ def alert_rows(store: Store) -> DataFrame:
     return AL.acknowledge(store.read("alert_log"), store.read("alert_acks"))[0]
 
 
-def sync_accounts(sources: dict[str, DataFrame], store: Store, as_of: str, mode: str = "exact") -> None:
+def sync_accounts(
+    sources: dict[str, DataFrame], store: Store, as_of: str, mode: str = "exact", from_log: bool = False
+) -> None:
+    """Rebuild the account dimension; with ``from_log`` out of the stored user days instead of all events."""
     batch_id = batch_of(as_of)
     if store.committed("dim_accounts", batch_id):
         return
-    fresh = account_rollup(**sources, as_of=as_of, mode=mode)
+    activity = D.activity_of(store.read("user_days")) if from_log else None
+    fresh = account_rollup(**sources, as_of=as_of, mode=mode, activity=activity)
     merged = upsert_replace(store.read("dim_accounts"), fresh, ["company_id"])
     store.stage("dim_accounts", merged, batch_id, REPLACE)
     store.commit(batch_id, {"dim_accounts": REPLACE})
 
 
-def sync_daily(sources: dict[str, DataFrame], store: Store, as_of: str) -> None:
-    """Pull the events past the mark; facts and new mark become visible together."""
+def sync_daily(sources: dict[str, DataFrame], store: Store, as_of: str, keep_log: bool = False) -> None:
+    """Pull the events past the mark; facts and new mark become visible together.
+
+    ``keep_log`` also stores the batch as (user, day, type) rows, from which accounts can be rolled up and
+    facts be counted exactly without reading old events again.
+    """
     batch_id = batch_of(as_of)
     if store.committed("daily_log", batch_id):
         return
     state = store.read("sync_state")
-    mark = D.watermark(state, "events")
-    batch = store.stage("daily_log", D.events_daily(sources["events"], sources["users"], mark), batch_id)
+    rows = D.user_days(incremental(sources["events"], D.watermark(state, "events")))
+    tables = {"daily_log": APPEND, "sync_state": REPLACE}
+    if keep_log:
+        rows = store.stage("user_days", rows, batch_id)
+        tables["user_days"] = APPEND
+    batch = store.stage("daily_log", D.facts_of(rows, sources["users"]), batch_id)
     if batch.isEmpty():
         return
     store.stage("sync_state", D.advance_watermark(state, "events", batch, as_of), batch_id, REPLACE)
-    store.commit(batch_id, {"daily_log": APPEND, "sync_state": REPLACE})
+    store.commit(batch_id, tables)
 
 
 def compact_daily(store: Store) -> None:
-    """Replace the batches of the daily log by their fold."""
+    """Replace the batches of the daily log (and of the user days) by their fold."""
     batches = store.batches("daily_log")
     if len(batches) < 2:
         return
@@ -86,8 +99,12 @@ def compact_daily(store: Store) -> None:
         F.max("unique_users").alias("unique_users"),
         F.max("max_id").alias("max_id"),
     )
+    tables = {"daily_log": REPLACE}
     store.stage("daily_log", folded, newest, REPLACE)
-    store.commit(newest, {"daily_log": REPLACE})
+    if len(store.batches("user_days")) > 1:
+        store.stage("user_days", D.fold_user_days(store.read("user_days")), newest, REPLACE)
+        tables["user_days"] = REPLACE
+    store.commit(newest, tables)
 
 
 def score(store: Store, as_of: str) -> None:
@@ -155,10 +172,20 @@ def run(
     model: str = "none",
     mode: str = "exact",
     parallelism: int | None = None,
+    incremental_accounts: bool = False,
 ) -> DataFrame:
-    """All steps in order; returns ``(step, counter, value)`` rows of this run."""
-    run_step("accounts", lambda: sync_accounts(sources, store, as_of, mode))
-    run_step("daily", lambda: sync_daily(sources, store, as_of))
+    """All steps in order; returns ``(step, counter, value)`` rows of this run.
+
+    Accounts are recounted from all events by default. ``incremental_accounts`` reads new events only, once,
+    and rolls accounts up from the stored user days: the cost of a run then follows the new events. It relies
+    on ids growing, as the mark of the daily facts does.
+    """
+    steps = [
+        ("accounts", lambda: sync_accounts(sources, store, as_of, mode, incremental_accounts)),
+        ("daily", lambda: sync_daily(sources, store, as_of, incremental_accounts)),
+    ]
+    for name, step in reversed(steps) if incremental_accounts else steps:
+        run_step(name, step)
     run_step("scoring", lambda: score(store, as_of))
     run_step("briefs", lambda: write_briefs(store, as_of, generator, model, parallelism))
     run_step("alerts", lambda: scan_alerts(store, as_of))

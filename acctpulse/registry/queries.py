@@ -18,9 +18,13 @@ from acctpulse.operators import scoring as S
 from acctpulse.operators import trend as T
 from acctpulse.plans.counters import run_counters
 from acctpulse.registry.inputs import AS_OF, BATCH_CUTS, DENSE_SNAPSHOTS, MODEL, SCAN_AT, Inputs
+from acctpulse.session import work_path
 from acctpulse.sources import adapters
 from acctpulse.sources import readers as R
 from acctpulse.sources.drift import schema_drift
+from acctpulse.sources.store import Store
+from acctpulse.streaming.alerts import stream_alerts
+from acctpulse.streaming.daily import stream_daily
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -145,6 +149,15 @@ def upsert_daily_fold(i):
     return D.fold_daily(log)
 
 
+@query
+def events_daily_stream(i):
+    """The daily facts built by the stream: a run over all event files, then the fold of its batches."""
+    root = work_path(i.spark, "stream")
+    store = Store(i.spark, f"{root}/store")
+    stream_daily(adapters.event_stream(i.spark, i.sf_dir), i.users, store, f"{root}/checkpoint").awaitTermination()
+    return D.fold_daily(store.read("daily_log"))
+
+
 @query
 def refresh_days(i):
     return D.refresh_days(i.events, i.users, i.batch(2))
@@ -306,6 +319,27 @@ def alert_run_summary(i):
     return AL.alert_summary(at_risk, AL.new_alerts(at_risk, i.alerts, SCAN_AT))
 
 
+@query
+def alerts_stream(i):
+    """Alerts of a stream of flagged snapshots: one per company, type and day."""
+    flagged = T.flag_history(i.snapshots(DENSE_SNAPSHOTS)).filter("at_risk")
+    names = i.companies.selectExpr("id as company_id", "name as company_name", "plan")
+    rows = flagged.join(names, "company_id").select("company_id", "company_name", "plan", "score", "scored_at")
+    root = work_path(i.spark, "alerts")
+    # Every snapshot arrives twice; the second copy must not alert again.
+    rows.write.parquet(f"{root}/flagged/first.parquet")
+    first = i.spark.read.schema(rows.schema).parquet(f"{root}/flagged/first.parquet")
+    first.write.parquet(f"{root}/flagged/second.parquet")
+    source = i.spark.readStream.schema(rows.schema).parquet(f"{root}/flagged/*.parquet")
+    out = stream_alerts(source)
+    query_ = (
+        out.writeStream.format("parquet").option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    )
+    query_.awaitTermination()
+    return i.spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
 @query
 def alert_digest(i):
     return AL.alert_digest(i.staged_at_risk, SCAN_AT)

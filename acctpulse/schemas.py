@@ -50,6 +50,10 @@ STORE_SCHEMAS: dict[str, T.StructType] = {
     "daily_log": _schema(
         company_id=_LONG, event_date=_DATE, event_type=_STR, event_count=_LONG, unique_users=_LONG, max_id=_LONG
     ),
+    # Folded events of each batch, kept when accounts are rolled up incrementally.
+    "user_days": _schema(
+        user_id=_LONG, event_date=_DATE, event_type=_STR, events=_LONG, max_id=_LONG, first_at=_TS, last_at=_TS
+    ),
     "alert_acks": _schema(alert_id=_STR, acknowledged_at=_TS),
     "sync_state": _schema(table_name=_STR, last_synced_id=_LONG, last_synced_at=_TS),
     "brief_queue": _schema(company_id=_LONG, prompt_hash=_STR, gate=_STR, prompt=_STR),

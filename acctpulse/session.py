@@ -42,6 +42,11 @@ def work_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or _temporary()
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the work folder."""
+    return f"{work_dir(spark).rstrip('/')}/acctpulse-{uuid.uuid4().hex}/{name}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result that several branches use to the work folder and read it back.
 
@@ -49,6 +54,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     back than to the files.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/acctpulse-{uuid.uuid4().hex}/{name}"
+    path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -64,10 +64,17 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_EVENT_COLUMNS = ("event_id as id", "user_id", "event_type", "ts as occurred_at", "props as metadata")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir, "events").selectExpr(
-        "event_id as id", "user_id", "event_type", "ts as occurred_at", "props as metadata"
-    )
+    return raw(spark, sf_dir, "events").selectExpr(*_EVENT_COLUMNS)
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream of files."""
+    stream = spark.readStream.schema(RAW_SCHEMAS["events"]).parquet(f"{sf_dir}/events.parquet*")
+    return stream.selectExpr(*_EVENT_COLUMNS)
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ def test_constraint_report(rows):
         "companies.plan in domain": 1,
         "companies.(id) unique": 1,
         "users.role in domain": 1,
+        "users.company_id present": 1,
+        "events.user_id present": 1,
         "users.company_id references companies": 1,
         "events.event_type not null": 1,
         "events.user_id references users": 5,

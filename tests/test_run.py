@@ -178,3 +178,24 @@ def test_failing_step_leaves_the_mark(spark, tmp_path, monkeypatch):
     assert len(store.batches("daily_log")) == 2
     R.sync_daily(until(sources, SECOND), store, "2024-01-28 00:00:00")  # nothing new: no batch, same mark
     assert len(store.batches("daily_log")) == 2
+
+
+def test_incremental_accounts_equal_a_recount(spark, tmp_path):
+    from acctpulse.operators.daily import events_daily, facts_of, fold_user_days
+
+    store = Store(spark, str(tmp_path))
+    sources = adapters.sources(spark, "/root/testdata/sf0.001")
+    users = sources["users"]
+    for at in (FIRST, SECOND):
+        R.sync_daily(until(sources, at), store, at, keep_log=True)
+        R.sync_accounts(until(sources, at), store, at, from_log=True)
+    for compacted in (False, True):
+        if compacted:
+            R.compact_daily(store)
+        recount = R.account_rollup(**until(sources, SECOND), as_of=SECOND)
+        assert sorted(map(tuple, store.read("dim_accounts").collect())) == sorted(map(tuple, recount.collect()))
+        # Days split over the batches are counted exactly from the user days.
+        exact = facts_of(fold_user_days(store.read("user_days")), users)
+        once = events_daily(until(sources, SECOND)["events"], users)
+        assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, once.collect()))
+    assert store.batches("user_days") == [(R.batch_of(SECOND), REPLACE)]
