@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A session that runs many different queries keeps their compiled code.
+    "spark.sql.codegen.cache.maxEntries": "5000",
     # Building a plan is several times faster without a call-site record per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
