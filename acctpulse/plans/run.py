@@ -148,19 +148,25 @@ def scan_alerts(store: Store, as_of: str) -> None:
     store.append("alert_log", AL.new_alerts(at_risk_now(store), store.read("alert_log"), as_of), batch_of(as_of))
 
 
-def take_notes(store: Store, notes: DataFrame, as_of: str) -> DataFrame:
+def _append_once(store: Store, table: str, df: DataFrame, batch_id: int) -> None:
+    """Append hand-written rows. A used batch id is an error here: skipping the rows would lose them."""
+    if not store.append(table, df, batch_id):
+        raise ValueError(f"batch {batch_id} of {table} is already stored; pass another batch_id for further rows")
+
+
+def take_notes(store: Store, notes: DataFrame, as_of: str, batch_id: int | None = None) -> DataFrame:
     """Store the notes of known accounts; returns the rejected ones."""
     accepted, rejected = add_notes(notes, store.read("dim_accounts"), as_of)
-    store.append("crm_notes", accepted, batch_of(as_of))
+    _append_once(store, "crm_notes", accepted, batch_of(as_of) if batch_id is None else batch_id)
     return rejected
 
 
-def take_acks(store: Store, ids: DataFrame, as_of: str) -> DataFrame:
+def take_acks(store: Store, ids: DataFrame, as_of: str, batch_id: int | None = None) -> DataFrame:
     """Acknowledge alerts by id; returns the ids that match no alert."""
     unknown = AL.acknowledge(store.read("alert_log"), ids)[1]
     known = ids.select("alert_id").distinct().join(unknown, "alert_id", "left_anti")
     acks = known.withColumn("acknowledged_at", F.lit(str(as_of)).cast("timestamp_ntz"))
-    store.append("alert_acks", acks, batch_of(as_of))
+    _append_once(store, "alert_acks", acks, batch_of(as_of) if batch_id is None else batch_id)
     return unknown
 
 

@@ -110,6 +110,11 @@ def test_notes_are_checked_against_accounts(done, spark):
     known = notes.filter("company_id < 10").count()
     assert store.read("crm_notes").count() == known
     assert rejected.count() == notes.count() - known
+    more = notes.filter("company_id = 1").drop("note_id", "created_at")
+    with pytest.raises(ValueError):
+        R.take_notes(store, more, FIRST)
+    R.take_notes(store, more, FIRST, batch_id=R.batch_of(FIRST) + 1)
+    assert store.read("crm_notes").count() == known + more.count()
 
 
 def test_views(done, spark):
