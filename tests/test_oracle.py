@@ -14,10 +14,11 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(SQL) <= set(QUERIES)
+    assert not {name for name in set(QUERIES) - set(SQL) if name != "pipeline" and not name.startswith("op")}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, sf_dir, con, name):
     df = QUERIES[name](spark, sf_dir)
     assert compare.spark_types(df) == compare.sql_types(con, SQL[name])
