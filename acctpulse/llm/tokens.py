@@ -2,8 +2,8 @@
 
 Both tokenizers used here cut a text before every run of white space and never look across such a cut, so a text's
 ids are the ids of its ``white space + word`` chunks one after another. A worker asks the tokenizers library for
-each chunk it has not met yet and keeps the answer, which is several times faster than encoding whole texts again
-and gives the same ids.
+each chunk it has not met lately and keeps the answer, which is several times faster than encoding whole texts
+again and gives the same ids.
 """
 
 from __future__ import annotations
@@ -16,12 +16,18 @@ from functools import lru_cache
 import numpy as np
 
 # White space as the tokenizers' patterns see it. Python's \s has four control characters more.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 END_ID = 1
 BLOCK_CHARS = 1 << 20
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
+# A word of Latin letters, after a line end or not, with ASCII marks behind it: the patterns cut at both places.
+_EASY = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+# The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+BYTE_LETTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,26 +48,83 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.encode_special_tokens = True
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.cache_chunks = cache_chunks
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.cache_chunks:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        for chunk, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[chunk] = np.array(got.ids, "<u4").tobytes()
+        # Two generations: what has not been asked for since the last change is forgotten at the next.
+        self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def _direct(self, texts: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in got]
+
+    def _chunk(self, text: str) -> bytes:
+        if text not in self.chunks:
+            if len(self.chunks) > self.cache_chunks:
+                self.chunks.clear()
+            self.chunks[text] = self._direct([text])[0]
+        return self.chunks[text]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of letters after at most one space: a single unit for either tokenizer's pattern."""
+        if self.normalizer is not None:
+            word = self.normalizer.normalize_str(word).strip(" ")
+        shown = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+
+    def _learn(self, pieces: set[str]) -> bool:
+        """Add the pieces not known yet; False if one of them does not end in a word."""
+        if len(self.pieces) > self.cache_chunks:
+            self.old, self.pieces = self.pieces, {}
+        hard = []
+        new = [p for p in pieces if p not in self.pieces]
+        for piece in new:
+            if not piece or piece[-1].isspace():
+                return False
+            if piece in self.old:
+                self.pieces[piece] = self.old[piece]
+            elif parts := _EASY.fullmatch(piece):
+                line, word, marks = parts.groups()
+                if line:
+                    ids = self._chunk("\n") + self._word(word)
+                else:
+                    ids = self.pieces.get(word) or self.old.get(word) or self._word(" " + word)
+                    self.pieces[word] = ids
+                self.pieces[piece] = ids + self._chunk(marks) if marks else ids
+            else:
+                hard.append(piece)
+        chunks = [p if p[0] == "\n" else " " + p for p in hard]
+        self.pieces.update(zip(hard, self._direct(chunks)))
+        return True
+
+    def _block(self, text: str) -> bytes:
+        body = text.rstrip(SPACE)
+        tail = self._chunk(text[len(body) :]) if len(body) < len(text) else b""
+        # A piece stands for itself with the space before it, or for itself if it begins with a line end.
+        first, *pieces = body.replace("\n", " \n").split(" ")
+        if first and first[-1].isspace():
+            return self._careful(body) + tail
+        try:
+            rest = b"".join(map(self.pieces.__getitem__, pieces))
+        except KeyError:
+            if not self._learn(set(pieces)):
+                return self._careful(body) + tail
+            rest = b"".join(map(self.pieces.__getitem__, pieces))
+        return (self._chunk(first) if first else b"") + rest + tail
+
+    def _careful(self, text: str) -> bytes:
+        """Any white space, chunk by chunk."""
+        chunks = _CHUNK.findall(text)
+        new = list({c for c in chunks if c not in self.chunks})
+        if len(self.chunks) > self.cache_chunks:
+            self.chunks.clear()
+            new = list(set(chunks))
+        self.chunks.update(zip(new, self._direct(new)))
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, text: str | None) -> bytes:
-        out = []
-        for block in blocks(text or ""):
-            chunks = _CHUNK.findall(block)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-            except KeyError:
-                self._learn(set(chunks))
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return out[0] if len(out) == 1 else b"".join(out)
+        return b"".join(map(self._block, blocks(text or "")))
 
 
 def blocks(text: str, most: int = BLOCK_CHARS) -> Iterator[str]:

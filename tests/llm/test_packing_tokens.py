@@ -27,7 +27,7 @@ def plain(name, texts):
 @pytest.mark.parametrize("name", NAMES)
 def test_chunks_give_the_ids_of_the_whole_text(name):
     rng = random.Random(7)
-    marks = [*SPACE, "\x1c", "\x85", "́", "a", "Be", "'s", "'", "1", "23", "!", "?!", "é", "ß", "Σ", "漢", "<|endoftext|>"]
+    marks = [*SPACE, *" \n    ", "word", "naïve", "Ǆ", "and,", "x.", "\x1c", "\x85", "́", "a", "Be", "'s", "'", "1", "23", "!", "?!", "é", "ß", "Σ", "漢", "<|endoftext|>"]
     texts = [*EDGE, *("".join(rng.choice(marks) for _ in range(rng.randrange(40))) for _ in range(1500))]
     own = Encoder(name, cache_chunks=50)
     for text, ids in zip(texts, plain(name, texts)):
