@@ -1,0 +1,80 @@
+"""Counts against the definitions, estimates against plain numpy, and accuracy against the labels."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from acctpulse.llm import quality as Q
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_words string, v int, kept string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    words = WORD.findall(text or "")
+    windows = list(zip(words, words[1:], words[2:]))
+    often = Counter(windows)
+    hit = {j for i, w in enumerate(windows) if often[w] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    n = len(words)
+    return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit),
+            n < 50 or 100 * len(hit) > 50 * n)
+
+
+TEXTS = [None, "", " \n\t", "a", "a b c a b c", "é ß\n\né ß\n x\x1fy", "## a|b <c>\n" * 40, "w\x0b" * 70, "x " * 200_000]
+
+
+def random_text(rng, n):
+    return "".join(rng.choice(["ab", "cd ", "é", " ", "\n", "#", "1", "Z. ", "\r", "ef gh ij\n"]) for _ in range(n))
+
+
+def test_counts_follow_the_definitions(spark):
+    rng = random.Random(3)
+    texts = [*TEXTS, *(random_text(rng, rng.randrange(300)) for _ in range(150))]
+    docs = [(i, t, rng.choice(["en", None]), rng.choice(["s", "t", None]), "x", 1, "y") for i, t in enumerate(texts)]
+    docs += [docs[5], (None, *docs[6][1:])]
+    rows = Q.quality(spark.createDataFrame(docs, SCHEMA).repartition(3), min_rows=5).collect()
+    got = sorted([(r.doc_id, *(r[c] for c in Q.COUNTS), r.base_failed) for r in rows], key=repr)
+    assert got == sorted([(d[0], *brute(d[1])) for d in docs], key=repr)
+    assert not any(r.kept and r.base_failed for r in rows)
+    assert Q.keep_sound(spark.createDataFrame(docs, SCHEMA), min_rows=5).count() == sum(r.kept for r in rows)
+
+
+def test_chi_square():
+    assert Q.chi2_quantile(0.95, 1) == pytest.approx(3.841459, abs=1e-5)
+    assert Q.chi2_quantile(0.975, 7) == pytest.approx(16.012764, abs=1e-5)
+    assert Q.chi2_below(5.0, 2) == pytest.approx(1 - np.exp(-2.5))
+
+
+def test_estimate_withstands_a_fifth_of_outliers(spark):
+    rng = np.random.default_rng(1)
+    mix = np.tril(rng.normal(size=(7, 7))) * 0.3 + np.eye(7) * 0.5
+    bulk = rng.normal(size=(4000, 7)) @ mix.T + 2
+    far = rng.normal(size=(1000, 7)) * 0.1 + 30
+    rows = [("en", "a", x.tolist()) for x in np.concatenate([bulk, far])] + [("en", "few", x.tolist()) for x in bulk[:20]]
+    found = Q.estimates(spark.createDataFrame(rows, "lang string, source string, v array<double>").repartition(4)).collect()
+    assert {(r.lang, r.source) for r in found} == {("en", "a"), ("en", "few")}
+    for r in found:
+        assert np.abs(np.array(r.centre) - 2).max() < 0.15
+        w = np.zeros((7, 7))
+        w[np.tril_indices(7)] = r.whiten
+        spread = np.linalg.inv(w.T @ w) - np.diag(np.square(list(Q.FLOORS.values())))
+        assert np.abs(spread - mix @ mix.T).max() < 0.25 * np.abs(mix @ mix.T).max()
+
+
+def test_accuracy_on_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = Q.quality(spark.read.parquet(f"{folder}/documents.parquet"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = rows.join(labels, "doc_id").filter("NOT base_failed").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r.kept): r["count"] for r in found}
+    assert n.get((1, False), 0) <= 0.01 * n[1, True]
+    assert n.get((0, True), 0) <= 0.1 * n[0, False]
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert Q.quality(df).count() == 0 and Q.keep_sound(df).count() == 0
