@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acctpulse.llm import ann, mixing, packing, quality, simhash, site_style, token_file
+from acctpulse.llm import ann, mixing, packing, preferences, quality, simhash, site_style, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return preferences.preferences(turns, preferences.neighbour_pairs(turns))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -45,10 +50,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_mix": op3_mix,
+    "op4_preferences": op4_preferences,
     "op7_nearest": op7_nearest,
     "op8_packing": op8_packing,
     "op9_main_text": op9_main_text,
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {"op3_mix": mixing.SQL}
+SQL: dict[str, str] = {"op3_mix": mixing.SQL, "op4_preferences": preferences.SQL}
