@@ -201,13 +201,17 @@ def estimates(rows: DataFrame, part: float = PART, steps: int = STEPS, min_rows:
 
         fit = _fit(None, chi2_quantile(REWEIGHT, _P)) if last else _fit(part, None)
         now = staged(sums.groupBy("key").applyInPandas(fit, _ESTIMATE), "estimates")
-    groups = rows.groupBy("lang", "source").count().drop("count")
-    names = [_level(F.col("lang"), F.col("source"), k).alias(f"k{k}") for k in range(3)]
+    # The estimate of all rows is one small row.
+    whole = now.filter(F.col("key") == F.to_json(F.struct(F.lit(2).alias("level")))).first()
+    groups = rows.groupBy("lang", "source").agg(F.count("*").alias("size"))
+    names = [_level(F.col("lang"), F.col("source"), k).alias(f"k{k}") for k in range(2)]
     groups = groups.select("lang", "source", *names)
-    for k in range(3):
-        found = now.filter(F.col("rows") >= (min_rows if k < 2 else 0)).select(F.col("key").alias(f"k{k}"), F.struct("centre", "whiten").alias(f"e{k}"))
+    for k in range(2):
+        found = now.filter(F.col("rows") >= min_rows).select(F.col("key").alias(f"k{k}"), F.struct("centre", "whiten").alias(f"e{k}"))
         groups = groups.join(found, f"k{k}", "left")
-    return groups.select("lang", "source", F.coalesce("e0", "e1", "e2").alias("e")).select("lang", "source", "e.*")
+    last = [F.array(*map(F.lit, x)).alias(n) for n, x in (("centre", whole.centre), ("whiten", whole.whiten))] if whole else []
+    rest = [F.struct(*last)] if whole else []
+    return groups.select("lang", "source", F.coalesce("e0", "e1", *rest).alias("e")).select("lang", "source", "e.*")
 
 
 def quality(
