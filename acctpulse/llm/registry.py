@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acctpulse.llm import ann, mixing, packing, pii, preferences, quality, simhash, site_style, token_file
+from acctpulse.llm import ann, mixing, packing, pii, preferences, quality, secrets, simhash, site_style, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.preferences(turns, preferences.neighbour_pairs(turns))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal(_table(spark, sf_dir, "documents")))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_mix": op3_mix,
     "op4_preferences": op4_preferences,
+    "op5_secrets": op5_secrets,
     "op6_personal_data": op6_personal_data,
     "op7_nearest": op7_nearest,
     "op8_packing": op8_packing,
