@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 END_ID = 1
 BLOCK_CHARS = 1 << 20
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
 # A word of Latin letters, after a line end or not, with ASCII marks behind it: the patterns cut at both places.
 _EASY = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 # The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on.
@@ -49,6 +50,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.encode_special_tokens = True
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        # Whether normalising a word of Latin letters is nothing but lower case.
+        latin = "".join(c for c in map(chr, range(0x250)) if _EASY.fullmatch(c))
+        self.lower = self.normalizer is not None and self.normalizer.normalize_str(latin) == latin.lower()
         self.cache_chunks = cache_chunks
         # Two generations: what has not been asked for since the last change is forgotten at the next.
         self.pieces: dict[str, bytes] = {}
@@ -69,9 +73,10 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """Ids of letters after at most one space: a single unit for either tokenizer's pattern."""
         if self.normalizer is not None:
-            word = self.normalizer.normalize_str(word).strip(" ")
-        shown = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            word = (word.lower() if self.lower else self.normalizer.normalize_str(word)).strip(" ")
+        shown = word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, pieces: set[str]) -> bool:
         """Add the pieces not known yet; False if one of them does not end in a word."""
@@ -86,9 +91,11 @@ class Encoder:
                 self.pieces[piece] = self.old[piece]
             elif parts := _EASY.fullmatch(piece):
                 line, word, marks = parts.groups()
-                if line:
+                if self.lower:
+                    word = word.lower()
+                if line and self.normalizer is None:
                     ids = self._chunk("\n") + self._word(word)
-                else:
+                else:  # a normalised word has the same ids after any white space
                     ids = self.pieces.get(word) or self.old.get(word) or self._word(" " + word)
                     self.pieces[word] = ids
                 self.pieces[piece] = ids + self._chunk(marks) if marks else ids
