@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -19,7 +18,9 @@ from acctpulse.llm.spans import Span
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-# A run that failed from its first digit fails from every other, so later starts inside a run need not be tried.
+# An address lies inside a run of digits and dots. One that fails from a number's first digit fails from its others,
+# so later starts inside a number need not be tried.
+_NUMBERS = re.compile(r"[0-9][0-9.]*+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -53,7 +54,8 @@ def _ascii_digits(text: str) -> str:
 def base_spans(text: str) -> list[Span]:
     """The base detectors, by kind, then start."""
     found = _emails(text)
-    for m in _IP.finditer(text):
+    runs = (m for run in _NUMBERS.finditer(text) if run[0].count(".") > 2 for m in _IP.finditer(text, *run.span()))
+    for m in runs:
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             found.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
@@ -100,6 +102,7 @@ def _wide() -> dict[str, str]:
 
 
 LETTERS = _wide() | LOOK_ALIKES | dict.fromkeys(INVISIBLE, "")
+_LATIN_LETTERS = [c for c in LETTERS if c <= "\xff"]
 _LETTER = re.compile("[" + "".join(map(re.escape, LETTERS)) + "]")
 _number = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]+)?{_number}(?:[\s,-]+(?:{_number}|[0-9]+)){{2,}}(?!\w)", re.I)
@@ -146,7 +149,12 @@ class Tape:
 
 
 def _letters(text: str) -> list[tuple[int, int, str]]:
-    return [] if text.isascii() else [(*m.span(), LETTERS[m[0]]) for m in _LETTER.finditer(text)]
+    try:
+        text.encode("latin-1")
+        plain = not any(c in text for c in _LATIN_LETTERS)
+    except UnicodeEncodeError:
+        plain = False
+    return [] if plain else [(*m.span(), LETTERS[m[0]]) for m in _LETTER.finditer(text)]
 
 
 def _entities(text: str) -> list[tuple[int, int, str]]:
@@ -186,20 +194,26 @@ def _plain(text: str) -> list[tuple[int, int, str]]:
 
 
 _SPELLED_ANY = re.compile(rf"\s(?:{_dot})\s", re.I)
-# A text without any of these is not rewritten.
-_TRIGGER = re.compile(rf"[\[({{<]\s*(?:{_at}|{_dot}|@|\.)\s*[\])}}>]|\s(?:{_dot})\s|@\s|\s@|\s\.\s?[a-z]", re.I)
-STEPS: list[Callable[[str], list[tuple[int, int, str]]]] = [
-    _letters, _entities, _spelled, _brackets, _plain,
-    lambda text: [(*m.span(), ".") for m in _SPELLED_DOT.finditer(text)],
-]
+_BRACKETED = re.compile(rf"[\[({{<]\s*(?:{_at}|{_dot}|@|\.)\s*[\])}}>]", re.I)
+_SPACED_AT = re.compile(r"@\s|(?<=\s)@")
+_SEPARATORS = str.maketrans(",-", "  ")
 
 
 def normalised(text: str) -> Tape:
+    """All steps in turn; those are left out whose words or marks the text does not hold."""
     tape = Tape(text)
-    for step in STEPS:
-        if step in (_brackets, _plain) and not _TRIGGER.search(tape.text):
-            continue
-        tape.rewrite(step(tape.text))
+    tape.rewrite(_letters(tape.text))
+    tape.rewrite(_entities(tape.text))
+    words = set(tape.text.lower().translate(_SEPARATORS).split())
+    dots = not words.isdisjoint(DOT_WORDS)
+    if not words.isdisjoint(DIGIT_WORDS):
+        tape.rewrite(_spelled(tape.text))
+    if _BRACKETED.search(tape.text):
+        tape.rewrite(_brackets(tape.text))
+    if dots or ("@" in tape.text and _SPACED_AT.search(tape.text)):
+        tape.rewrite(_plain(tape.text))
+    if dots:
+        tape.rewrite([(*m.span(), ".") for m in _SPELLED_DOT.finditer(tape.text)])
     return tape
 
 
