@@ -23,11 +23,22 @@ def latest_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def top_k_nested(
-    df: DataFrame, key: str, order: Sequence[Column], k: int, fields: Sequence[str], name: str
+    df: DataFrame,
+    key: str,
+    order: Sequence[Column],
+    k: int,
+    fields: Sequence[str],
+    name: str,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Newest ``k`` rows per key as one ordered array of structs; lists are cut before they are collected."""
+    """Newest ``k`` rows per key as one ordered array of structs; lists are cut before they are collected.
+
+    ``only`` keeps some keys, after the cut: at most ``k`` rows of a hot key are left by then.
+    """
     item = F.struct("rn", *fields)
     ranked = latest_k(df, key, order, k)
+    if only is not None:
+        ranked = ranked.join(only.select(key), key, "left_semi")
     nested = ranked.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
     keep = F.transform("items", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
     return nested.select(key, keep.alias(name))
@@ -68,19 +79,3 @@ def spread_semi(
     keys = lookup.select(key).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     return salted.join(keys, [key, "_salt"], how).drop("_salt")
-
-
-def numbered(df: DataFrame, key: str, name: str = "row_no", width: int = 65536) -> DataFrame:
-    """Global 1-based row number by a unique, non-negative integer key, without a single-task sort.
-
-    Rows are numbered inside fixed key ranges (at most ``width`` rows each) and shifted by the number of
-    rows in the ranges below. Ranges come from the key itself, so the numbering is the same on every retry.
-    """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / width))
-    inner = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    below = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select(
-        "_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_shift")
-    )
-    numbered_rows = ranged.withColumn("_inner", inner).join(shift, "_range")
-    return numbered_rows.withColumn(name, F.col("_inner") + F.col("_shift")).drop("_range", "_inner", "_shift")

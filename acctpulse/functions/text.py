@@ -43,6 +43,9 @@ def content_hash(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+# The phrases and texts of the next three functions.
+
+
 def trend_phrase(cur: Column, prev: Column) -> Column:
     """How the score moved; a previous score of 0 counts as no previous score."""
     known = F.coalesce(prev != 0, F.lit(False))

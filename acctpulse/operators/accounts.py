@@ -65,32 +65,31 @@ def account_detail(
     """Nested detail per account: newest score, score history, newest brief, notes and open alerts.
 
     Every list is cut to its newest rows before it is collected. All branches are partitioned by company, so
-    they join without another exchange. ``ids`` restricts every branch to some companies.
+    they join without another exchange. ``ids`` restricts every branch to some companies, after its cut.
     """
-    if ids is not None:
-        wanted = ids.select("company_id").distinct()
-        accounts, scores, briefs, notes, alerts = (
-            existing(df, wanted) for df in (accounts, scores, briefs, notes, alerts)
-        )
+    wanted = None if ids is None else ids.select("company_id").distinct()
+    if wanted is not None:
+        accounts = existing(accounts, wanted)
     newest_score = [F.desc_nulls_first("scored_at")]
     recent = top_k_nested(
-        scores, "company_id", newest_score, SCORE_HISTORY, ["score", "at_risk", "components", "scored_at"], "recent"
+        scores, "company_id", newest_score, SCORE_HISTORY, ["score", "at_risk", "components", "scored_at"], "recent",
+        only=wanted,
     )
     history = F.transform(
         "recent", lambda x: F.struct(*[x[f].alias(f) for f in ("score", "at_risk", "scored_at")])
     )
     brief_fields = ["summary", "recommended_action", "model", "input_tokens", "output_tokens", "generated_at"]
-    brief = latest_per_key(briefs, "company_id", F.desc_nulls_first("generated_at")).select(
-        "company_id", F.struct(*brief_fields).alias("ai_summary")
-    )
+    newest_brief = latest_per_key(briefs, "company_id", F.desc_nulls_first("generated_at"))
+    newest_brief = newest_brief if wanted is None else existing(newest_brief, wanted)
+    brief = newest_brief.select("company_id", F.struct(*brief_fields).alias("ai_summary"))
     cs_notes = top_k_nested(
         notes, "company_id", [F.desc_nulls_first("created_at"), F.asc("note_id")], NOTES_SHOWN,
-        ["note_id", "author", "note", "created_at"], "cs_notes",
+        ["note_id", "author", "note", "created_at"], "cs_notes", only=wanted,
     )
     open_alerts = top_k_nested(
         alerts.filter(~F.col("acknowledged")), "company_id",
         [F.desc_nulls_first("created_at"), F.asc("alert_id")], OPEN_ALERTS_SHOWN,
-        ["alert_id", "alert_type", "message", "acknowledged", "created_at"], "open_alerts",
+        ["alert_id", "alert_type", "message", "acknowledged", "created_at"], "open_alerts", only=wanted,
     )
     joined = accounts
     for branch in (recent, brief, cs_notes, open_alerts):

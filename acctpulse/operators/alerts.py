@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acctpulse.functions.keyed import latest_k, latest_per_key, numbered
-from acctpulse.functions.text import alert_message, content_hash, plan_label
+from acctpulse.functions.keyed import latest_k, latest_per_key
+from acctpulse.functions.text import alert_message, chat_message, content_hash, plan_label
 from acctpulse.functions.times import AsOf, as_of_col, same_day
 from acctpulse.sources.readers import only_flagged
 
 SCORE_DROP = "score_drop"
 FEED_MAX = 200
-DIGEST_PAGE = 500
 
 # Text of the digest prompt around the account list.
 DIGEST_HEAD = (
@@ -21,8 +20,8 @@ DIGEST_HEAD = (
     "\n"
     "AT-RISK ACCOUNTS TODAY ("
 )
-DIGEST_TOTAL = " total):\n"
-DIGEST_TAIL = "\n\nWrite 3-5 sentences summarizing the situation and recommending prioritization."
+DIGEST_TOTAL = " total):"
+DIGEST_TAIL = "\nWrite 3-5 sentences summarizing the situation and recommending prioritization."
 
 
 def at_risk_accounts(scores: DataFrame, accounts: DataFrame, current_only: bool = False) -> DataFrame:
@@ -84,27 +83,31 @@ def digest_due(as_of: AsOf) -> Column:
     return F.hour(as_of_col(as_of)) < 2
 
 
-def alert_digest(at_risk: DataFrame, as_of: AsOf, page_size: int = DIGEST_PAGE) -> DataFrame:
-    """Digest prompt over all at-risk accounts, in id order, as ``(page, accounts, prompt)`` rows.
+def alert_digest(at_risk: DataFrame, as_of: AsOf) -> DataFrame:
+    """Digest prompt as lines ``(part, company_id, line)``, the same at every length of the list.
 
-    Up to ``page_size`` accounts give one row with one complete prompt. A longer list continues on further
-    pages with the same frame around it: nothing is cut, and no task builds an unbounded text. No rows when
-    nobody is at risk or the digest is not due.
+    The prompt is the ``head`` line, the ``account`` lines in id order and the ``tail`` line, joined by line ends; head and
+    tail are the only rows that do not belong to an account. No rows when nobody is at risk or the digest is not due.
     """
     line = F.concat(
         F.lit("- "), F.col("company_name"), F.lit(" ("), plan_label(F.col("plan")), F.lit(", score="),
         F.col("score").cast("string"), F.lit(")"),
     )
     due = at_risk.filter(digest_due(as_of))
-    total = due.agg(F.count("*")).scalar()
-    lines = numbered(due.select("company_id", line.alias("line")), "company_id")
-    page = (F.floor((F.col("row_no") - 1) / page_size) + 1).cast("bigint")
-    pages = lines.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("l"))
-    body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    prompt = F.concat(
-        F.lit(DIGEST_HEAD), total.cast("string"), F.lit(DIGEST_TOTAL), body, F.lit(DIGEST_TAIL)
-    )
-    return pages.select("page", total.alias("accounts"), prompt.alias("prompt"))
+    accounts = due.select(F.lit("account").alias("part"), "company_id", line.alias("line"))
+    head = F.concat(F.lit(DIGEST_HEAD), F.col("n").cast("string"), F.lit(DIGEST_TOTAL))
+    nobody = F.lit(None).cast("bigint").alias("company_id")
+    frame = F.inline(F.array(*(
+        F.struct(F.lit(part).alias("part"), nobody, text.alias("line"))
+        for part, text in (("head", head), ("tail", F.lit(DIGEST_TAIL)))
+    )))
+    return accounts.unionByName(due.agg(F.count("*").alias("n")).filter("n > 0").select(frame))
+
+
+def chat_messages(at_risk: DataFrame, as_of: AsOf) -> DataFrame:
+    """Chat message of every account that was newly logged."""
+    text = chat_message(F.col("company_name"), F.col("plan"), F.col("score"))
+    return at_risk.select("company_id", text.alias("text"), as_of_col(as_of).alias("created_at"))
 
 
 def alert_feed(
@@ -113,9 +116,10 @@ def alert_feed(
     """Newest alerts with account names. Alerts of unknown accounts are left out before the limit applies.
 
     The newest ``limit`` alerts overall hold at most ``limit`` of any account, so the log is cut per account
-    in the map tasks and only the remainder meets the accounts.
+    in the map tasks and only the remainder meets the accounts. A limit above ``FEED_MAX`` is refused.
     """
-    limit = min(limit, FEED_MAX)
+    if not 1 <= limit <= FEED_MAX:
+        raise ValueError(f"limit must lie between 1 and {FEED_MAX}, not {limit}")
     if acknowledged is not None:
         alerts = alerts.filter(F.col("acknowledged") == acknowledged)
     newest_first = [F.desc_nulls_first("created_at"), F.asc("alert_id")]

@@ -131,9 +131,7 @@ def brief_prompt(ctx: DataFrame) -> DataFrame:
 
 def brief_hash(ctx: DataFrame) -> DataFrame:
     """Add ``prompt_hash`` over what decides whether a brief is stale: scores, flag, mix, open tickets, note."""
-    mix = F.array_join(
-        F.transform("recent_events", lambda e: F.concat(e["type"], F.lit(":"), e["count"].cast("string"))), ","
-    )
+    mix = F.to_json("recent_events")  # quotes and escapes keep any two mixes apart
     note = F.col("last_cs_note")
     digest = content_hash(
         F.col("latest_score"), F.col("prev_score"), F.col("at_risk"), mix, F.col("open_tickets"),
@@ -196,34 +194,34 @@ def per_prompt(call: Callable[[str], tuple[str, int, int]]) -> BatchFn:
     return run
 
 
-def generate(gated: DataFrame, fn: BatchFn, parallelism: int | None = None) -> DataFrame:
+def generate(gated: DataFrame, fn: BatchFn, parallelism: int) -> DataFrame:
     """Run the generator on the accounts that passed both gates, and on those only.
 
-    The filter comes first because Python is opaque to the optimizer. Calls are slow and few, so
-    ``parallelism`` may spread them evenly over that many tasks. Store the result before using it twice:
+    The filter comes first because Python is opaque to the optimizer. Calls are slow and few, so they are
+    spread evenly over ``parallelism`` tasks. Store the result before using it twice:
     every evaluation calls the generator again.
     """
     todo = gated.filter(F.col("gate") == "generate")
     todo = todo if "prompt" in todo.columns else brief_prompt(todo)
     todo = todo.select("company_id", "prompt_hash", "prompt")
-    if parallelism:
-        todo = todo.repartition(parallelism, "company_id")
-    return todo.mapInPandas(fn, RESPONSE_FIELDS)
+    return todo.repartition(parallelism, "company_id").mapInPandas(fn, RESPONSE_FIELDS)
 
 
 def parse_response(text: Column) -> dict[str, Column]:
     """``summary``, ``recommended_action`` and ``status`` of a response text.
 
     A JSON object gives its fields: a missing summary becomes the whole text, a missing action an empty one.
-    Text that is not JSON is kept whole (``raw``). JSON that is no object, or whose summary is null or nested,
-    gives no brief (``invalid``).
+    Text that is not JSON is kept whole (``raw``). JSON that is no object, whose summary is null or nested, or
+    whose action is nested, gives no brief (``invalid``).
     """
     content = F.btrim(text, F.lit(WHITESPACE))
     doc = F.try_parse_json(content)
     is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
     summary = F.try_variant_get(doc, "$.summary", "variant")
     action = F.try_variant_get(doc, "$.recommended_action", "variant")
-    unusable = F.coalesce(F.schema_of_variant(summary).rlike("^(OBJECT|ARRAY|VOID)"), F.lit(False))
+    unusable = F.coalesce(F.schema_of_variant(summary).rlike("^(OBJECT|ARRAY|VOID)"), F.lit(False)) | F.coalesce(
+        F.schema_of_variant(action).rlike("^(OBJECT|ARRAY)"), F.lit(False)
+    )
     invalid = (doc.isNotNull() & ~is_object) | (is_object & unusable)
     status = F.when(invalid, "invalid").when(is_object, "object").otherwise("raw")
     return {

@@ -83,8 +83,7 @@ def refresh_days(events: DataFrame, users: DataFrame, batch: DataFrame) -> DataF
     touched = batch.select("event_date").distinct()
     since = batch.agg(F.min("event_date").cast("timestamp_ntz")).scalar()
     candidates = events.filter(F.col("occurred_at") >= since).withColumn("event_date", F.to_date("occurred_at"))
-    # Distinct calendar days are a small domain whatever the data volume, so broadcasting them is safe.
-    on_days = candidates.join(F.broadcast(touched), "event_date", "left_semi").drop("event_date")
+    on_days = candidates.join(touched, "event_date", "left_semi").drop("event_date")
     return events_daily(on_days, users).drop("max_id")
 
 

@@ -79,17 +79,30 @@ def flag_latest(scores: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def flag_at_risk(scores: DataFrame) -> DataFrame:
-    """Flag the newest snapshots whose trend is at risk."""
-    return flag_latest(scores, score_trend(scores).filter("at_risk"))
+    """Flag the newest snapshots whose trend is at risk.
+
+    One ranked pass gives both the verdict and the row it belongs to; that is joined back by (company, time).
+    """
+    newest = score_trend(scores).filter("at_risk").select("company_id", "scored_at", F.lit(True).alias("_hit"))
+    hit = F.coalesce(F.col("_hit"), F.col("at_risk"))
+    return scores.join(newest, ["company_id", "scored_at"], "left").select(
+        *[hit.alias("at_risk") if c == "at_risk" else F.col(c) for c in scores.columns]
+    )
 
 
 def flag_new(new: DataFrame, state: DataFrame) -> DataFrame:
     """Scoring-run form of the flag: fresh snapshots against the newest stored one per company.
 
-    Gives the rows of :data:`STORE_SCHEMAS["score_state"]`; the history is not read.
+    Gives the rows of :data:`STORE_SCHEMAS["score_state"]`, which also carry the newest flagged snapshot; the history is
+    not read.
     """
-    before = state.select("company_id", F.col("score").alias("prev_score"), F.col("scored_at").alias("prev_scored_at"))
+    before = state.select(
+        "company_id", F.col("score").alias("prev_score"), F.col("scored_at").alias("prev_scored_at"),
+        "last_flagged_score", "last_flagged_at",
+    )
     flag = is_at_risk(F.col("prev_score"), F.col("score"), F.col("prev_scored_at"), F.col("scored_at"))
-    return new.join(before, "company_id", "left").select(
-        "company_id", "score", flag.alias("at_risk"), "components", "scored_at", "prev_score", "prev_scored_at"
+    return new.join(before, "company_id", "left").withColumn("at_risk", flag).select(
+        "company_id", "score", "at_risk", "components", "scored_at", "prev_score", "prev_scored_at",
+        F.when(F.col("at_risk"), F.col("score")).otherwise(F.col("last_flagged_score")).alias("last_flagged_score"),
+        F.when(F.col("at_risk"), F.col("scored_at")).otherwise(F.col("last_flagged_at")).alias("last_flagged_at"),
     )

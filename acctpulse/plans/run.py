@@ -21,9 +21,17 @@ from acctpulse.operators.rollup import account_rollup
 from acctpulse.operators.scoring import current_health, health_components, score_accounts
 from acctpulse.operators.trend import flag_new
 from acctpulse.plans.counters import run_counters
-from acctpulse.sources.readers import incremental
+from acctpulse.plans.ingest import compact_daily, ingest_run_batch, user_days_complete
+from acctpulse.session import staged
+from acctpulse.sources.drift import schema_drift
+from acctpulse.sources.readers import existing
 from acctpulse.sources.store import APPEND, REPLACE, Store
 
+__all__ = ["compact_daily", "run"]
+
+HAND = "hand"
+GENERATOR_TASKS = 16
+
 log = logging.getLogger(__name__)
 
 
@@ -52,6 +60,12 @@ def alert_rows(store: Store) -> DataFrame:
     return AL.acknowledge(store.read("alert_log"), store.read("alert_acks"))[0]
 
 
+def check_sources(sources: dict[str, DataFrame]) -> None:
+    """Warn about columns beyond the known ones. Decided from the schemas; no data is read."""
+    for row in schema_drift(sources).collect():  # one row per unknown column
+        log.warning("source %s has an unknown column %s", row.table_name, row.column_name)
+
+
 def sync_accounts(
     sources: dict[str, DataFrame], store: Store, as_of: str, mode: str = "exact", from_log: bool = False
 ) -> None:
@@ -59,6 +73,8 @@ def sync_accounts(
     batch_id = batch_of(as_of)
     if store.committed("dim_accounts", batch_id):
         return
+    if from_log and not user_days_complete(store):
+        raise ValueError("the user days of this store lack batches of the daily log; roll accounts up from all events")
     activity = D.activity_of(store.read("user_days")) if from_log else None
     fresh = account_rollup(**sources, as_of=as_of, mode=mode, activity=activity)
     merged = upsert_replace(store.read("dim_accounts"), fresh, ["company_id"])
@@ -66,45 +82,9 @@ def sync_accounts(
     store.commit(batch_id, {"dim_accounts": REPLACE})
 
 
-def sync_daily(sources: dict[str, DataFrame], store: Store, as_of: str, keep_log: bool = False) -> None:
-    """Pull the events past the mark; facts and new mark become visible together.
-
-    ``keep_log`` also stores the batch as (user, day, type) rows, from which accounts can be rolled up and
-    facts be counted exactly without reading old events again.
-    """
-    batch_id = batch_of(as_of)
-    if store.committed("daily_log", batch_id):
-        return
-    state = store.read("sync_state")
-    rows = D.user_days(incremental(sources["events"], D.watermark(state, "events")))
-    tables = {"daily_log": APPEND, "sync_state": REPLACE}
-    if keep_log:
-        rows = store.stage("user_days", rows, batch_id)
-        tables["user_days"] = APPEND
-    batch = store.stage("daily_log", D.facts_of(rows, sources["users"]), batch_id)
-    if batch.isEmpty():
-        return
-    store.stage("sync_state", D.advance_watermark(state, "events", batch, as_of), batch_id, REPLACE)
-    store.commit(batch_id, tables)
-
-
-def compact_daily(store: Store) -> None:
-    """Replace the batches of the daily log (and of the user days) by their fold."""
-    batches = store.batches("daily_log")
-    if len(batches) < 2:
-        return
-    newest = batches[-1][0]
-    folded = store.read("daily_log").groupBy(*D.DAILY_KEYS).agg(
-        F.sum("event_count").alias("event_count"),
-        F.max("unique_users").alias("unique_users"),
-        F.max("max_id").alias("max_id"),
-    )
-    tables = {"daily_log": REPLACE}
-    store.stage("daily_log", folded, newest, REPLACE)
-    if len(store.batches("user_days")) > 1:
-        store.stage("user_days", D.fold_user_days(store.read("user_days")), newest, REPLACE)
-        tables["user_days"] = REPLACE
-    store.commit(newest, tables)
+def sync_daily(sources: dict[str, DataFrame], store: Store, as_of: str) -> None:
+    """Pull the events past the mark; facts, user days and new mark become visible together."""
+    ingest_run_batch(store, sources, batch_of(as_of), as_of)
 
 
 def score(store: Store, as_of: str) -> None:
@@ -120,8 +100,11 @@ def score(store: Store, as_of: str) -> None:
     store.commit(batch_id, {"score_state": REPLACE, "fact_health_score": APPEND})
 
 
-def write_briefs(store: Store, as_of: str, generator: B.BatchFn, model: str, parallelism: int | None = None) -> None:
-    """Gate all accounts, call the generator for those that pass and store what it returned before parsing it."""
+def write_briefs(
+    store: Store, as_of: str, generator: B.BatchFn, model: str, parallelism: int, ids: DataFrame | None = None
+) -> None:
+    """Gate all accounts, or those of ``ids``, call the generator for those that pass and store what it returned
+    before parsing it."""
     batch_id = batch_of(as_of)
     if store.committed("brief_queue", batch_id):
         return
@@ -133,6 +116,8 @@ def write_briefs(store: Store, as_of: str, generator: B.BatchFn, model: str, par
         store.read("dim_accounts"), store.read("fact_health_score"), daily_facts(store), alert_rows(store),
         store.read("crm_notes"), as_of, pairs=pairs,
     )
+    if ids is not None:
+        context = existing(context, ids.select("company_id").distinct())
     gated = B.brief_gates(context, store.read("ai_summaries"))
     queue = store.stage("brief_queue", B.brief_queue(gated), batch_id)
     answers = store.stage("responses", B.generate(queue, generator, parallelism), batch_id)
@@ -141,16 +126,29 @@ def write_briefs(store: Store, as_of: str, generator: B.BatchFn, model: str, par
 
 
 def at_risk_now(store: Store) -> DataFrame:
-    return AL.at_risk_accounts(store.read("fact_health_score"), store.read("dim_accounts"))
+    """Accounts with a flagged snapshot, from the state table: the history is not read."""
+    flagged = store.read("score_state").filter(F.col("last_flagged_at").isNotNull()).select(
+        "company_id", F.col("last_flagged_score").alias("score"), F.lit(True).alias("at_risk"),
+        F.col("last_flagged_at").alias("scored_at"),
+    )
+    return AL.at_risk_accounts(flagged, store.read("dim_accounts"))
 
 
 def scan_alerts(store: Store, as_of: str) -> None:
-    store.append("alert_log", AL.new_alerts(at_risk_now(store), store.read("alert_log"), as_of), batch_of(as_of))
+    """Log the new alerts; chat messages for them and the digest, if it is due, become visible with them."""
+    batch_id = batch_of(as_of)
+    if store.committed("alert_log", batch_id):
+        return
+    at_risk = staged(at_risk_now(store), "at_risk")
+    alerts = store.stage("alert_log", AL.new_alerts(at_risk, store.read("alert_log"), as_of), batch_id)
+    store.stage("chat_messages", AL.chat_messages(existing(at_risk, alerts), as_of), batch_id)
+    store.stage("alert_digests", AL.alert_digest(at_risk, as_of), batch_id)
+    store.commit(batch_id, {"alert_log": APPEND, "chat_messages": APPEND, "alert_digests": APPEND})
 
 
 def _append_once(store: Store, table: str, df: DataFrame, batch_id: int) -> None:
-    """Append hand-written rows. A used batch id is an error here: skipping the rows would lose them."""
-    if not store.append(table, df, batch_id):
+    """Append hand-written rows. A used batch id, or one below the newest, is an error: skipping would lose them."""
+    if not store.append(table, df, batch_id, HAND):
         raise ValueError(f"batch {batch_id} of {table} is already stored; pass another batch_id for further rows")
 
 
@@ -177,23 +175,26 @@ def run(
     generator: B.BatchFn,
     model: str = "none",
     mode: str = "exact",
-    parallelism: int | None = None,
+    parallelism: int = GENERATOR_TASKS,
     incremental_accounts: bool = False,
+    brief_ids: DataFrame | None = None,
 ) -> DataFrame:
     """All steps in order; returns ``(step, counter, value)`` rows of this run.
 
-    Accounts are recounted from all events by default. ``incremental_accounts`` reads new events only, once,
-    and rolls accounts up from the stored user days: the cost of a run then follows the new events. It relies
-    on ids growing, as the mark of the daily facts does.
+    A run dated before the newest one raises. Accounts are recounted from all events by default.
+    ``incremental_accounts`` reads new events only, once, and rolls accounts up from the stored user days: the cost of a
+    run then follows the new events. It relies on ids growing, as the mark of the daily facts does. ``brief_ids`` limits the
+    briefs to some accounts.
     """
+    run_step("drift", lambda: check_sources(sources))
     steps = [
         ("accounts", lambda: sync_accounts(sources, store, as_of, mode, incremental_accounts)),
-        ("daily", lambda: sync_daily(sources, store, as_of, incremental_accounts)),
+        ("daily", lambda: sync_daily(sources, store, as_of)),
     ]
     for name, step in reversed(steps) if incremental_accounts else steps:
         run_step(name, step)
     run_step("scoring", lambda: score(store, as_of))
-    run_step("briefs", lambda: write_briefs(store, as_of, generator, model, parallelism))
+    run_step("briefs", lambda: write_briefs(store, as_of, generator, model, parallelism, brief_ids))
     run_step("alerts", lambda: scan_alerts(store, as_of))
     return counters(store, as_of)
 
@@ -211,4 +212,6 @@ def counters(store: Store, as_of: str) -> DataFrame:
         briefs=store.read_batch("ai_summaries", batch_id),
         at_risk=at_risk_now(store),
         alerts=store.read_batch("alert_log", batch_id),
+        chat=store.read_batch("chat_messages", batch_id),
+        digest=store.read_batch("alert_digests", batch_id),
     )

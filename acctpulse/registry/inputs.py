@@ -18,6 +18,7 @@ from acctpulse.operators.trend import flag_history
 from acctpulse.plans.snapshots import score_snapshots
 from acctpulse.session import staged
 from acctpulse.sources import adapters
+from acctpulse.sources.readers import select_renamed
 
 AS_OF = "2024-01-31 00:00:00"
 SCAN_AT = "2024-01-31 01:00:00"
@@ -170,11 +171,11 @@ class Inputs:
     @cached_property
     def answers(self) -> DataFrame:
         """Generator output, stored before it is used: evaluating it again would call the generator again."""
-        return staged(B.generate(self.queue, stub_generator()), "answers")
+        return staged(B.generate(self.queue, stub_generator(), 8), "answers")
 
     @cached_property
     def at_risk(self) -> DataFrame:
-        names = self.companies.selectExpr("id as company_id", "name as company_name", "plan")
+        names = select_renamed(self.companies, {"id": "company_id", "name": "company_name", "plan": "plan"})
         return AL.at_risk_accounts(self.scores, names)
 
     @cached_property

@@ -14,11 +14,13 @@ from acctpulse.operators import alerts as AL
 from acctpulse.operators import briefs as B
 from acctpulse.operators import daily as D
 from acctpulse.operators import quality as Q
+from acctpulse.operators import rollup
 from acctpulse.operators import scoring as S
 from acctpulse.operators import trend as T
 from acctpulse.plans.counters import run_counters
+from acctpulse.plans.ingest import compact_daily, ingest_run_batch, ingest_stream_batch
 from acctpulse.registry.inputs import AS_OF, BATCH_CUTS, DENSE_SNAPSHOTS, MODEL, SCAN_AT, Inputs
-from acctpulse.session import work_path
+from acctpulse.session import staged, work_path
 from acctpulse.sources import adapters
 from acctpulse.sources import readers as R
 from acctpulse.sources.drift import schema_drift
@@ -158,6 +160,33 @@ def events_daily_stream(i):
     return D.fold_daily(store.read("daily_log"))
 
 
+def _mixed_store(i: Inputs) -> Store:
+    """All events in three batches of two writers, compacted in between: a run, a stream's batch, a run."""
+    store = Store(i.spark, f"{work_path(i.spark, 'mixed')}/store")
+    last = i.events.agg(F.max("id")).first()[0] or 0
+    low, high = last // 3, 2 * last // 3
+    start = {**i.sources, "events": i.events.filter(F.col("id") <= low)}
+    ingest_run_batch(store, start, 1, BATCH_CUTS[0])
+    # The stream's files hold all events up to its end; those that the run had are left out by the mark.
+    ingest_stream_batch(store, i.events.filter(F.col("id") <= high), i.users, 0, "event-stream")
+    compact_daily(store)
+    ingest_run_batch(store, i.sources, 2, BATCH_CUTS[1])
+    return store
+
+
+@query
+def ingest_mixed(i):
+    """Daily facts from the user days of a store that runs and a stream have fed."""
+    return D.facts_of(D.fold_user_days(_mixed_store(i).read("user_days")), i.users)
+
+
+@query
+def account_rollup_incremental(i):
+    """Accounts rolled up from the user days of such a store instead of all events."""
+    activity = D.activity_of(_mixed_store(i).read("user_days"))
+    return rollup.account_rollup(**i.sources, as_of=AS_OF, activity=activity)
+
+
 @query
 def refresh_days(i):
     return D.refresh_days(i.events, i.users, i.batch(2))
@@ -325,19 +354,16 @@ def alerts_stream(i):
     flagged = T.flag_history(i.snapshots(DENSE_SNAPSHOTS)).filter("at_risk")
     names = i.companies.selectExpr("id as company_id", "name as company_name", "plan")
     rows = flagged.join(names, "company_id").select("company_id", "company_name", "plan", "score", "scored_at")
+    rows = staged(rows, "flagged_rows")
     root = work_path(i.spark, "alerts")
-    # Every snapshot arrives twice; the second copy must not alert again.
-    rows.write.parquet(f"{root}/flagged/first.parquet")
-    first = i.spark.read.schema(rows.schema).parquet(f"{root}/flagged/first.parquet")
-    first.write.parquet(f"{root}/flagged/second.parquet")
-    source = i.spark.readStream.schema(rows.schema).parquet(f"{root}/flagged/*.parquet")
-    out = stream_alerts(source)
-    query_ = (
-        out.writeStream.format("parquet").option("path", f"{root}/out")
-        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    )
-    query_.awaitTermination()
-    return i.spark.read.schema(out.schema).parquet(f"{root}/out")
+    store = Store(i.spark, f"{root}/store")
+    at = F.col("scored_at") >= F.lit("2024-01-20").cast("timestamp_ntz")
+    # The newest days arrive first, and every snapshot arrives twice: the second copy must not alert again.
+    for part in (rows.filter(at), rows.filter(~at), rows):
+        part.write.mode("append").parquet(f"{root}/flagged")
+        source = i.spark.readStream.schema(rows.schema).parquet(f"{root}/flagged")
+        stream_alerts(source, store, f"{root}/checkpoint").awaitTermination()
+    return store.read("alert_log")
 
 
 @query
@@ -451,6 +477,14 @@ def brief_gates(i):
     return i.gated.select("company_id", "prompt_hash", "gate")
 
 
+@query
+def brief_gates_subset(i):
+    """Gates of chosen accounts: those with an open critical ticket."""
+    critical = i.tickets.filter(rules.is_open_critical(F.col("status"), F.col("severity"))).select("company_id")
+    chosen = R.target_accounts(i.companies.select(F.col("id").alias("company_id")), critical)
+    return B.brief_gates(R.existing(i.staged_context, chosen), i.briefs).select("company_id", "prompt_hash", "gate")
+
+
 @query
 def generated_briefs(i):
     return B.to_briefs(i.answers, MODEL, AS_OF)
@@ -479,5 +513,7 @@ def run_summary(i):
         gated=i.queue,
         briefs=B.to_briefs(i.answers, MODEL, AS_OF),
         at_risk=at_risk,
-        alerts=AL.new_alerts(at_risk, i.alerts, SCAN_AT),
+        alerts=(alerts := AL.new_alerts(at_risk, i.alerts, SCAN_AT)),
+        chat=AL.chat_messages(R.existing(at_risk, alerts), SCAN_AT),
+        digest=AL.alert_digest(at_risk, SCAN_AT),
     )

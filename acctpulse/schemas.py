@@ -54,16 +54,18 @@ STORE_SCHEMAS: dict[str, T.StructType] = {
     "user_days": _schema(
         user_id=_LONG, event_date=_DATE, event_type=_STR, events=_LONG, max_id=_LONG, first_at=_TS, last_at=_TS
     ),
+    "chat_messages": _schema(company_id=_LONG, text=_STR, created_at=_TS),
+    "alert_digests": _schema(part=_STR, company_id=_LONG, line=_STR),
     "alert_acks": _schema(alert_id=_STR, acknowledged_at=_TS),
     "sync_state": _schema(table_name=_STR, last_synced_id=_LONG, last_synced_at=_TS),
     "brief_queue": _schema(company_id=_LONG, prompt_hash=_STR, gate=_STR, prompt=_STR),
     "responses": _schema(
         company_id=_LONG, prompt_hash=_STR, text=_STR, input_tokens=_LONG, output_tokens=_LONG, error=_STR
     ),
-    # Newest two snapshots per account, replaced by each scoring run: a run never rescans the history.
+    # Newest two snapshots and newest flagged one per account, replaced by each scoring run: a run never rescans the history.
     "score_state": _schema(
         company_id=_LONG, score=_INT, at_risk=_BOOL, components=COMPONENTS, scored_at=_TS,
-        prev_score=_INT, prev_scored_at=_TS,
+        prev_score=_INT, prev_scored_at=_TS, last_flagged_score=_INT, last_flagged_at=_TS,
     ),
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -36,12 +38,20 @@ def local_session(app: str = "acctpulse", cpus: str = "8", shuffle_partitions: i
 
 @cache
 def _temporary() -> str:
-    return tempfile.mkdtemp(prefix="acctpulse-")
+    path = tempfile.mkdtemp(prefix="acctpulse-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set (local runs)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _temporary()
+    """The shared folder named by the cluster. Only a local session may fall back to a temporary one: on a cluster
+    every executor would write to its own disk."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _temporary()
 
 
 def work_path(spark: SparkSession, name: str) -> str:

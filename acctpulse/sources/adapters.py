@@ -141,15 +141,17 @@ def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as generator responses: bare text, complete and partial JSON objects, arrays, mixed text."""
+    """Documents as generator responses: bare text, complete, partial and nested JSON objects, arrays, mixed
+    text."""
     partial = "to_json(named_struct('summary', text))"
     return raw(spark, sf_dir, "documents").selectExpr(
         "doc_id as company_id",
-        f"""case doc_id % 6
+        f"""case doc_id % 7
               when 0 then to_json(named_struct('summary', text, 'recommended_action', 'call them'))
               when 1 then concat('  \\n', {partial}, '\\n ')
               when 2 then to_json(array(text))
               when 3 then concat('Here it is: ', {partial})
               when 4 then '{{"summary": null, "recommended_action": "x"}}'
+              when 5 then to_json(named_struct('summary', text, 'recommended_action', array('call', 'write')))
               else concat(' ', text, ' ') end as text""",
     )

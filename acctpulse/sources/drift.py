@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from acctpulse.schemas import KNOWN_COLUMNS
 
@@ -16,23 +14,11 @@ def unknown_columns(df: DataFrame, known: Sequence[str]) -> list[str]:
 
 
 def schema_drift(tables: Mapping[str, DataFrame], known: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """One row per unknown column with the number of rows that fill it.
+    """``(table_name, column_name)`` of every unknown column, from the schemas alone.
 
-    A table without a known-column entry has only unknown columns. The count shows whether a new column is
-    in use yet; it reads the unknown columns of each drifted table in one scan.
+    A table without a known-column entry has only unknown columns.
     """
     known = KNOWN_COLUMNS if known is None else known
-    parts = []
-    for name, df in tables.items():
-        extra = unknown_columns(df, known.get(name, ()))
-        if extra:
-            counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in extra])
-            items = [
-                F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("filled_rows"))
-                for c in extra
-            ]
-            parts.append(counts.select(F.inline(F.array(*items))))
-    if not parts:
-        spark = next(iter(tables.values())).sparkSession
-        return spark.createDataFrame([], "table_name string, column_name string, filled_rows bigint")
-    return reduce(DataFrame.unionByName, parts)
+    found = [(name, column) for name, df in tables.items() for column in unknown_columns(df, known.get(name, ()))]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(found, "table_name string, column_name string")

@@ -36,24 +36,39 @@ def read_source(
     table: str,
     fmt: str = "parquet",
     options: Mapping[str, str] | None = None,
+    known_only: bool = True,
 ) -> DataFrame:
-    """Scan one of the four source tables, known columns only.
+    """Scan one of the four source tables; ``known_only`` leaves out the surplus columns of a drifted source.
 
-    ``parquet`` reads ``<location>/<table>``; ``jdbc`` takes everything from :func:`jdbc_options`. Surplus
-    columns of a drifted source are never read: they are outside the declared schema.
+    ``parquet`` reads ``<location>/<table>``; ``jdbc`` takes everything from :func:`jdbc_options`. A known column that the
+    source lacks raises, as a query naming it would: read as NULL it would empty every result without a sign.
     """
     reader = spark.read.format(fmt).options(**(options or {}))
-    if fmt == "jdbc":
-        return project_known(reader.load(), KNOWN_COLUMNS[table])
-    return reader.schema(SOURCE_SCHEMAS[table]).load(f"{location.rstrip('/')}/{table}")
+    df = reader.load() if fmt == "jdbc" else reader.load(f"{location.rstrip('/')}/{table}")
+    surplus = [] if known_only else [c for c in df.columns if c not in KNOWN_COLUMNS[table]]
+    known = project_known(df, [*KNOWN_COLUMNS[table], *surplus], table)
+    return known.withColumns({f.name: F.col(f"`{f.name}`").cast(f.dataType) for f in SOURCE_SCHEMAS[table]})
 
 
-def read_sources(spark: SparkSession, location: str) -> dict[str, DataFrame]:
-    return {table: read_source(spark, location, table) for table in SOURCE_SCHEMAS}
+def read_sources(
+    spark: SparkSession,
+    location: str,
+    fmt: str = "parquet",
+    options: Mapping[str, Mapping[str, str]] | None = None,
+    known_only: bool = True,
+) -> dict[str, DataFrame]:
+    """All source tables; ``options`` holds the reader options of each, as JDBC needs them."""
+    return {
+        table: read_source(spark, location, table, fmt, (options or {}).get(table), known_only) for table in SOURCE_SCHEMAS
+    }
 
 
-def project_known(df: DataFrame, known: Sequence[str]) -> DataFrame:
-    return df.select(*known)
+def project_known(df: DataFrame, known: Sequence[str], table: str = "source") -> DataFrame:
+    """The known columns; a missing one raises."""
+    missing = [c for c in known if c not in df.columns]
+    if missing:
+        raise ValueError(f"{table} lacks the columns {', '.join(missing)}")
+    return df.select(*(f"`{c}`" for c in known))
 
 
 def select_renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -105,5 +120,5 @@ def ordered(df: DataFrame, *cols: str) -> DataFrame:
     return df.orderBy(*cols)
 
 
-def count_rows(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("count"))
+def count_rows(df: DataFrame, name: str = "count") -> DataFrame:
+    return df.agg(F.count("*").alias(name))

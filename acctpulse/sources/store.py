@@ -1,76 +1,159 @@
 """Analytics tables as Parquet batches made visible by a manifest.
 
-A step writes one directory per table and then one manifest file naming all of them. The manifest is written
-last and by a single task, so a reader sees either all tables of a step or none, and a step that died before
-it simply runs again over its own directories.
+A step writes one directory per table and then one manifest file naming all of them. The manifest is written last
+and by a single task, so a reader sees either all tables of a step or none, and a step that died before it simply
+runs again over its own directories.
+
+A batch is known by its writer (a stable name, such as ``run`` or a stream's) and a sequence that grows per writer, so
+the numbers of different writers never meet. A replacement names the batches it stands for; whatever it does not name
+stays visible. A sequence below a writer's newest, or other content under a used one, is an error: it is never skipped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acctpulse.schemas import STORE_SCHEMAS
 
 APPEND, REPLACE = "append", "replace"
-_MANIFEST = "table_name string, batch_id bigint, kind string"
+RUN, COMPACTION = "run", "compaction"
+_MANIFEST = (
+    "generation bigint, table_name string, writer string, sequence bigint, kind string, digest string, covers array<string>"
+)
 
 
-class Store:
-    """``append`` batches add rows; a ``replace`` batch is the whole table up to and including its id."""
+class Batch(NamedTuple):
+    writer: str
+    sequence: int
+    kind: str
+    digest: str | None = None
+    covers: tuple[str, ...] = ()
+
+    @property
+    def key(self) -> str:
+        return f"{self.writer}/{self.sequence}/{self.kind}"
+
+
+def content_digest(df: DataFrame) -> str:
+    """Content of a batch as one value that does not depend on row order: row count and a sum of row hashes."""
+    row = df.agg(F.count("*"), F.sum(F.xxhash64(*(f"`{c}`" for c in df.columns)).cast("decimal(38,0)"))).first()
+    return f"{row[0]}:{row[1] or 0}"
 
+
+class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._standing_for: dict[tuple[str, str], tuple[str, ...]] = {}
 
-    def path(self, table: str, batch_id: int, kind: str = APPEND) -> str:
-        return f"{self.root}/{table}/{kind}/batch_id={batch_id}"
+    def path(self, table: str, sequence: int, kind: str = APPEND, writer: str = RUN) -> str:
+        return f"{self.root}/{table}/{kind}/writer={writer}/sequence={sequence}"
 
-    def stage(self, table: str, df: DataFrame, batch_id: int, kind: str = APPEND) -> DataFrame:
+    def stage(self, table: str, df: DataFrame, sequence: int, kind: str = APPEND, writer: str = RUN) -> DataFrame:
         """Write the rows of a batch (invisible until committed) and return them read back from the files."""
-        target = self.path(table, batch_id, kind)
+        if kind == REPLACE:
+            key = Batch(writer, sequence, kind).key
+            self._standing_for[table, key] = tuple(b.key for b in self.batches(table))
+        target = self.path(table, sequence, kind, writer)
         df.select(*self.schema(table).names).write.mode("overwrite").parquet(target)
         return self.spark.read.schema(self.schema(table)).parquet(target)
 
-    def commit(self, batch_id: int, tables: Mapping[str, str]) -> None:
+    def commit(self, sequence: int, tables: Mapping[str, str], writer: str = RUN, digest: str | None = None) -> None:
         """Make the staged batches ``{table: kind}`` visible together."""
-        rows = [(table, batch_id, kind) for table, kind in tables.items()]
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").json(f"{self.root}/_manifest")
-
-    def batches(self, table: str) -> list[tuple[int, str]]:
-        """Visible batches of a table, oldest first: the newest replacement and the appends after it."""
+        generation = self._manifest()[0]
+        rows = []
+        for table, kind in tables.items():
+            covers = self._standing_for.get((table, Batch(writer, sequence, kind).key), ())
+            rows.append((generation, table, writer, sequence, kind, digest, [*covers]))
+        self._append_manifest(rows)
+
+    def _append_manifest(self, rows: list[tuple]) -> None:
+        frame = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
+        frame.drop("generation").write.mode("append").json(f"{self.root}/_manifest/generation={rows[0][0]}")
+
+    def _manifest(self) -> tuple[int, list[T.Row]]:
+        """Newest generation of the manifest and its rows: metadata, one row per table and commit."""
         try:
-            manifest = self.spark.read.schema(_MANIFEST).json(f"{self.root}/_manifest")
+            everything = self.spark.read.schema(_MANIFEST).json(f"{self.root}/_manifest")
+            newest = everything.agg(F.max("generation")).first()[0] or 0
         except AnalysisException as exc:
             if exc.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return []
-        # Metadata only: one row per committed batch of this table.
-        rows = sorted({(r.batch_id, r.kind) for r in manifest.filter(manifest.table_name == table).collect()})
-        base = max((b for b, kind in rows if kind == REPLACE), default=None)
-        return [(b, kind) for b, kind in rows if base is None or b > base or (b, kind) == (base, REPLACE)]
-
-    def committed(self, table: str, batch_id: int) -> bool:
-        return any(b >= batch_id if kind == REPLACE else b == batch_id for b, kind in self.batches(table))
+            return 0, []
+        return newest, everything.filter(F.col("generation") == newest).collect()
+
+    def entries(self, table: str) -> list[Batch]:
+        """All batches of a table that the manifest knows, visible or not."""
+        rows = [r for r in self._manifest()[1] if r.table_name == table]
+        return sorted({Batch(r.writer, r.sequence, r.kind, r.digest, tuple(r.covers or ())) for r in rows})
+
+    def batches(self, table: str) -> list[Batch]:
+        """Visible batches of a table: those that no replacement stands for."""
+        known = self.entries(table)
+        gone = {key for b in known for key in b.covers}
+        return [b for b in known if b.key not in gone]
+
+    def committed(self, table: str, sequence: int, writer: str = RUN, digest: str | None = None) -> bool:
+        """Whether this very batch is stored. Raises if another one took its place or came after it."""
+        own = [b for b in self.entries(table) if b.writer == writer]
+        same = [b for b in own if b.sequence == sequence]
+        if same and digest is not None and any(b.digest not in (None, digest) for b in same):
+            raise ValueError(f"{table}: batch {sequence} of writer {writer} is stored with other content")
+        newest = max((b.sequence for b in own), default=sequence)
+        if not same and sequence < newest:
+            raise ValueError(f"{table}: batch {sequence} of writer {writer} lies before its newest, {newest}")
+        return bool(same)
+
+    def next_sequence(self, table: str, writer: str) -> int:
+        return max((b.sequence for b in self.entries(table) if b.writer == writer), default=-1) + 1
+
+    def compact_manifest(self) -> None:
+        """Rewrite the manifest as one file: visible batches, and the newest of every writer as its high-water mark.
+
+        For maintenance, while no other writer commits.
+        """
+        generation, rows = self._manifest()
+        if not rows:
+            return
+        kept = []
+        for table in {r.table_name for r in rows}:
+            visible = {b.key for b in self.batches(table)}
+            known = self.entries(table)
+            newest = {b.writer: b for b in known}  # entries ascend by writer and sequence
+            gone = {b.key for b in known} - visible
+            for b in known:
+                if b.key in visible or b is newest[b.writer]:
+                    # A covered high-water mark stays covered.
+                    covers = [key for key in b.covers if key in {n.key for n in newest.values()}]
+                    if b.key in gone and not any(b.key in v.covers for v in known if v.key in visible):
+                        covers.append(b.key)
+                    kept.append((generation + 1, table, b.writer, b.sequence, b.kind, b.digest, covers))
+        self._append_manifest(kept)
 
     def schema(self, table: str) -> T.StructType:
         return STORE_SCHEMAS[table]
 
     def read(self, table: str) -> DataFrame:
-        paths = [self.path(table, b, kind) for b, kind in self.batches(table)]
+        paths = [self.path(table, b.sequence, b.kind, b.writer) for b in self.batches(table)]
         if not paths:
             return self.spark.createDataFrame([], self.schema(table))
         return self.spark.read.schema(self.schema(table)).parquet(*paths)
 
-    def read_batch(self, table: str, batch_id: int, kind: str = APPEND) -> DataFrame:
-        return self.spark.read.schema(self.schema(table)).parquet(self.path(table, batch_id, kind))
+    def read_batch(self, table: str, sequence: int, kind: str = APPEND, writer: str = RUN) -> DataFrame:
+        """The rows of one batch; none if it was never committed."""
+        if not any((b.writer, b.sequence, b.kind) == (writer, sequence, kind) for b in self.entries(table)):
+            return self.spark.createDataFrame([], self.schema(table))
+        return self.spark.read.schema(self.schema(table)).parquet(self.path(table, sequence, kind, writer))
 
-    def append(self, table: str, df: DataFrame, batch_id: int) -> bool:
-        """Stage and commit one batch; a batch id that is already visible is left alone."""
-        if self.committed(table, batch_id):
+    def append(self, table: str, df: DataFrame, sequence: int, writer: str = RUN, digest: str | None = None) -> bool:
+        """Stage and commit one batch; False if this very batch is stored already."""
+        if self.committed(table, sequence, writer, digest):
             return False
-        self.stage(table, df, batch_id)
-        self.commit(batch_id, {table: APPEND})
+        self.stage(table, df, sequence, writer=writer)
+        self.commit(sequence, {table: APPEND}, writer, digest)
         return True

@@ -4,25 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from acctpulse.functions.text import alert_message
 from acctpulse.operators.alerts import SCORE_DROP, alert_id
+from acctpulse.sources.store import Store, content_digest
 
+ALERTS = "alert-stream"
 
-def stream_alerts(flagged: DataFrame, alert_type: str = SCORE_DROP, lateness: str = "1 day") -> DataFrame:
-    """At most one alert per company, type and day.
 
-    ``flagged`` streams ``(company_id, company_name, plan, score, scored_at)``. The day itself is the event
-    time and part of the key, so state for a day is dropped once the watermark has passed it.
-    """
-    day = F.to_date("scored_at").cast("timestamp")
-    alerts = flagged.select(
+def first_of_day(flagged: DataFrame, logged: DataFrame, alert_type: str = SCORE_DROP) -> DataFrame:
+    """Alert rows of the earliest flagged snapshot per company and day, for days without an alert of this type."""
+    day = F.to_date("scored_at").alias("day")
+    first = flagged.groupBy("company_id", day).agg(
+        F.min(F.struct("scored_at", "score", "company_name", "plan")).alias("row")
+    )
+    days = first.agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
+    created = F.to_date("created_at")
+    known = logged.filter((F.col("alert_type") == alert_type) & created.between(F.lit(days.low), F.lit(days.high)))
+    fresh = first.join(known.select("company_id", created.alias("day")).distinct(), ["company_id", "day"], "left_anti")
+    row = F.col("row")
+    alerts = fresh.select(
         "company_id",
         F.lit(alert_type).alias("alert_type"),
-        alert_message(F.col("company_name"), F.col("plan"), F.col("score")).alias("message"),
+        alert_message(row["company_name"], row["plan"], row["score"]).alias("message"),
         F.lit(False).alias("acknowledged"),
-        F.col("scored_at").alias("created_at"),
-        day.alias("alert_day"),
+        row["scored_at"].alias("created_at"),
+    )
+    return alerts.select(alert_id(), "*")
+
+
+def stream_alerts(
+    flagged: DataFrame, store: Store, checkpoint: str, alert_type: str = SCORE_DROP, writer: str = ALERTS
+) -> StreamingQuery:
+    """At most one alert per company, type and day in the stored alert log, however late a row arrives.
+
+    ``flagged`` streams ``(company_id, company_name, plan, score, scored_at)``. Each micro-batch is compared with the log
+    of its own days, so restarts, other streams and the daily run do not alert twice, and no state is kept. A replayed
+    epoch changes nothing.
+    """
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        if batch.isEmpty():
+            return
+        digest = content_digest(batch)
+        if not store.committed("alert_log", epoch, writer, digest):
+            store.append("alert_log", first_of_day(batch, store.read("alert_log"), alert_type), epoch, writer, digest)
+
+    return (
+        flagged.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-    once = alerts.withWatermark("alert_day", lateness).dropDuplicates(["company_id", "alert_type", "alert_day"])
-    return once.drop("alert_day").select(alert_id(), "*")

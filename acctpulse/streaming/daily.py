@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from acctpulse.operators.daily import events_daily
+from acctpulse.plans.ingest import ingest_stream_batch
 from acctpulse.schemas import SOURCE_SCHEMAS
 from acctpulse.sources.store import Store
 
+EVENTS = "event-stream"
+
 
 def event_stream(spark: SparkSession, location: str, files_per_batch: int | None = None) -> DataFrame:
     """Event files under ``location`` as a stream. Files are tracked, not ids: late files are never skipped."""
@@ -21,18 +23,22 @@ def event_stream(spark: SparkSession, location: str, files_per_batch: int | None
 
 
 def stream_daily(
-    events: DataFrame, users: Callable[[], DataFrame] | DataFrame, store: Store, checkpoint: str
+    events: DataFrame,
+    users: Callable[[], DataFrame] | DataFrame,
+    store: Store,
+    checkpoint: str,
+    writer: str = EVENTS,
 ) -> StreamingQuery:
     """Start a run over everything available and then stop.
 
-    A micro-batch is aggregated like any batch (an exact distinct count is fine inside a micro-batch) and
-    appended under its epoch id. A replayed epoch finds its id committed and changes nothing, so together
-    with the checkpoint every file counts once. ``users`` may be a function, to re-read the table per batch.
+    A micro-batch is folded like any batch (an exact distinct count is fine inside a micro-batch); facts, user days and
+    mark become visible together under ``(writer, epoch)``. A replayed epoch with the same events changes nothing; other
+    events under a used epoch (a new checkpoint under an old writer name) raise. Another stream needs a writer name of its
+    own. ``users`` may be a function, to re-read the table per batch.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        owners = users() if callable(users) else users
-        store.append("daily_log", events_daily(batch, owners), epoch)
+        ingest_stream_batch(store, batch, users() if callable(users) else users, epoch, writer)
 
     return (
         events.writeStream.foreachBatch(apply)

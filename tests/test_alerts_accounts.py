@@ -62,19 +62,22 @@ def test_new_alerts_once_per_day_and_type(rows, scores, accounts):
     assert tuple(AL.alert_summary(empty, AL.new_alerts(empty, alerts_frame(rows), NOW)).first()) == (0, 0, 0)
 
 
-def test_digest_pages(scores, accounts):
+def test_digest_lines(scores, accounts):
     at_risk = AL.at_risk_accounts(scores, accounts)
-    whole = AL.alert_digest(at_risk, NOW).collect()
-    assert len(whole) == 1 and whole[0].accounts == 2
-    assert "(2 total):\n- Co 3 (PRO, score=40)\n- Co 10 (PRO, score=61)\n\nWrite" in whole[0].prompt
-    paged = AL.alert_digest(at_risk, NOW, page_size=1).orderBy("page").collect()
-    assert [("Co 3" in r.prompt, "Co 10" in r.prompt, "(2 total)" in r.prompt) for r in paged] == [
-        (True, False, True), (False, True, True)
-    ]
+    rows_ = {(r.part, r.company_id): r.line for r in AL.alert_digest(at_risk, NOW).collect()}
+    assert rows_["account", 3] == "- Co 3 (PRO, score=40)" and rows_["account", 10] == "- Co 10 (PRO, score=61)"
+    prompt = "\n".join([rows_["head", None], rows_["account", 3], rows_["account", 10], rows_["tail", None]])
+    assert "(2 total):\n- Co 3 (PRO, score=40)\n- Co 10 (PRO, score=61)\n\nWrite" in prompt and len(rows_) == 4
     assert AL.alert_digest(at_risk, datetime(2024, 1, 31, 2)).isEmpty()
     assert AL.alert_digest(at_risk.limit(0), NOW).isEmpty()
 
 
+def test_digest_has_one_shape_at_every_length(rows):
+    many = rows([(i, f"Co {i}", "pro", 40, NOW) for i in range(1200)], "company_id long, company_name string, plan string, score int, scored_at timestamp_ntz")
+    parts = AL.alert_digest(many, NOW).groupBy("part").count().collect()
+    assert {r.part: r["count"] for r in parts} == {"head": 1, "account": 1200, "tail": 1}
+
+
 def test_feed_filters_orders_and_limits(rows, accounts):
     log = alerts_frame(rows)
     assert [r.alert_id for r in AL.alert_feed(log, accounts).collect()] == ["a3", "a1", "a2", "a5"]
@@ -89,7 +92,10 @@ def test_feed_limit_with_a_hot_account(rows, accounts):
     log = rows(data, STORE_SCHEMAS["alert_log"]).repartition(4)
     expected = [r[0] for r in sorted(data, key=lambda r: (-r[5].timestamp(), r[0]))]
     assert [r.alert_id for r in AL.alert_feed(log, accounts).collect()] == expected[:50]
-    assert [r.alert_id for r in AL.alert_feed(log, accounts, limit=1000).collect()] == expected[:200]
+    assert [r.alert_id for r in AL.alert_feed(log, accounts, limit=200).collect()] == expected[:200]
+    for refused in (201, 1000, 0):
+        with pytest.raises(ValueError):
+            AL.alert_feed(log, accounts, limit=refused)
 
 
 def test_acknowledge(rows):

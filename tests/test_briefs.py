@@ -124,7 +124,7 @@ def test_batch_generator(rows):
                  "input_tokens": 1, "output_tokens": 1, "error": None}
             )
 
-    assert [r.text for r in B.generate(queue, batch).collect()] == ["ABC"]
+    assert [r.text for r in B.generate(queue, batch, 2).collect()] == ["ABC"]
 
 
 def test_parse(rows):
@@ -154,3 +154,16 @@ def test_cost(rows):
     df = rows([(1_000_000, 200_000), (0, 0), (333, 777)], "i long, o long")
     got = [r[0] for r in df.select(B.brief_cost(F.col("i"), F.col("o"))).collect()]
     assert got == [round((i * 0.00025 + o * 0.00125) / 1000, 4) for i, o in [(1_000_000, 200_000), (0, 0), (333, 777)]]
+
+
+def test_mixes_that_print_alike_differ(rows):
+    schema = "recent_events array<struct<type:string,count:bigint>>, latest_score int, prev_score int, at_risk boolean, open_tickets long, last_cs_note struct<author:string,note:string,date:string>"
+    mixes = [[("a:1,b", 2)], [("a", 1), ("b", 2)], [('a","count":1},{"type":"b', 2)], []]
+    df = rows([(m, 1, 1, False, 0, None) for m in mixes], schema)
+    assert len({r.prompt_hash for r in B.brief_hash(df).collect()}) == len(mixes)
+
+
+def test_nested_action_gives_no_brief(rows):
+    df = rows([('{"summary": "s", "recommended_action": {"a": 1}}',), ('{"summary": "s", "recommended_action": ["a"]}',),
+               ('{"summary": "s", "recommended_action": null}',)], "text string")
+    assert [r.status for r in B.parse_briefs(df).collect()] == ["invalid", "invalid", "object"]

@@ -60,14 +60,6 @@ def test_group_limit_runs_before_the_exchange(rows):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_numbered_equals_row_number(spark):
-    rng = random.Random(5)
-    ids = rng.sample(range(100_000), 500)
-    df = spark.createDataFrame([(i,) for i in ids], "company_id long").repartition(7)
-    got = {r.company_id: r.row_no for r in K.numbered(df, "company_id", width=1000).collect()}
-    assert got == {key: n for n, key in enumerate(sorted(ids), start=1)}
-
-
 def test_spread_semi_and_anti(rows):
     rng = random.Random(3)
     data = [(0 if rng.random() < 0.4 else rng.randrange(30), f"n{i}") for i in range(500)]

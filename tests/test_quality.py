@@ -1,5 +1,7 @@
 """Constraint report, drift, readers."""
 
+import pytest
+
 from acctpulse.operators.quality import constraint_report
 from acctpulse.schemas import SOURCE_SCHEMAS, STORE_SCHEMAS
 from acctpulse.sources.drift import schema_drift
@@ -37,10 +39,23 @@ def test_drift_is_reported_and_never_read(spark, rows, tmp_path):
     users = rows([(1, "e", 1, "admin", None, None)], SOURCE_SCHEMAS["users"])
     drifted = users.selectExpr("*", "'x' as nickname", "cast(null as int) as age")
     report = schema_drift({"users": drifted, "teams": rows([(1,)], "id int")})
-    assert sorted(map(tuple, report.collect())) == [("teams", "id", 1), ("users", "age", 0), ("users", "nickname", 1)]
+    assert sorted(map(tuple, report.collect())) == [("teams", "id"), ("users", "age"), ("users", "nickname")]
     assert schema_drift({"users": users}).collect() == []
     drifted.write.parquet(str(tmp_path / "users"))
     assert read_source(spark, str(tmp_path), "users").columns == SOURCE_SCHEMAS["users"].names
+    assert read_source(spark, str(tmp_path), "users", known_only=False).columns == drifted.columns
+
+
+def test_drift_reads_no_data(spark, sf_dir):
+    report = schema_drift({"documents": spark.read.parquet(f"{sf_dir}/documents.parquet")})
+    assert "Scan parquet" not in report._jdf.queryExecution().executedPlan().toString() and report.count() == 5
+
+
+def test_missing_column_raises(spark, rows, tmp_path):
+    renamed = rows([(1, 2, "x", None, None)], SOURCE_SCHEMAS["events"]).withColumnRenamed("user_id", "user")
+    renamed.write.parquet(str(tmp_path / "events"))
+    with pytest.raises(ValueError, match="user_id"):
+        read_source(spark, str(tmp_path), "events")
 
 
 def test_jdbc_options_split_by_id():

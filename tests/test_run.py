@@ -9,7 +9,7 @@ from acctpulse.operators.briefs import per_prompt
 from acctpulse.plans import run as R
 from acctpulse.plans import views as V
 from acctpulse.sources import adapters
-from acctpulse.sources.store import APPEND, REPLACE, Store
+from acctpulse.sources.store import APPEND, COMPACTION, REPLACE, RUN, Store
 
 FIRST, SECOND = "2024-01-20 00:30:00", "2024-01-27 00:30:00"
 
@@ -75,7 +75,7 @@ def test_incremental_facts_equal_one_batch(done, spark):
     folded = {(r.company_id, r.event_date, r.event_type): r.event_count for r in R.daily_facts(store).collect()}
     assert folded == once
     newest = until(sources, SECOND)["events"].agg(F.max("id")).first()[0]
-    assert [tuple(r)[:2] for r in store.read("sync_state").collect()] == [("events", newest)]
+    assert sorted(tuple(r)[:2] for r in store.read("sync_state").collect()) == [("events", newest), ("events/run", newest)]
 
 
 def test_history_and_state_agree(done):
@@ -99,7 +99,7 @@ def test_compaction_keeps_the_facts(done):
     store = done[0]
     before = sorted(map(tuple, R.daily_facts(store).collect()))
     R.compact_daily(store)
-    assert [kind for _, kind in store.batches("daily_log")] == [REPLACE]
+    assert [(b.writer, b.kind) for b in store.batches("daily_log")] == [(COMPACTION, REPLACE)]
     assert sorted(map(tuple, R.daily_facts(store).collect())) == before
     assert store.committed("daily_log", R.batch_of(FIRST))
 
@@ -133,8 +133,9 @@ def test_views(done, spark):
 def test_alerts_once_per_day_and_acknowledge(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     parts = (25, 20, 20, 4, 5)
-    history = [(1, 90, False, parts, datetime(2024, 1, 1)), (1, 60, True, parts, datetime(2024, 1, 8))]
-    store.append("fact_health_score", spark.createDataFrame(history, store.schema("fact_health_score")), 1)
+    at = datetime(2024, 1, 8)
+    state = [(1, 60, True, parts, at, 90, datetime(2024, 1, 1), 60, at)]
+    store.append("score_state", spark.createDataFrame(state, store.schema("score_state")), 1)
     account = spark.createDataFrame([(1, "One", "pro")], "company_id long, company_name string, plan string")
     for column in store.schema("dim_accounts"):
         if column.name not in account.columns:
@@ -177,7 +178,7 @@ def test_failing_step_leaves_the_mark(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError):
         R.run_step("daily", lambda: R.sync_daily(until(sources, SECOND), store, SECOND))
     assert store.read("sync_state").collect() == before
-    assert store.batches("daily_log") == [(R.batch_of(FIRST), APPEND)]
+    assert [b[:3] for b in store.batches("daily_log")] == [(RUN, R.batch_of(FIRST), APPEND)]
     monkeypatch.undo()
     R.sync_daily(until(sources, SECOND), store, SECOND)
     assert len(store.batches("daily_log")) == 2
@@ -192,7 +193,7 @@ def test_incremental_accounts_equal_a_recount(spark, tmp_path):
     sources = adapters.sources(spark, "/root/testdata/sf0.001")
     users = sources["users"]
     for at in (FIRST, SECOND):
-        R.sync_daily(until(sources, at), store, at, keep_log=True)
+        R.sync_daily(until(sources, at), store, at)
         R.sync_accounts(until(sources, at), store, at, from_log=True)
     for compacted in (False, True):
         if compacted:
@@ -203,4 +204,83 @@ def test_incremental_accounts_equal_a_recount(spark, tmp_path):
         exact = facts_of(fold_user_days(store.read("user_days")), users)
         once = events_daily(until(sources, SECOND)["events"], users)
         assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, once.collect()))
-    assert store.batches("user_days") == [(R.batch_of(SECOND), REPLACE)]
+    assert [b[:3] for b in store.batches("user_days")] == [(COMPACTION, 0, REPLACE)]
+
+
+def exact_facts(store, users):
+    from acctpulse.operators.daily import facts_of, fold_user_days
+
+    return sorted(map(tuple, facts_of(fold_user_days(store.read("user_days")), users).collect()))
+
+
+def test_back_dated_run_raises_and_loses_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    sources = adapters.sources(spark, "/root/testdata/sf0.001")
+    R.run(until(sources, SECOND), store, SECOND, per_prompt(answer), "m")
+    with pytest.raises(ValueError, match="before its newest"):
+        R.run(sources, store, FIRST, per_prompt(answer), "m")
+    R.run(sources, store, "2024-02-03 00:30:00", per_prompt(answer), "m")
+    assert R.daily_facts(store).agg(F.sum("event_count")).first()[0] == 1000
+
+
+def test_switching_to_incremental_accounts_equals_a_recount(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    sources = adapters.sources(spark, "/root/testdata/sf0.001")
+    R.run(until(sources, FIRST), store, FIRST, per_prompt(answer), "m")
+    R.run(sources, store, SECOND, per_prompt(answer), "m", incremental_accounts=True)
+    recount = R.account_rollup(**sources, as_of=SECOND)
+    assert sorted(map(tuple, store.read("dim_accounts").collect())) == sorted(map(tuple, recount.collect()))
+    # A log that lacks user days is refused.
+    facts = store.read("daily_log").limit(1)
+    store.append("daily_log", facts, 1, writer="other")
+    with pytest.raises(ValueError, match="user days"):
+        R.sync_accounts(sources, store, "2024-02-03 00:30:00", from_log=True)
+
+
+def test_chat_and_digest_rows_follow_the_hour(spark, tmp_path):
+    for hour, digest in ((0, 3), (3, 0)):
+        store = Store(spark, str(tmp_path / str(hour)))
+        parts = (25, 20, 20, 4, 5)
+        at = datetime(2024, 1, 8)
+        state = [(1, 60, True, parts, at, 90, datetime(2024, 1, 1), 60, at)]
+        store.append("score_state", spark.createDataFrame(state, store.schema("score_state")), 1)
+        account = spark.createDataFrame([(1, "One", "pro")], "company_id long, company_name string, plan string")
+        for column in store.schema("dim_accounts"):
+            if column.name not in account.columns:
+                account = account.withColumn(column.name, F.lit(None).cast(column.dataType))
+        store.append("dim_accounts", account, 1)
+        R.scan_alerts(store, f"2024-01-08 0{hour}:10:00")
+        assert (store.read("alert_log").count(), store.read("chat_messages").count()) == (1, 1)
+        assert store.read("alert_digests").count() == digest
+        R.scan_alerts(store, f"2024-01-08 0{hour}:40:00")
+        assert store.read("alert_log").count() == store.read("chat_messages").count() == 1
+
+
+def test_briefs_for_chosen_accounts(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    sources = adapters.sources(spark, "/root/testdata/sf0.001")
+    ids = spark.createDataFrame([(1,), (2,), (99,)], "company_id long")
+    R.run(sources, store, SECOND, per_prompt(answer), "m", brief_ids=ids)
+    assert sorted(r.company_id for r in store.read("ai_summaries").collect()) == [1, 2]
+
+
+def test_manifest_compaction_keeps_batches_and_marks(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("events", 5, None)], store.schema("sync_state"))
+    for n in range(3):
+        store.append("sync_state", rows, n)
+    store.stage("sync_state", rows, 3, REPLACE)
+    store.commit(3, {"sync_state": REPLACE})
+    store.append("sync_state", rows, 0, "stream", "d1")
+    store.stage("sync_state", rows, 4, REPLACE)
+    store.commit(4, {"sync_state": REPLACE})
+    store.append("sync_state", rows, 5)
+    before = store.batches("sync_state")
+    store.compact_manifest()
+    assert [b[:3] for b in store.batches("sync_state")] == [b[:3] for b in before] and store.read("sync_state").count() == 2
+    assert store.committed("sync_state", 0, "stream", "d1") and store.committed("sync_state", 5)
+    with pytest.raises(ValueError):
+        store.committed("sync_state", 0, "stream", "d2")
+    with pytest.raises(ValueError):
+        store.committed("sync_state", 1)
+    assert len([1 for b in store.entries("sync_state")]) == 3

@@ -4,7 +4,12 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from acctpulse.operators.daily import events_daily, fold_daily
+import pytest
+from pyspark.errors import StreamingQueryException
+
+from acctpulse.operators.alerts import new_alerts
+from acctpulse.operators.daily import events_daily, facts_of, fold_daily, fold_user_days
+from acctpulse.plans.ingest import compact_daily, ingest_run_batch, user_days_complete
 from acctpulse.sources import adapters
 from acctpulse.sources.store import Store
 from acctpulse.streaming.alerts import stream_alerts
@@ -32,30 +37,75 @@ def test_stream_equals_batch_with_late_files(spark, tmp_path):
     assert len(store.batches("daily_log")) == 3
     count = lambda df: {(r.company_id, r.event_date, r.event_type): r.event_count for r in df.collect()}
     assert count(fold_daily(store.read("daily_log"))) == count(events_daily(events, users))
-    # Nothing new: no batch. A fresh checkpoint replays the epochs, which are already committed.
+    # Nothing new: no batch. A fresh checkpoint under the same writer meets other content under its epochs.
     stream_daily(event_stream(spark, src, 1), users, store, checkpoint).awaitTermination()
-    stream_daily(event_stream(spark, src, 1), users, store, str(tmp_path / "other")).awaitTermination()
     assert len(store.batches("daily_log")) == 3
+    with pytest.raises(StreamingQueryException):
+        stream_daily(event_stream(spark, src), users, store, str(tmp_path / "other")).awaitTermination()
     assert count(fold_daily(store.read("daily_log"))) == count(events_daily(events, users))
 
 
+def exact(store, users):
+    return sorted(map(tuple, facts_of(fold_user_days(store.read("user_days")), users).collect()))
+
+
+def test_stream_run_compaction_and_next_epoch(spark, tmp_path):
+    events, users = adapters.events(spark, SF_DIR), adapters.users(spark, SF_DIR)
+    src, checkpoint = str(tmp_path / "events"), str(tmp_path / "checkpoint")
+    store = Store(spark, str(tmp_path / "store"))
+    last = events.agg(F.max("id")).first()[0]
+    sources = lambda most: {"events": events.filter(F.col("id") <= most), "users": users}
+    write(events.filter(F.col("id") <= last // 4), src)
+    stream_daily(event_stream(spark, src), users, store, checkpoint).awaitTermination()
+    ingest_run_batch(store, sources(last // 2), 20240101, "2024-01-20")
+    compact_daily(store)
+    # Events that no run has had: the next epoch of the same stream.
+    write(events.filter(F.col("id") > last // 2), src)
+    stream_daily(event_stream(spark, src), users, store, checkpoint).awaitTermination()
+    assert exact(store, users) == sorted(map(tuple, events_daily(events, users).collect()))
+    # A run over the whole source finds nothing that the stream has not loaded.
+    ingest_run_batch(store, sources(last), 20240102, "2024-01-30")
+    assert exact(store, users) == sorted(map(tuple, events_daily(events, users).collect()))
+    assert user_days_complete(store)
+
+
+def test_second_stream_and_stream_after_run(spark, tmp_path):
+    events, users = adapters.events(spark, SF_DIR), adapters.users(spark, SF_DIR)
+    store = Store(spark, str(tmp_path / "store"))
+    last = events.agg(F.max("id")).first()[0]
+    ingest_run_batch(store, {"events": events.filter(F.col("id") <= last // 3), "users": users}, 1, "2024-01-20")
+    odd = F.col("id") % 2 == 1
+    # The first stream's files also hold what the run had; the second has a checkpoint, a name and new files of its own.
+    for name, part in (("one", events.filter(odd)), ("two", events.filter(~odd))):
+        write(part, str(tmp_path / name))
+        stream_daily(event_stream(spark, str(tmp_path / name)), users, store, str(tmp_path / f"check-{name}"), name).awaitTermination()
+    assert exact(store, users) == sorted(map(tuple, events_daily(events, users).collect()))
+
+
 def test_stream_alerts_once_per_day(spark, tmp_path):
     schema = "company_id long, company_name string, plan string, score int, scored_at timestamp_ntz"
-    src, out = str(tmp_path / "flagged"), str(tmp_path / "alerts")
+    src = str(tmp_path / "flagged")
     at = lambda d, h: datetime(2024, 1, d, h)
     files = [
         [(1, "A", "pro", 40, at(5, 1)), (1, "A", "pro", 39, at(5, 9)), (2, "B", "trial", 10, at(5, 2))],
         [(1, "A", "pro", 38, at(5, 20)), (1, "A", "pro", 35, at(6, 1))],
         [(2, "B", "trial", 12, at(6, 3)), (1, "A", "pro", 30, at(6, 4))],
     ]
+    store = Store(spark, str(tmp_path / "store"))
+
+    def feed(part, checkpoint="checkpoint", writer="alerts"):
+        write(spark.createDataFrame(part, schema), f"{src}-{writer}")
+        flagged = spark.readStream.schema(schema).parquet(f"{src}-{writer}")
+        stream_alerts(flagged, store, str(tmp_path / checkpoint), writer=writer).awaitTermination()
+
     for part in files:
-        write(spark.createDataFrame(part, schema), src)
-        flagged = spark.readStream.schema(schema).parquet(src)
-        query = (
-            stream_alerts(flagged).writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    got = spark.read.parquet(out).collect()
-    assert sorted((r.company_id, r.created_at.day) for r in got) == [(1, 5), (1, 6), (2, 5), (2, 6)]
+        feed(part)
+    feed([(3, "C", "pro", 5, at(1, 1)), (1, "A", "pro", 30, at(5, 23))])  # a late day, and a late row of a logged day
+    feed([(1, "A", "pro", 38, at(5, 20)), (3, "C", "pro", 4, at(2, 1))], "elsewhere", "other")  # another stream
+    got = store.read("alert_log").collect()
+    assert sorted((r.company_id, r.created_at.day) for r in got) == [(1, 5), (1, 6), (2, 5), (2, 6), (3, 1), (3, 2)]
+    assert {(r.company_id, r.created_at.day): r.created_at.hour for r in got}[1, 5] == 1
     assert all("flagged at-risk" in r.message and r.acknowledged is False for r in got)
+    # The daily scan of such a day finds it logged.
+    names = spark.createDataFrame([(1, "A", "pro", 30, at(6, 4))], schema)
+    assert new_alerts(names, store.read("alert_log"), "2024-01-06 01:00:00").isEmpty()
