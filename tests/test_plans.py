@@ -9,7 +9,7 @@ from acctpulse.operators.accounts import account_detail
 from acctpulse.operators.alerts import alert_feed
 from acctpulse.operators.daily import active_users_30d, events_daily, fold_daily
 from acctpulse.operators.rollup import account_rollup
-from acctpulse.operators.trend import score_trend
+from acctpulse.operators.trend import flag_at_risk, score_trend
 from acctpulse.plans.snapshots import score_snapshots
 from acctpulse.registry.queries import QUERIES
 from acctpulse.schemas import SOURCE_SCHEMAS, STORE_SCHEMAS
@@ -91,15 +91,32 @@ def test_feed_is_a_top_k(stored):
 
 
 def test_generator_runs_behind_the_gate(stored):
-    text = plan(B.generate(stored("brief_queue"), B.per_prompt(lambda p: (p, 1, 1))))
+    text = plan(B.generate(stored("brief_queue"), B.per_prompt(lambda p: (p, 1, 1)), 2))
     assert "MapInPandas" in text and "EqualTo(gate,generate)" in text
 
 
-def test_source_scan_has_a_fixed_schema(spark, tmp_path, rows):
-    rows([(1, "x")], "id long, extra string").write.parquet(str(tmp_path / "companies"))
+def test_source_scan_reads_known_columns_only(spark, tmp_path):
+    empty = spark.createDataFrame([], SOURCE_SCHEMAS["companies"])
+    empty.selectExpr("*", "'x' as extra").write.parquet(str(tmp_path / "companies"))
     assert read_source(spark, str(tmp_path), "companies").columns == SOURCE_SCHEMAS["companies"].names
 
 
+def test_flagging_ranks_the_history_once(stored):
+    text = plan(flag_at_risk(stored("fact_health_score")))
+    assert text.count("Scan parquet") == 2 and text.count("WindowGroupLimit") == 2  # one rank, partial and final
+
+
+def test_detail_cuts_before_it_keeps_some_accounts(stored):
+    ids = stored("dim_accounts").select("company_id")
+    tables = [stored(t) for t in ("dim_accounts", "fact_health_score", "ai_summaries", "crm_notes", "alert_log")]
+    logical = account_detail(*tables, ids)._jdf.queryExecution().optimizedPlan().toString()
+    lines = logical.splitlines()
+    for n, line in enumerate(lines):
+        if "LeftSemi" in line and "company_id" in line:
+            below = "\n".join(lines[n : n + 12])
+            assert "crm_notes" not in below or "Window" in below
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_uses_a_cross_join(spark, sf_dir, name):
     text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
