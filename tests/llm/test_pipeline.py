@@ -8,7 +8,7 @@ import pytest
 from test_packing_tokens import check_sequences
 from test_secrets import brute as secret_spans
 from test_simhash import brute_components, brute_fingerprint
-from test_quality import brute as text_counts
+from test_quality_rules import brute as text_counts
 
 SF = "/root/testdata/sf0.01"
 
