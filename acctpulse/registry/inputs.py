@@ -23,8 +23,10 @@ from acctpulse.sources.readers import select_renamed
 AS_OF = "2024-01-31 00:00:00"
 SCAN_AT = "2024-01-31 01:00:00"
 SNAPSHOTS = ["2024-01-10 00:00:00", "2024-01-17 00:00:00", "2024-01-24 00:00:00", AS_OF]
-# Every other day, not at midnight: more snapshots than the detail view shows.
-DENSE_SNAPSHOTS = [f"2024-01-{d:02d} 06:00:00" for d in range(8, 31, 2)]
+# Not at midnight, over four months; in January every other day: more snapshots than the detail view shows.
+DENSE_SNAPSHOTS = [
+    "2023-12-20 06:00:00", *(f"2024-01-{d:02d} 06:00:00" for d in range(8, 31, 2)), "2024-02-09 06:00:00", "2024-03-10 06:00:00",
+]
 BATCH_CUTS = ["2024-01-11 12:00:00", "2024-01-21 18:00:00"]
 MODEL = "stub-1"
 

@@ -1,6 +1,7 @@
 """What the physical plans must and must not contain."""
 
 import re
+from datetime import date, timedelta
 
 import pytest
 
@@ -129,3 +130,16 @@ def test_adapters_use_whole_tables(spark, sf_dir):
     counts = {name: df.count() for name, df in adapters.sources(spark, sf_dir).items()}
     raw = {"companies": "supplier", "users": "customer", "events": "events", "tickets": "orders"}
     assert counts == {k: spark.read.parquet(f"{sf_dir}/{v}.parquet").count() for k, v in raw.items()}
+
+
+def test_a_year_of_daily_snapshots(spark, sf_dir):
+    times = [f"{day:%Y-%m-%d} 00:00:00" for day in (date(2023, 7, 1) + timedelta(days=n) for n in range(365))]
+    got = score_snapshots(
+        **adapters.sources(spark, sf_dir), as_ofs=times, mode="exact", seats="distinct", login_event=adapters.LOGIN_EVENT
+    )
+    rows = {(r.company_id, str(r.scored_at)): r.score for r in got.collect()}
+    assert len(rows) == 365 * 10
+    few = score_snapshots(
+        **adapters.sources(spark, sf_dir), as_ofs=times[200::60], mode="exact", seats="distinct", login_event=adapters.LOGIN_EVENT
+    ).collect()
+    assert all(rows[r.company_id, str(r.scored_at)] == r.score for r in few) and few
