@@ -43,7 +43,7 @@ STATISTICS = {
 #: Spread that a statistic may have in any group, added to the estimate: sound texts of a few lines repeat one, hold a
 #: number or a symbol, in groups whose bulk has none.
 FLOORS = {"word_length": 0.05, "symbols": 0.03, "upper": 0.05, "digits": 0.1, "marks": 0.05, "dup_lines": 0.2, "repeats": 0.2}
-PART, STEPS, REWEIGHT, REJECT = 0.75, 4, 0.975, 1e-6
+PART, STEPS, REWEIGHT, REJECT = 0.75, 4, 0.975, 1e-4
 MIN_ROWS = 200
 _P = len(STATISTICS)
 _BINS = 4
