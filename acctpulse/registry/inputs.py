@@ -83,7 +83,8 @@ class Inputs:
         return events_daily(self.events.filter(wanted), self.users)
 
     def components(self, mode: str = "exact") -> DataFrame:
-        seated = with_seats(self.rollup(mode), active_users_30d(self.daily, AS_OF))
+        accounts = self.accounts if mode == "exact" else self.rollup(mode)
+        seated = with_seats(accounts, active_users_30d(self.daily, AS_OF))
         return health_components(seated, None, AS_OF)
 
     def health(self, mode: str = "exact") -> DataFrame:
@@ -99,8 +100,8 @@ class Inputs:
 
     @cached_property
     def scores(self) -> DataFrame:
-        """Score history as weekly runs would have stored it."""
-        return flag_history(self.snapshots())
+        """Score history as weekly runs would have stored it. The back-fill is staged: comparing neighbours reads it twice."""
+        return flag_history(staged(self.snapshots(), "snapshots"))
 
     def stage_scores(self) -> None:
         """Compute the history once, for queries that use it in several branches."""

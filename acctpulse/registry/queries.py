@@ -102,12 +102,14 @@ QUERIES["schema_drift"] = QUERIES.pop("schema_drift_report")
 
 @query
 def constraint_report(i):
+    # Several rules read each of these.
+    i.accounts, i.daily = staged(i.accounts, "accounts"), staged(i.daily, "daily")
     return Q.constraint_report(
         {
             **i.sources,
             "dim_accounts": i.accounts,
             "fact_events_daily": i.daily,
-            "fact_health_score": i.scored(),
+            "fact_health_score": staged(i.scored(), "scored"),
             "crm_notes": i.notes,
             "alert_log": i.alerts,
         }
@@ -278,12 +280,12 @@ def score_trend(i):
 
 @query
 def score_drop_history(i):
-    return T.score_drop_history(i.snapshots(DENSE_SNAPSHOTS))
+    return T.score_drop_history(staged(i.snapshots(DENSE_SNAPSHOTS), "snapshots"))
 
 
 @query
 def flag_latest_snapshot(i):
-    return _flat_components(T.flag_at_risk(i.snapshots()))
+    return _flat_components(T.flag_at_risk(staged(i.snapshots(), "snapshots")))
 
 
 @query
@@ -312,7 +314,7 @@ def at_risk_ids(i):
 
 
 def _newest_run(i: Inputs) -> DataFrame:
-    return T.flag_at_risk(i.snapshots()).filter(F.col("scored_at") == F.lit(AS_OF).cast("timestamp_ntz"))
+    return T.flag_at_risk(staged(i.snapshots(), "snapshots")).filter(F.col("scored_at") == F.lit(AS_OF).cast("timestamp_ntz"))
 
 
 # --- alerts -----------------------------------------------------------------------------------------------------
@@ -351,7 +353,7 @@ def alert_run_summary(i):
 @query
 def alerts_stream(i):
     """Alerts of a stream of flagged snapshots: one per company, type and day."""
-    flagged = T.flag_history(i.snapshots(DENSE_SNAPSHOTS)).filter("at_risk")
+    flagged = T.flag_history(staged(i.snapshots(DENSE_SNAPSHOTS), "snapshots")).filter("at_risk")
     names = i.companies.selectExpr("id as company_id", "name as company_name", "plan")
     rows = flagged.join(names, "company_id").select("company_id", "company_name", "plan", "score", "scored_at")
     rows = staged(rows, "flagged_rows")
