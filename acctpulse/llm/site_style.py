@@ -7,8 +7,10 @@ one node. A node is judged by what its pages do at this place:
 * content: one minus the entropy of its text blocks over pages (text that differs from page to page: important; text
   that many pages repeat: not).
 
-Both come from counts of (host, node, value), so no host's tree is ever held in one task: the counts are pre-aggregated
-where the pages lie. Branches of low importance are removed from every page of the host. Elements whose tag, role, class
+The composite importance of a branch is its own presentation and the importance of all text below it, by characters.
+All come from counts of (host, node, value) and the ancestors of each node, so no host's tree is ever held in one task:
+the counts are pre-aggregated where the pages lie. Branches of low composite importance are removed from every page of
+the host; where only the text directly in a node is unimportant, that text alone is removed. Elements whose tag, role, class
 or id declares them to be menus, adverts, forms, comments and the like have no importance on any host, which also serves
 hosts of one page; where a page declares an ``article`` or ``main`` element, what is outside is no part of the article.
 """
@@ -157,12 +159,12 @@ class Page:
             if self.open[k][0] in SCOPES and self.open[k][0] != tag:
                 return
 
-    def main_text(self, low: set[int] | None = None) -> list[str]:
-        """The blocks left without declared furniture and without branches of low importance."""
+    def main_text(self, low: set[int] | None = None, own: set[int] | None = None) -> list[str]:
+        """The blocks left without declared furniture, branches of low importance and text directly in the nodes ``own``."""
         gone = list(self.noise)
         for node in range(1, len(gone)):
             gone[node] = gone[node] or gone[self.parents[node]] or bool(low) and self.keys[node] in low
-        kept = [(node, text) for node, text in self.blocks if not gone[node]]
+        kept = [(node, text) for node, text in self.blocks if not gone[node] and not (own and self.keys[node] in own)]
         within = [text for node, text in kept if self.inside[node]]
         return within or [text for _, text in kept]
 
@@ -176,6 +178,15 @@ class Page:
             if not self.noise[node] and (whole or self.inside[node]):
                 yield self.keys[node], 1, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")), len(text)
 
+    def branches(self) -> Iterator[tuple[int, int]]:
+        """``(node, ancestor)`` for every node with text that ``counts`` counts, and its ancestors that it counts."""
+        whole = not any(self.inside)
+        for node in {node for node, _ in self.blocks if not self.noise[node] and (whole or self.inside[node])}:
+            above = self.parents[node]
+            while above > 0 and (whole or self.inside[above]):
+                yield self.keys[node], self.keys[above]
+                above = self.parents[above]
+
 
 def host_of(url) -> F.Column:
     """Lower-case host of an address; null if there is none."""
@@ -184,23 +195,26 @@ def host_of(url) -> F.Column:
 
 
 def low_importance(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW, most_share: float = MOST_SHARE) -> DataFrame:
-    """``(host, low)``: the nodes of low importance of every host that has any.
+    """``(host, low, own)``: the branches of low importance, and the other nodes whose own text is, of every host that has any.
 
-    A node counts once it is on ``min_pages`` pages of the host. Its importance is the weighted mean of presentation and
-    content importance, where many different child sequences give presentation more weight. The branch of a host that holds
-    more than ``most_share`` of its text is the article itself and is never removed.
+    A node counts once it is on ``min_pages`` pages of the host; before that its text is important. Its importance is the
+    weighted mean of presentation and content importance, where many different child sequences give presentation more
+    weight. The composite importance of a branch has the importance of all text in it, by characters, in place of the
+    node's own content. What holds more than ``most_share`` of the host's text is the article itself and is never removed.
     """
     kind = "host string, node bigint, kind int, value bigint, chars bigint"
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, above = [], set()
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen = {}
-                for node, what, value, chars in Page(text.as_py()).counts():  # once per page
+                seen, page = {}, Page(text.as_py())
+                for node, what, value, chars in page.counts():  # once per page
                     seen[node, what, value] = seen.get((node, what, value), 0) + chars
                 rows += [(host, signed(n), w, signed(v), c) for (n, w, v), c in seen.items()]
+                above.update((host, n, a) for n, a in page.branches())
+            rows += [(host, signed(n), 2, signed(a), 0) for host, n, a in above]
             columns = list(zip(*rows)) or [()] * 5
             types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "node", "kind", "value", "chars"])
@@ -215,6 +229,7 @@ def low_importance(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LO
         F.coalesce(F.sum(F.when(F.col("kind") == 1, n)), F.lit(0.0)).alias("blocks"),
         F.coalesce(F.sum(F.when(F.col("kind") == 1, n * F.log(n))), F.lit(0.0)).alias("block_sum"),
         F.sum("chars").alias("chars"),
+        F.collect_set(F.when(F.col("kind") == 2, F.col("value"))).alias("above"),
     )
     nodes = staged(nodes, "nodes")
     all_chars = nodes.groupBy("host").agg(F.sum("chars").alias("host_chars"))
@@ -224,9 +239,24 @@ def low_importance(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LO
     content = 1 - F.col("block_sum") / (F.greatest(F.col("blocks"), F.lit(1.0)) * spread)
     weight = 1 - F.pow(F.lit(GAMMA), F.col("layouts") - 1)
     importance = weight * presentation + (1 - weight) * content
-    found = nodes.filter((F.col("pages") >= min_pages) & (F.col("blocks") > 0)).join(all_chars, "host")
-    noisy = found.filter((importance <= low) & (content <= low) & (F.col("chars") <= most_share * F.col("host_chars")))
-    return noisy.groupBy("host").agg(F.collect_list("node").alias("low"))
+    known = F.col("pages") >= min_pages
+    nodes = nodes.select(
+        "host", "node", "chars", "above", known.alias("known"), (F.col("blocks") > 0).alias("texts"), weight.alias("weight"), presentation.alias("presentation"),
+        F.when(known, content).otherwise(1.0).alias("content"), F.when(known, importance).otherwise(1.0).alias("importance"),
+    )
+    parts = nodes.filter("texts").select("host", F.explode(F.concat("above", F.array("node"))).alias("node"), "chars", "content", "importance")
+    mean = lambda c: F.sum(F.col(c) * F.col("chars")) / F.sum("chars")
+    branches = parts.groupBy("host", "node").agg(
+        F.sum("chars").alias("branch_chars"), mean("content").alias("branch_content"), mean("importance").alias("branch_importance")
+    )
+    found = nodes.filter("known").join(branches, ["host", "node"]).join(all_chars, "host")
+    composite = F.col("weight") * F.col("presentation") + (1 - F.col("weight")) * F.col("branch_importance")
+    most = most_share * F.col("host_chars")
+    branch = (composite <= low) & (F.col("branch_content") <= low) & (F.col("branch_chars") <= most)
+    alone = F.col("texts") & (F.col("importance") <= low) & (F.col("content") <= low) & (F.col("chars") <= most)
+    noisy = found.select("host", "node", branch.alias("branch"), alone.alias("alone")).filter("branch OR alone")
+    lists = [F.collect_list(F.when(c, F.col("node"))).alias(name) for c, name in ((F.col("branch"), "low"), (~F.col("branch"), "own"))]
+    return noisy.groupBy("host").agg(*lists)
 
 
 def main_texts(pages: DataFrame, **options) -> DataFrame:
@@ -237,17 +267,17 @@ def main_texts(pages: DataFrame, **options) -> DataFrame:
     returned each. No rows give no rows. Columns other than ``page_id``, ``url`` and ``html`` are not read.
     """
     low = staged(low_importance(pages, **options), "low")
-    salted = low.select("host", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = low.select("host", "low", "own", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(salted, ["host", "salt"], "left").select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), "html", "low")
+    joined = rows.join(salted, ["host", "salt"], "left").select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), "html", "low", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, nodes in zip(batch.column(2), batch.column(3)):
-                nodes = {n + (1 << 64) if n < 0 else n for n in nodes.as_py() or ()}
-                texts.append("\n\n".join(Page(text.as_py()).main_text(nodes)))
+            for text, *lists in zip(*batch.columns[2:5]):
+                low, own = ({n + (1 << 64) if n < 0 else n for n in nodes.as_py() or ()} for nodes in lists)
+                texts.append("\n\n".join(Page(text.as_py()).main_text(low, own)))
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 

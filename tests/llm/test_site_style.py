@@ -68,6 +68,17 @@ def test_copies_of_one_page_keep_their_article(spark):
     assert all("same long text" in t for t in got.values())
 
 
+@pytest.mark.parametrize("tag", ["article", "div class='post'"])
+def test_constant_words_beside_the_article_do_not_take_it_along(spark, tag):
+    def body(i):
+        story = "".join(f"<{t}>Story {i} says {t} {i * 7} at some length.</{t}>" for t in (["p"], ["p", "h2"], ["p", "ul"], ["p", "pre"], ["p", "h3"])[i % 5])
+        return f"<{tag}>By staff{story}</{tag.split()[0]}><div class=end><b>All</b><p>rights reserved</p></div>"
+
+    got = run(spark, [(i, f"http://a.example/{i}", f"<body>{body(i)}</body>") for i in range(100)])
+    for i, text in got.items():
+        assert f"Story {i} says p" in text and "By staff" not in text and "rights" not in text
+
+
 def test_importance_against_whole_host(spark):
     pages = site(30)
     df = spark.createDataFrame([(*p, "x", 1, "y") for p in pages], SCHEMA)
