@@ -12,7 +12,8 @@ All come from counts of (host, node, value) and the ancestors of each node, so n
 the counts are pre-aggregated where the pages lie. Branches of low composite importance are removed from every page of
 the host; where only the text directly in a node is unimportant, that text alone is removed. Elements whose tag, role, class
 or id declares them to be menus, adverts, forms, comments and the like have no importance on any host, which also serves
-hosts of one page; where a page declares an ``article`` or ``main`` element, what is outside is no part of the article.
+hosts of one page. Words never declare a whole document, ``main`` or ``article``, and neither a form with most of a page's
+text nor words that would leave next to nothing of a page decide: the tree judges what they hold. Where a page declares an ``article`` or ``main`` element, what is outside is no part of the article.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ RAW = set("script style noscript template iframe svg canvas object math textarea
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-NOISE_TAGS = set("nav footer aside form head button select option menu dialog fieldset".split()) | RAW
-NOISE_ROLES = set("navigation contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+NOISE_TAGS = set("nav footer aside head button select option menu dialog fieldset".split()) | RAW
+NOISE_ROLES = set("navigation contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 NOISE_WORDS = set(
     "ad ads advert advertisement adverts adsense adbox sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "footer sidebar widget cookie cookies consent gdpr notice popup modal newsletter subscribe signup login share sharing "
@@ -44,6 +45,7 @@ NOISE_WORDS = set(
 #: Declares furniture only outside an article, whose own header holds its title.
 OUTER_WORDS = {"header", "masthead", "banner", "topbar"}
 CONTENT_TAGS = {"article", "main"}
+WHOLE_TAGS = CONTENT_TAGS | {"html", "body"}
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "main menu nav ol p pre section table ul".split()
@@ -56,7 +58,9 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-MIN_PAGES, LOW, MOST_SHARE, SALTS = 8, 0.2, 0.3, 16
+MIN_PAGES, LOW, MOST_SHARE, LEFT_SHARE, SALTS = 2, 0.2, 0.3, 0.1, 16
+#: A page of which words would leave a smaller share is judged without them.
+NEXT_TO_NOTHING = 0.02
 GAMMA = 0.9
 
 
@@ -64,11 +68,36 @@ class Page:
     """Element nodes in order (``parents``, ``keys``, ``noise``, ``inside`` an article) and text ``blocks`` ``(node, text)``."""
 
     def __init__(self, text: str | None):
+        self.restored: set[int] = set()
+        self._read(text or "")
+        self.restored = self._restorable()
+        if self.restored:
+            self._read(text or "")
+
+    def _read(self, text: str) -> None:
         self.parents, self.keys, self.noise, self.inside, self.styles = [-1], [0], [False], [False], [0]
         self.blocks: list[tuple[int, str]] = []
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, skip its text
+        # Tag, node, and whether its text is skipped: 1 where words or a form say so, 2 for other reasons.
+        self.open: list[tuple[str, int, int]] = [("", 0, 0)]
         self.buffer: list[str] = []
-        self._parse(text or "")
+        self.skipped: dict[int, int] = {}  # characters by node, where words or a form say so
+        self.declared: list[tuple[int, int, bool]] = []  # node, place in the text, is it a form
+        self._parse(text)
+
+    def _restorable(self) -> set[int]:
+        """Places of forms with most of the text, and of elements with most of it where words leave next to nothing."""
+        if not self.declared:
+            return set()
+        chars = [0] * len(self.parents)
+        for node, words in self.blocks:
+            chars[node] += len(words)
+        left = sum(chars)
+        for node, n in self.skipped.items():
+            chars[node] += n
+        for node in range(len(chars) - 1, 0, -1):
+            chars[self.parents[node]] += chars[node]
+        nothing = left < NEXT_TO_NOTHING * chars[0]
+        return {at for node, at, form in self.declared if 2 * chars[node] > chars[0] and (form or nothing)}
 
     def _flush(self, node: int) -> None:
         if self.buffer:
@@ -84,6 +113,9 @@ class Page:
             stop = found.start() if found else end
             if stop > at and not self.open[-1][2]:
                 self.buffer.append(text[at:stop])
+            elif stop > at and self.open[-1][2] == 1:
+                node = self.open[-1][1]
+                self.skipped[node] = self.skipped.get(node, 0) + len(" ".join(text[at:stop].split()))
             if not found:
                 break
             at = found.end()
@@ -94,7 +126,7 @@ class Page:
             if closing:
                 self._close(tag)
                 continue
-            self._start(tag, rest)
+            self._start(tag, rest, found.start())
             if tag in RAW and not rest.endswith("/"):
                 last = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|$)", re.I).search(text, at)
                 at = last.start() if last else end
@@ -114,7 +146,7 @@ class Page:
             if tag in INLINE and self.open[k][0] not in INLINE:
                 return
 
-    def _start(self, tag: str, rest: str) -> None:
+    def _start(self, tag: str, rest: str, place: int) -> None:
         if tag == "br":
             self.buffer.append(" ")
             return
@@ -126,11 +158,15 @@ class Page:
         own = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
         inside = self.inside[parent]
         words = set(_WORD.findall(f"{own.get('class', '')} {own.get('id', '')}".lower()))
-        noise = (
-            tag in NOISE_TAGS or bool(words & NOISE_WORDS) or own.get("role", "").lower() in NOISE_ROLES
-            or own.get("aria-hidden", "").lower() == "true" or bool(rest and _HIDDEN.search(rest))
-            or (not inside and (tag == "header" or bool(words & OUTER_WORDS)))
+        role = own.get("role", "").lower()
+        hard = (
+            tag in NOISE_TAGS or role in NOISE_ROLES or own.get("aria-hidden", "").lower() == "true"
+            or bool(rest and _HIDDEN.search(rest)) or (not inside and tag == "header")
         )
+        form = tag == "form" or role == "form"
+        worded = tag not in WHOLE_TAGS and bool(words & NOISE_WORDS or (not inside and words & OUTER_WORDS))
+        soft = (form or worded) and not hard and place not in self.restored
+        noise = hard or soft
         if tag in INLINE and not noise:
             self.open.append((tag, parent, skip))
             return
@@ -146,8 +182,10 @@ class Page:
         self.noise.append(noise or self.noise[parent])
         self.inside.append(inside or (tag in CONTENT_TAGS and not noise and not self.noise[parent]))
         self.styles.append(0)
+        if soft and skip < 2:
+            self.declared.append((len(self.parents) - 1, place, form))
         if not rest.endswith("/") or tag not in RAW:
-            self.open.append((tag, len(self.parents) - 1, skip or noise))
+            self.open.append((tag, len(self.parents) - 1, max(skip, 2 if hard else int(soft))))
 
     def _close_within(self, tag: str, tags: set[str]) -> None:
         """Close an element that the start of ``tag`` ends, unless a list, table or section lies between."""
@@ -194,13 +232,16 @@ def host_of(url) -> F.Column:
     return F.when(host != "", host)
 
 
-def low_importance(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW, most_share: float = MOST_SHARE) -> DataFrame:
+def low_importance(
+    pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW, most_share: float = MOST_SHARE, left_share: float = LEFT_SHARE
+) -> DataFrame:
     """``(host, low, own)``: the branches of low importance, and the other nodes whose own text is, of every host that has any.
 
     A node counts once it is on ``min_pages`` pages of the host; before that its text is important. Its importance is the
     weighted mean of presentation and content importance, where many different child sequences give presentation more
     weight. The composite importance of a branch has the importance of all text in it, by characters, in place of the
-    node's own content. What holds more than ``most_share`` of the host's text is the article itself and is never removed.
+    node's own content. What holds more than ``most_share`` of the host's text is taken for the article itself and stays,
+    unless ``left_share`` of the host's text or more is important by itself and outside: then the articles are elsewhere.
     """
     kind = "host string, node bigint, kind int, value bigint, chars bigint"
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -232,7 +273,6 @@ def low_importance(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LO
         F.collect_set(F.when(F.col("kind") == 2, F.col("value"))).alias("above"),
     )
     nodes = staged(nodes, "nodes")
-    all_chars = nodes.groupBy("host").agg(F.sum("chars").alias("host_chars"))
     # A page counts once per child sequence; nodes repeated in a page with several sequences make "pages" an upper bound.
     spread = F.log(F.greatest(F.col("pages"), F.lit(2.0)))
     presentation = (F.log(F.col("pages")) - F.col("layout_sum") / F.col("pages")) / spread
@@ -244,16 +284,20 @@ def low_importance(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LO
         "host", "node", "chars", "above", known.alias("known"), (F.col("blocks") > 0).alias("texts"), weight.alias("weight"), presentation.alias("presentation"),
         F.when(known, content).otherwise(1.0).alias("content"), F.when(known, importance).otherwise(1.0).alias("importance"),
     )
-    parts = nodes.filter("texts").select("host", F.explode(F.concat("above", F.array("node"))).alias("node"), "chars", "content", "importance")
+    unimportant = (F.col("importance") <= low) & (F.col("content") <= low)
+    nodes = nodes.withColumn("vital", F.when(F.col("texts") & ~unimportant, F.col("chars")).otherwise(0))
+    all_chars = nodes.groupBy("host").agg(F.sum("chars").alias("host_chars"), F.sum("vital").alias("host_vital"))
+    parts = nodes.filter("texts").select("host", F.explode(F.concat("above", F.array("node"))).alias("node"), "chars", "content", "importance", "vital")
     mean = lambda c: F.sum(F.col(c) * F.col("chars")) / F.sum("chars")
     branches = parts.groupBy("host", "node").agg(
-        F.sum("chars").alias("branch_chars"), mean("content").alias("branch_content"), mean("importance").alias("branch_importance")
+        F.sum("chars").alias("branch_chars"), F.sum("vital").alias("branch_vital"), mean("content").alias("branch_content"), mean("importance").alias("branch_importance")
     )
     found = nodes.filter("known").join(branches, ["host", "node"]).join(all_chars, "host")
     composite = F.col("weight") * F.col("presentation") + (1 - F.col("weight")) * F.col("branch_importance")
-    most = most_share * F.col("host_chars")
-    branch = (composite <= low) & (F.col("branch_content") <= low) & (F.col("branch_chars") <= most)
-    alone = F.col("texts") & (F.col("importance") <= low) & (F.col("content") <= low) & (F.col("chars") <= most)
+    most, left = most_share * F.col("host_chars"), left_share * F.col("host_chars")
+    may_go = lambda chars, vital: (chars <= most) | (F.col("host_vital") - vital >= left)
+    branch = (composite <= low) & (F.col("branch_content") <= low) & may_go(F.col("branch_chars"), F.col("branch_vital"))
+    alone = F.col("texts") & unimportant & may_go(F.col("chars"), F.col("vital"))
     noisy = found.select("host", "node", branch.alias("branch"), alone.alias("alone")).filter("branch OR alone")
     lists = [F.collect_list(F.when(c, F.col("node"))).alias(name) for c, name in ((F.col("branch"), "low"), (~F.col("branch"), "own"))]
     return noisy.groupBy("host").agg(*lists)

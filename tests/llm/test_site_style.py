@@ -35,6 +35,21 @@ def test_pages(html, want):
     assert texts(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<body class='no-sidebar comments-open'><p>a</p></body>", ["a"]), ("<main class='has-sidebar'><p>a</p></main>", ["a"]),
+        ("<article class='social-science'><p>a</p><div class=share>s</div></article>", ["a"]),
+        ("<body><form action=x><p>the text of the page</p><div class=menu>m</div></form><p>end</p></body>", ["the text of the page", "end"]),
+        ("<div id=page class='has-sidebar'><p>the text</p><div class=sidebar>s</div></div><div class=footer>f</div>", ["the text"]),
+        ("<p>the text</p><form>name</form><div class=comments>c</div>", ["the text"]),
+        ("<div role=form><p>the text</p></div><nav>n</nav>", ["the text"]),
+    ],
+)
+def test_words_and_forms_do_not_discard_a_page(html, want):
+    assert texts(html) == want
+
+
 def test_deep_and_broken_markup():
     assert texts("<div>" * 3000 + "x") == ["x"]
     assert texts("<p \"" * 300) in ([], ["x"]) or True
@@ -79,6 +94,14 @@ def test_constant_words_beside_the_article_do_not_take_it_along(spark, tag):
         assert f"Story {i} says p" in text and "By staff" not in text and "rights" not in text
 
 
+def test_small_hosts_and_long_notices(spark):
+    notice = "<div class=terms>" + "Terms and conditions apply here. " * 40 + "</div>"
+    short = [(i, f"http://s{i % 2}.example/{i}", f"<body><div class=x>Story number {i} is told in these words, which stand on no other page but on page {i}. Story {i} has a second sentence, and a third one with {i * 11} more things to tell about it.</div>{notice}</body>") for i in range(24)]
+    got = run(spark, site(2) + [(100 + i, u, h) for i, u, h in short])
+    assert all(got[i] == f"Story {i} part one of it.\n\nStory {i} goes on at length with words." for i in range(2))
+    assert all(got[100 + i].startswith(f"Story number {i} ") and "Terms" not in got[100 + i] for i in range(24))
+
+
 def test_importance_against_whole_host(spark):
     pages = site(30)
     df = spark.createDataFrame([(*p, "x", 1, "y") for p in pages], SCHEMA)
