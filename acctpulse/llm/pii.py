@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -84,8 +85,21 @@ DIGIT_WORDS = {
     "siete": 7, "ocho": 8, "nueve": 9,
 }
 AT_WORDS, DOT_WORDS = ["at", "arroba", "chez"], ["dot", "punkt", "point", "punto"]
-TOP_LEVEL = set("com org net edu gov mil int info biz io co ai app dev me tv eu uk us ca au de at ch fr be es mx ar br it nl pl pt se no dk fi ru cn jp in example test".split())
-NOT_A_NAME = set("the a an this that these those his her its my our your their all".split())
+TOP_LEVEL = set(
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu "
+    "cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id "
+    "ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms "
+    "mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl "
+    "sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw com org "
+    "net edu gov mil int arpa info biz name pro mobi app dev xyz online site shop store tech cloud blog agency asia tel jobs travel museum aero coop cat "
+    "berlin london paris example test invalid localhost".split()
+)
+#: Of these, the ones that also begin sentences: behind a full stop and a space they are no top-level label.
+ALSO_WORDS = set("ad ai am as by do id im is la ma my na ne om pa pm re si so st to tu va name online site shop store tech cloud blog travel pro cat jobs london paris berlin test".split())
+NOT_A_NAME = set(
+    "the a an this that these those his her its my our your their all some any one no what which each every another other such certain same most".split()
+)
+NOT_A_PERSON = set("i me us him her them you it more here one this that".split())
 
 
 def _wide() -> dict[str, str]:
@@ -177,14 +191,32 @@ def _brackets(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), "@" if m[1] else ".") for m in _BRACKET.finditer(text)]
 
 
+def _is_address(text: str, m: re.Match) -> bool:
+    """Whether a match of ``_PLAIN`` is an address.
+
+    With "dot" spelled, any top-level label will do; the other words for it are common, so they need a known one, as does a
+    real dot. A bare "at" with a real dot counts where the name or the words before it mark an address.
+    """
+    hosts, label = re.split(_WORD_DOT, m[3]), m[4].lower()
+    if hosts[0].lower() in NOT_A_NAME or len(label) > 63:
+        return False
+    if _SPELLED_ANY.search(m[3]):
+        return label in TOP_LEVEL or _SPELLED_SURE.search(m[3]) is not None
+    if label not in TOP_LEVEL or (label in ALSO_WORDS and m[3][-1].isspace()):
+        return False
+    if "@" in m[2]:
+        return True
+    if re.search(r"\s", m[3]) or m[1].lower() in NOT_A_PERSON:
+        return False
+    return _MARKED.search(m[1]) is not None or _ANNOUNCED.search(text, max(0, m.start() - 60), m.start()) is not None
+
+
 def _plain(text: str) -> list[tuple[int, int, str]]:
-    """``name at host dot com`` and ``name @ host . com``; a bare "at" counts only with a spelled dot behind it."""
+    """``name at host dot com``, ``name @ host . com`` and ``first.last at host.com``."""
     out, at = [], 0
     while m := _PLAIN.search(text, at):
         at = m.end(2)
-        hosts = re.split(_WORD_DOT, m[3])
-        spelled = _SPELLED_ANY.search(m[3]) is not None
-        if m[4].lower() not in TOP_LEVEL or hosts[0].lower() in NOT_A_NAME or ("@" not in m[2] and not spelled):
+        if not _is_address(text, m):
             continue
         out += [(*d.span(), ".") for d in _WORD_DOT.finditer(text, *m.span(1)) if d[0] != "."]
         out.append((*m.span(2), "@"))
@@ -194,6 +226,15 @@ def _plain(text: str) -> list[tuple[int, int, str]]:
 
 
 _SPELLED_ANY = re.compile(rf"\s(?:{_dot})\s", re.I)
+_SPELLED_SURE = re.compile(r"\sdot\s", re.I)
+#: Names as no plain word has them, and words that announce an address.
+_MARKED = re.compile(r"[A-Za-z0-9][._+](?=[A-Za-z0-9])|[A-Za-z][0-9]|\s", re.I)
+_ANNOUNCED = re.compile(
+    r"(?:(?:e-?mail|mail|contact|kontakt|correo|courriel|address|adresse)\s*[:=]\s*"
+    r"|(?:write|mail|e-?mail|send|reply|schreiben)\s+(?:\w+\s+){0,2}(?:to|an)\s+|(?:address|adresse|e-?mail)\s+(?:is|ist|est|es)\s+)\Z",
+    re.I,
+)
+_BARE_AT = re.compile(rf"\b(?:{_at})\s+[A-Za-z0-9-]+\.[A-Za-z]", re.I)
 _BRACKETED = re.compile(rf"[\[({{<]\s*(?:{_at}|{_dot}|@|\.)\s*[\])}}>]", re.I)
 _SPACED_AT = re.compile(r"@\s|(?<=\s)@")
 _SEPARATORS = str.maketrans(",-", "  ")
@@ -210,7 +251,8 @@ def normalised(text: str) -> Tape:
         tape.rewrite(_spelled(tape.text))
     if _BRACKETED.search(tape.text):
         tape.rewrite(_brackets(tape.text))
-    if dots or ("@" in tape.text and _SPACED_AT.search(tape.text)):
+    bare = not words.isdisjoint(AT_WORDS) and _BARE_AT.search(tape.text)
+    if dots or bare or ("@" in tape.text and _SPACED_AT.search(tape.text)):
         tape.rewrite(_plain(tape.text))
     if dots:
         tape.rewrite([(*m.span(), ".") for m in _SPELLED_DOT.finditer(tape.text)])
@@ -218,13 +260,16 @@ def normalised(text: str) -> Tape:
 
 
 def personal_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans, and spans found only after normalising, which overlap no base span."""
+    """Base spans, and spans found only after normalising, which lie in no base span of their kind."""
     base, tape, added = base_spans(text), normalised(text), []
     if tape.new is not None:
-        taken = sorted((s, e) for _, s, e in base)
+        # Base spans of a kind do not overlap, so only the last that starts no later can hold another.
+        starts = {kind: [s for k, s, _ in base if k == kind] for kind in KINDS}
+        ends = {kind: [e for k, _, e in base if k == kind] for kind in KINDS}
         for kind, a, b in base_spans(tape.text):
             start, end = tape.source(a, b)
-            if any(tape.new[a:b]) and not any(s < end and start < e for s, e in taken):
+            last = bisect_right(starts[kind], start) - 1
+            if any(tape.new[a:b]) and not (last >= 0 and end <= ends[kind][last]):
                 added.append((kind, start, end))
     return base, added
 
@@ -233,7 +278,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
     """``doc_id, base, added``: spans ``(kind, start, end)`` in code points of every whole text.
 
     Null text is empty and has none. A null ``doc_id`` stays null; repeated rows are returned each; no rows give no rows.
-    Other columns are not read. Added spans never replace or overlap base ones.
+    Other columns are not read. Added spans never replace base ones, but may hold or overlap them.
     """
     return S.find_spans(docs, lambda: personal_spans)
 

@@ -69,6 +69,33 @@ def test_clean_texts_gain_nothing(text):
     assert pii.personal_spans(text)[1] == []
 
 
+@pytest.mark.parametrize(
+    ("hidden", "base"),
+    [("jаne@example.com", "ne@example.com"), ("jane [dot] doe@example.com", "doe@example.com"), ("john@mail.exаmple.com", "john@mail.ex")],
+)
+def test_a_disguise_of_a_part_is_found_beside_the_base_span(hidden, base):
+    text = f"Contact: {hidden} today."
+    got = pii.personal_spans(text)
+    assert [text[a:b] for _, a, b in got[0]] == [base] and [text[a:b] for _, a, b in got[1]] == [hidden]
+    assert got[0] == brute(text)
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    ["jane.doe at example.com", "jane at example dot kr", "jane at example dot co dot nz", "jane @ example . ie", "jane at example dot photography", "jane_d at mail.example.cz"],
+)
+def test_other_spelled_addresses(hidden):
+    text = f"Ask {hidden} today."
+    assert [text[a:b] for _, a, b in pii.personal_spans(text)[1]] == [hidden]
+    text = "Please write to jane at example.com today."
+    assert [text[a:b] for _, a, b in pii.personal_spans(text)[1]] == ["jane at example.com"]
+
+
+@pytest.mark.parametrize("text", ["at some point soon", "arrive at any point in time", "contact us at example.com", "see more at example.com", "Meet @ noon. My friend"])
+def test_plain_uses_of_the_words_gain_nothing(text):
+    assert pii.personal_spans("They " + text)[1] == []
+
+
 def test_base_spans_stay_beside_added_ones():
     text = "a@b.example and jane [at] example [dot] com and 10.0.0.1"
     base, added = pii.personal_spans(text)
