@@ -31,7 +31,7 @@ _LETTER_AND_DIGIT = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
 _LONG = re.compile(r"(?<![^\s\"'(<>)])[^\s\"'(<>)]{10,}")
 
 TRAIN_DOCS, MOST_FINDINGS, LEAST_SECRETS = 20_000, 1500, 30
-RECALL, CONTEXT, BODY = 0.98, 16, 48
+RECALL, CONTEXT, BODY, STRIDE = 0.98, 16, 48, 16
 WIDTH, FILTERS, EPOCHS, BATCH = 5, 16, 12, 64
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\"'=:+/_.-"
 _CODES = {c: i + 2 for i, c in enumerate(_ALPHABET)}  # 0: outside the text, 1: any other character
@@ -63,8 +63,15 @@ def findings(text: str) -> list[tuple[int, int, int]]:
     return [(a, b, 1) for a, b in sorted(values)] + [(a, b, 0) for a, b in others]
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping windows that cover a candidate to its end; one where it fits."""
+    if end - start <= BODY:
+        return [(start, end)]
+    return [(a, a + BODY) for a in (*range(start, end - BODY, STRIDE), end - BODY)]
+
+
 def encoded(text: str, start: int, end: int, context: bool = True) -> np.ndarray:
-    """Character codes of a candidate's surroundings and of its first characters, a fixed number of each."""
+    """Character codes of a window of a candidate and of its surroundings, a fixed number of each."""
     body = [_CODES.get(c, 1) for c in text[start : min(end, start + BODY)]]
     before = [_CODES.get(c, 1) for c in text[max(0, start - CONTEXT) : start]] if context else []
     after = [_CODES.get(c, 1) for c in text[end : end + CONTEXT]] if context else []
@@ -176,16 +183,25 @@ _ALPHABETS = ["0123456789ABCDEF", "0123456789abcdefABCDEF", _ALPHABET[:62], _ALP
 
 
 def variant(text: str, start: int, end: int, label: int, draw: int) -> tuple[str, int, int]:
-    """A finding in another form: a secret of other letters in its place, or words of the text joined to a long name."""
+    """A finding in another form: a secret of other letters in its place, or words of the text joined to a long name.
+
+    A third are windows inside a longer string: a secret behind a name, or the later part of a name.
+    """
     rng = random.Random(draw)
+    words = re.findall("[A-Za-z]{2,}", text[max(0, start - 80) : end + 80]) or ["name"]
+    name = rng.choice("-_/").join(rng.sample(words, min(len(words), rng.randrange(2, 5))))
+    left, inner, at = text[max(0, start - CONTEXT) : start], rng.random() < 0.33, 0
     if label:
         letters = rng.choice(_ALPHABETS)
         value = "".join(rng.choice(letters) for _ in range(rng.randrange(18, 49)))
+        if inner:
+            left += name + rng.choice("-_/")
+            at = -min(rng.randrange(STRIDE + 1), len(left))
     else:
-        words = re.findall("[A-Za-z]{2,}", text[max(0, start - 80) : end + 80]) or ["name"]
-        some = rng.sample(words, min(len(words), rng.randrange(2, 5)))
-        value = rng.choice("-_/").join([*some, str(rng.randrange(10 ** rng.randrange(1, 5)))])
-    return text[max(0, start - CONTEXT) : start] + value + text[end : end + CONTEXT], min(start, CONTEXT), min(start, CONTEXT) + len(value)
+        value = name + rng.choice("-_/") + str(rng.randrange(10 ** rng.randrange(1, 5)))
+        at = rng.randrange(len(value) // 2) if inner else 0
+    at += len(left)
+    return left + value + text[end : end + CONTEXT], at, min(at + BODY, len(left) + len(value)) if inner else len(left) + len(value)
 
 
 _FINDINGS = "codes array<smallint>, label int, lot bigint"
@@ -210,7 +226,8 @@ def labelled_findings(docs: DataFrame, train_docs: int = TRAIN_DOCS, most: int =
                     if label or draw % 8 == 0:
                         # Half of the secrets are shown without their surroundings, which the base patterns know already.
                         for k, (shown, a, b) in enumerate(((text, start, end), variant(text, start, end, label, draw))):
-                            rows.append(encoded(shown, a, b, context=draw % 2 == k).tolist())
+                            parts = windows(a, b)
+                            rows.append(encoded(shown, *parts[draw // 8 % len(parts)], context=draw % 2 == k).tolist())
                             labels.append(label)
                             lots.append(draw)
             columns = [pa.array(rows, pa.list_(pa.int16())), pa.array(labels, pa.int32()), pa.array(lots, pa.int64())]
@@ -236,8 +253,11 @@ def finder(net: Network | None) -> Callable[[str], tuple[list[Span], list[Span]]
         asked = candidates(text, base) if net else []
         if not asked:
             return base, []
-        scores = net.scores(np.stack([encoded(text, a, b) for a, b in asked]))
-        return base, [("learned", a, b) for (a, b), p in zip(asked, scores) if p >= net.threshold]
+        parts = [windows(a, b) for a, b in asked]
+        scores = net.scores(np.stack([encoded(text, a, b) for part in parts for a, b in part]))
+        firsts = np.cumsum([0, *map(len, parts[:-1])])
+        best = np.maximum.reduceat(scores, firsts)  # the window that looks most like a secret
+        return base, [("learned", a, b) for (a, b), p in zip(asked, best) if p >= net.threshold]
 
     return find
 

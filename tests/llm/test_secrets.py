@@ -59,6 +59,24 @@ def test_network_separates_held_out_findings():
     assert np.array_equal(again.conv, net.conv) and again.threshold == net.threshold
 
 
+def test_a_key_at_the_end_of_a_long_candidate_is_read():
+    rng = random.Random(4)
+    texts = made(rng, 300, ["thing", "inonethandstintion", "of", "erentionhereadthat", "nation"])
+    got = [
+        (X.encoded(*form, context=i % 2 == 0), y)
+        for i, t in enumerate(texts) for a, b, y in X.findings(t) for form in ((t, a, b), X.variant(t, a, b, y, i))
+    ]
+    net = X.train(np.stack([r for r, _ in got])[:2500], np.array([y for _, y in got])[:2500], epochs=6)
+    find, found = X.finder(net), 0
+    for _ in range(40):
+        path = "hooks/services/some-long-project-name/with-plain-words/and-more-of-them/"
+        text = "see " + path + "".join(rng.choice("0123456789ABCDEFabcdef") for _ in range(40)) + " for it"
+        found += find(text)[1] == [("learned", 4, len(text) - 7)]
+    assert found >= 36
+    assert find("see hooks/services/some-long-project-name/with-plain-words/and-more-of-them/page-2 for it")[1] == []
+    assert X.windows(3, 40) == [(3, 40)] and X.windows(0, 100) == [(0, 48), (16, 64), (32, 80), (48, 96), (52, 100)]
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(2)
     net = X.Network.fresh(1)
