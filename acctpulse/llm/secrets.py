@@ -133,14 +133,19 @@ class Network:
         return {"conv": conv, "bias": back.sum(axis=(0, 1)), "out": pooled.T @ error, "shift": error.sum()}
 
 
-def train(rows: np.ndarray, labels: np.ndarray, seed: int = 0, epochs: int = EPOCHS, recall: float = RECALL) -> Network:
-    """Fit by Adam on three quarters of the rows; calibrate and choose the threshold on the rest."""
+def train(rows: np.ndarray, labels: np.ndarray, seed: int = 0, epochs: int = EPOCHS, recall: float = RECALL, lots: np.ndarray | None = None) -> Network:
+    """Fit by Adam on three quarters of the rows; calibrate and choose the threshold on the rest. Rows of a lot stay together."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     held = np.zeros(len(rows), bool)
     for label in (0, 1):
         own = order[labels[order] == label]
-        held[own[: max(1, len(own) // 4)]] = True
+        if lots is None:
+            held[own[: max(1, len(own) // 4)]] = True
+        else:
+            _, first = np.unique(lots[own], return_index=True)
+            drawn = lots[own][np.sort(first)]
+            held |= (labels == label) & np.isin(lots, drawn[: max(1, len(drawn) // 4)])
     learn = order[~held[order]]
     net = Network.fresh(seed)
     share = labels[learn].mean()
@@ -161,8 +166,8 @@ def train(rows: np.ndarray, labels: np.ndarray, seed: int = 0, epochs: int = EPO
     raw = np.concatenate([net.forward(rows[held][i : i + 256])[0] for i in range(0, held.sum(), 256)])
     net.scale, net.offset = _platt(raw, labels[held])
     secrets = np.sort(net.scores(rows[held & (labels == 1)]))
-    # The highest threshold that keeps the wanted recall, but never one that calls even odds a secret.
-    net.threshold = max(float(secrets[int((1 - recall) * len(secrets))]), 0.5)
+    # The highest threshold that keeps the wanted recall.
+    net.threshold = float(secrets[int((1 - recall) * len(secrets))])
     return net
 
 
@@ -207,7 +212,7 @@ def variant(text: str, start: int, end: int, label: int, draw: int) -> tuple[str
 _FINDINGS = "codes array<smallint>, label int, lot bigint"
 
 
-def labelled_findings(docs: DataFrame, train_docs: int = TRAIN_DOCS, most: int = MOST_FINDINGS) -> tuple[np.ndarray, np.ndarray]:
+def labelled_findings(docs: DataFrame, train_docs: int = TRAIN_DOCS, most: int = MOST_FINDINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """At most ``most`` findings of either label, drawn by hash from about ``train_docs`` documents."""
     import pyarrow as pa
     import xxhash
@@ -236,15 +241,15 @@ def labelled_findings(docs: DataFrame, train_docs: int = TRAIN_DOCS, most: int =
     found = some.mapInArrow(run, _FINDINGS)
     got = [r for label in (1, 0) for r in found.filter(F.col("label") == label).orderBy("lot", "codes").limit(most).collect()]
     codes = np.array([r.codes for r in got], np.int16).reshape(len(got), 2 * CONTEXT + BODY)
-    return codes, np.array([r.label for r in got], np.int64)
+    return codes, np.array([r.label for r in got], np.int64), np.array([r.lot for r in got], np.int64)
 
 
 def fitted(docs: DataFrame, **options) -> Network | None:
     """The network for a corpus, or None where it has too few labelled secrets to learn from."""
-    rows, labels = labelled_findings(docs, **options)
+    rows, labels, lots = labelled_findings(docs, **options)
     if labels.sum() < LEAST_SECRETS or (labels == 0).sum() < LEAST_SECRETS:
         return None
-    return train(rows, labels)
+    return train(rows, labels, lots=lots)
 
 
 def finder(net: Network | None) -> Callable[[str], tuple[list[Span], list[Span]]]:

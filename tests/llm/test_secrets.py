@@ -77,6 +77,21 @@ def test_a_key_at_the_end_of_a_long_candidate_is_read():
     assert X.windows(3, 40) == [(3, 40)] and X.windows(0, 100) == [(0, 48), (16, 64), (32, 80), (48, 96), (52, 100)]
 
 
+def test_threshold_keeps_the_recall_and_lots_are_not_split(monkeypatch):
+    rng = np.random.default_rng(5)
+    # Half of the secrets look exactly like the others, so many score under one half.
+    labels, lots = np.repeat([1, 0], 400), np.tile(np.arange(400), 2) // 2 + np.repeat([0, 1000], 400)
+    rows = rng.integers(2, 12, (800, 2 * X.CONTEXT + X.BODY)).astype(np.int16)
+    rows[:200] += 40
+    asked = []
+    real = X.Network.scores
+    monkeypatch.setattr(X.Network, "scores", lambda net, r: (asked.append(r), real(net, r))[1])
+    net = X.train(rows, labels, epochs=4, lots=lots)
+    held = {r.tobytes() for r in asked[-1]}
+    assert (real(net, asked[-1]) >= net.threshold).mean() >= X.RECALL and net.threshold < 0.5
+    assert all((rows[i].tobytes() in held) == (rows[i + 1].tobytes() in held) for i in range(0, 400, 2)) and len(held) == 100
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(2)
     net = X.Network.fresh(1)
