@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from acctpulse.llm import spans as S
 from acctpulse.llm.spans import Span
+from acctpulse.session import staged
 
 KINDS = ["assign", "access", "hex", "learned"]
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -30,7 +31,7 @@ _LETTER_AND_DIGIT = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
 # What it also learns from, as examples of no secrets.
 _LONG = re.compile(r"(?<![^\s\"'(<>)])[^\s\"'(<>)]{10,}")
 
-TRAIN_DOCS, MOST_FINDINGS, LEAST_SECRETS = 20_000, 1500, 30
+MOST_FINDINGS, LEAST_FINDINGS = 1500, 30
 RECALL, CONTEXT, BODY, STRIDE = 0.98, 16, 48, 16
 WIDTH, FILTERS, EPOCHS, BATCH = 5, 16, 12, 64
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\"'=:+/_.-"
@@ -212,43 +213,81 @@ def variant(text: str, start: int, end: int, label: int, draw: int) -> tuple[str
 _FINDINGS = "codes array<smallint>, label int, lot bigint"
 
 
-def labelled_findings(docs: DataFrame, train_docs: int = TRAIN_DOCS, most: int = MOST_FINDINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most ``most`` findings of either label, drawn by hash from about ``train_docs`` documents."""
+def _forms(text: str, start: int, end: int, label: int, draw: int) -> list[list[int]]:
+    """Rows of a finding as it stands and in another form. Half are shown without their surroundings, which the base patterns know already."""
+    rows = []
+    for k, (shown, a, b) in enumerate(((text, start, end), variant(text, start, end, label, draw))):
+        parts = windows(a, b)
+        rows.append(encoded(shown, *parts[draw // 8 % len(parts)], context=draw % 2 == k).tolist())
+    return rows
+
+
+def labelled_findings(docs: DataFrame, most: int = MOST_FINDINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, labels and lots of at most ``most`` rows of either label, the smallest by hash of all documents.
+
+    A task keeps the smallest of its own, so what is collected is bounded and nothing is sampled before it is labelled.
+    """
+    import heapq
+
     import pyarrow as pa
     import xxhash
 
-    total = docs.count()
-    lot = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), F.lit(1 << 30))
-    some = docs.select("doc_id", "text").filter(lot < int((1 << 30) * min(1.0, train_docs / max(total, 1))))
-
     def run(batches):
+        kept = {0: [], 1: []}  # heaps of the smallest draws, largest first, each with its rows
+        seen = {0: set(), 1: set()}
         for batch in batches:
-            rows, labels, lots = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 for start, end, label in findings(text):
                     draw = xxhash.xxh64_intdigest(f"{doc_id}:{start}:{text[start:end]}".encode("utf-8", "replace")) >> 1
-                    if label or draw % 8 == 0:
-                        # Half of the secrets are shown without their surroundings, which the base patterns know already.
-                        for k, (shown, a, b) in enumerate(((text, start, end), variant(text, start, end, label, draw))):
-                            parts = windows(a, b)
-                            rows.append(encoded(shown, *parts[draw // 8 % len(parts)], context=draw % 2 == k).tolist())
-                            labels.append(label)
-                            lots.append(draw)
-            columns = [pa.array(rows, pa.list_(pa.int16())), pa.array(labels, pa.int32()), pa.array(lots, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["codes", "label", "lot"])
-
-    found = some.mapInArrow(run, _FINDINGS)
+                    heap = kept[label]
+                    if draw in seen[label] or (len(heap) >= most and draw >= -heap[0][0]):
+                        continue
+                    seen[label].add(draw)
+                    heapq.heappush(heap, (-draw, _forms(text, start, end, label, draw)))
+                    if len(heap) > most:
+                        seen[label].discard(-heapq.heappop(heap)[0])
+        out = [(row, label, -lot) for label in (0, 1) for lot, rows in kept[label] for row in rows]
+        columns = [pa.array([r for r, _, _ in out], pa.list_(pa.int16())), pa.array([y for _, y, _ in out], pa.int32()), pa.array([x for _, _, x in out], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["codes", "label", "lot"])
+
+    found = staged(docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, _FINDINGS), "findings")
     got = [r for label in (1, 0) for r in found.filter(F.col("label") == label).orderBy("lot", "codes").limit(most).collect()]
     codes = np.array([r.codes for r in got], np.int16).reshape(len(got), 2 * CONTEXT + BODY)
     return codes, np.array([r.label for r in got], np.int64), np.array([r.lot for r in got], np.int64)
 
 
-def fitted(docs: DataFrame, **options) -> Network | None:
-    """The network for a corpus, or None where it has too few labelled secrets to learn from."""
-    rows, labels, lots = labelled_findings(docs, **options)
-    if labels.sum() < LEAST_SECRETS or (labels == 0).sum() < LEAST_SECRETS:
-        return None
+def made_findings(n: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fixed invented findings, for a corpus with too few of its own: keys in plain words, and words, names, paths, dates."""
+    rng = random.Random(0)
+    words = [w for w in re.findall("[A-Za-z]{2,}", " ".join((__doc__, *(f.__doc__ or "" for f in (variant, findings, train, find_secrets)))))]
+    rows, labels, lots = [], [], []
+    for i in range(n):
+        label = i % 2
+        text = " ".join(rng.choice(words) for _ in range(24)) + " "
+        start, long = len(text), [rng.choice(words) for _ in range(rng.randrange(2, 9))]
+        plain = [rng.choice("-_/").join(long), f"https://{long[0]}.example/{'/'.join(long)}", "".join(long[:3]), f"20{rng.randrange(10, 40)}-01-{rng.randrange(10, 30)}T10:20:{rng.randrange(10, 60)}Z", f"{long[0]}.{long[1]}@example.com"]
+        value = "".join(rng.choice(_ALPHABETS[2]) for _ in range(32)) if label else rng.choice(plain)
+        text += value + " " + " ".join(rng.choice(words) for _ in range(8))
+        draw = rng.getrandbits(62)
+        for row in _forms(text, start, start + len(value), label, draw):
+            rows.append(row)
+            labels.append(label)
+            lots.append(draw)
+    return np.array(rows, np.int16), np.array(labels, np.int64), np.array(lots, np.int64)
+
+
+def fitted(docs: DataFrame, **options) -> Network:
+    """The network for a corpus. Where it has too few labelled findings of a kind, invented ones are learned from as well.
+
+    With few labelled secrets, keys that no pattern knows would weigh among the other strings, so those are all invented.
+    """
+    found = labelled_findings(docs, **options)
+    secret = found[1] == 1
+    if min(secret.sum(), (~secret).sum()) < LEAST_FINDINGS:
+        taken = secret if secret.sum() < LEAST_FINDINGS else slice(None)
+        found = tuple(np.concatenate([own[taken], made]) for own, made in zip(found, made_findings()))
+    rows, labels, lots = found
     return train(rows, labels, lots=lots)
 
 
@@ -270,8 +309,8 @@ def finder(net: Network | None) -> Callable[[str], tuple[list[Span], list[Span]]
 def find_secrets(docs: DataFrame, net: Network | None = None, **options) -> DataFrame:
     """``doc_id, base, added``: spans ``(kind, start, end)`` in code points of every whole text.
 
-    The network is fitted on a bounded sample of ``docs`` (``train_docs`` documents, ``most`` findings of either label)
-    unless one is given; every candidate of every text is then scored. Added spans never overlap base ones. Null text is
+    The network is fitted on a bounded sample of all labelled findings of ``docs`` (``most`` rows of either label) unless
+    one is given; every candidate of every text is then scored. Added spans never overlap base ones. Null text is
     empty; a null ``doc_id`` stays null; repeated rows are returned each; no rows give no rows.
     """
     net = net or fitted(docs, **options)

@@ -144,3 +144,21 @@ def test_table_digests_and_added_spans(spark):
     clean = {r.doc_id: r for r in X.redact(df).collect()}
     assert clean[9_000_001].text == "hello [ASSIGN]" and clean[9_000_001].n_chars == 14 and clean[9_000_000].text == ""
     assert X.find_secrets(df.limit(0)).count() == 0 and X.redact(df.limit(0)).count() == 0
+
+
+def test_few_labelled_secrets_still_give_a_network(spark):
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(36))
+    docs = [(i, f"some ordinary words of the document-of-number-{i} stand here before extraordinarily long{i} others") for i in range(400)]
+    docs += [(1000 + i, f"some words before {key()} and after them") for i in range(10)] + [(2000, f"token = {key()}")]
+    df = spark.createDataFrame([(*d, "x", 1, 5) for d in docs], SCHEMA).repartition(5)
+    rows, labels, _ = X.labelled_findings(df)
+    assert 0 < labels.sum() < X.LEAST_FINDINGS
+    learned = {r.doc_id for r in X.find_secrets(df).collect() if r.added}
+    assert len(learned & set(range(1000, 1010))) >= 8 and len(learned) <= 13
+
+
+def test_findings_are_the_smallest_hashes_of_all_documents(spark):
+    docs = [(i, f"token: abcdefgh{i:08d} and extraordinarily{i}") for i in range(300)]
+    one, more = (X.labelled_findings(spark.createDataFrame([(*d, "x", 1, 5) for d in docs], SCHEMA).repartition(n), most=40) for n in (1, 7))
+    assert all(np.array_equal(a, b) for a, b in zip(one, more)) and one[1].sum() == 40
