@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acctpulse.llm import ann, mixing, packing, pii, preferences, quality, secrets, simhash, site_style, token_file
+from acctpulse.llm import (
+    ann, importance, merkle, mixing, packing, pieces, pii, preferences, quality, secrets, simhash, site_style, token_file,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.verify(merkle.manifest(docs, merkle.tampered(docs)))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -65,6 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_main_text": op9_main_text,
     "op10_token_files": op10_token_files,
+    "op11_merkle": op11_merkle,
+    "op12_importance": op12_importance,
+    "op13_pieces": op13_pieces,
 }
 
-SQL: dict[str, str] = {"op3_mix": mixing.SQL, "op4_preferences": preferences.SQL}
+SQL: dict[str, str] = {
+    "op3_mix": mixing.SQL, "op4_preferences": preferences.SQL, "op11_merkle": merkle.SQL, "op12_importance": importance.SQL,
+}
