@@ -42,3 +42,13 @@ def same_day(ts: Column, as_of: AsOf) -> Column:
 
 def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def instant(ts: str | Column) -> Column:
+    """A UTC time without a zone as an instant, as watermarks need it, in any session zone."""
+    return F.from_utc_timestamp(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"), F.current_timezone())
+
+
+def utc_day(at: str | Column) -> Column:
+    """UTC day of an instant, in any session zone."""
+    return F.to_date(F.to_utc_timestamp(at, F.current_timezone()))

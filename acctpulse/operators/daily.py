@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from acctpulse.functions.keyed import latest_k
@@ -13,7 +13,7 @@ from acctpulse.sources.readers import NO_MARK, incremental, trailing
 DAILY_KEYS = ["company_id", "event_date", "event_type"]
 
 
-def user_days(events: DataFrame) -> DataFrame:
+def user_days(events: DataFrame, *more: Column) -> DataFrame:
     """One row per (user, day, type). Every later distinct count is a plain count of these rows."""
     return events.filter(F.col("user_id").isNotNull()).groupBy(
         "user_id", F.to_date("occurred_at").alias("event_date"), "event_type"
@@ -22,6 +22,7 @@ def user_days(events: DataFrame) -> DataFrame:
         F.max("id").alias("max_id"),
         F.min("occurred_at").alias("first_at"),
         F.max("occurred_at").alias("last_at"),
+        *more,
     )
 
 
@@ -42,6 +43,13 @@ def activity_of(log: DataFrame) -> DataFrame:
     )
 
 
+def fold_activity(activity: DataFrame) -> DataFrame:
+    """(user, type) activity of several parts as one."""
+    return activity.groupBy("user_id", "event_type").agg(
+        F.sum("events").alias("events"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
+    )
+
+
 def events_with_company(user_rows: DataFrame, users: DataFrame) -> DataFrame:
     """Attach the company; rows of unknown users or users without a company drop out."""
     owner = users.filter(F.col("company_id").isNotNull()).select(F.col("id").alias("user_id"), "company_id")
@@ -57,6 +65,19 @@ def facts_of(user_rows: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def observed_facts(user_rows: DataFrame, users: DataFrame, counts: Observation) -> DataFrame:
+    """Daily facts as :func:`facts_of` gives them; ``counts`` holds ``orphan_events``, those of no company, once the facts
+    have been written. They are counted behind the last shuffle, where a repeated task does not count twice."""
+    owner = users.filter(F.col("company_id").isNotNull()).select(F.col("id").alias("user_id"), "company_id")
+    facts = user_rows.join(owner, "user_id", "left").groupBy(*DAILY_KEYS).agg(
+        F.sum("events").alias("event_count"),
+        F.count("*").alias("unique_users"),
+        F.max("max_id").alias("max_id"),
+    )
+    orphan = F.sum(F.when(F.col("company_id").isNull(), F.col("event_count")))
+    return facts.observe(counts, F.coalesce(orphan, F.lit(0)).alias("orphan_events")).filter("company_id IS NOT NULL")
+
+
 def events_daily(events: DataFrame, users: DataFrame, hwm: int | Column | None = None) -> DataFrame:
     """New events per company, day and type: event count, distinct users and highest id."""
     fresh = events if hwm is None else incremental(events, hwm)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +21,17 @@ from acctpulse.operators.rollup import account_rollup
 from acctpulse.operators.scoring import current_health, health_components, score_accounts
 from acctpulse.operators.trend import flag_new
 from acctpulse.plans.counters import run_counters
-from acctpulse.plans.ingest import compact_daily, ingest_run_batch, user_days_complete
+from acctpulse.plans.ingest import compact_daily, fold_activity, ingest_run_batch, user_days_complete
 from acctpulse.session import staged
 from acctpulse.sources.drift import schema_drift
 from acctpulse.sources.readers import existing
-from acctpulse.sources.store import APPEND, REPLACE, Store
+from acctpulse.sources.store import Store
 
 __all__ = ["compact_daily", "run"]
 
 HAND = "hand"
 GENERATOR_TASKS = 16
+WINDOW_DAYS = 30
 
 log = logging.getLogger(__name__)
 
@@ -51,8 +52,13 @@ def run_step(name: str, fn: Callable[[], object]) -> object:
     return result
 
 
-def daily_facts(store: Store) -> DataFrame:
-    return D.fold_daily(store.read("daily_log"))
+def daily_facts(store: Store, since: date | None = None) -> DataFrame:
+    """Daily facts; ``since`` opens the partitions of later days only."""
+    return D.fold_daily(store.read("daily_log", since))
+
+
+def day_of(as_of: str, days_before: int = 0) -> date:
+    return datetime.fromisoformat(str(as_of)).date() - timedelta(days=days_before)
 
 
 def alert_rows(store: Store) -> DataFrame:
@@ -69,17 +75,17 @@ def check_sources(sources: dict[str, DataFrame]) -> None:
 def sync_accounts(
     sources: dict[str, DataFrame], store: Store, as_of: str, mode: str = "exact", from_log: bool = False
 ) -> None:
-    """Rebuild the account dimension; with ``from_log`` out of the stored user days instead of all events."""
+    """Rebuild the account dimension; with ``from_log`` out of the stored activity and the user days since, not all events."""
     batch_id = batch_of(as_of)
     if store.committed("dim_accounts", batch_id):
         return
     if from_log and not user_days_complete(store):
         raise ValueError("the user days of this store lack batches of the daily log; roll accounts up from all events")
-    activity = D.activity_of(store.read("user_days")) if from_log else None
+    activity = fold_activity(store) if from_log else None
     fresh = account_rollup(**sources, as_of=as_of, mode=mode, activity=activity)
     merged = upsert_replace(store.read("dim_accounts"), fresh, ["company_id"])
-    store.stage("dim_accounts", merged, batch_id, REPLACE)
-    store.commit(batch_id, {"dim_accounts": REPLACE})
+    store.stage("dim_accounts", merged, batch_id)
+    store.commit(batch_id, ["dim_accounts"])
 
 
 def sync_daily(sources: dict[str, DataFrame], store: Store, as_of: str) -> None:
@@ -92,12 +98,12 @@ def score(store: Store, as_of: str) -> None:
     batch_id = batch_of(as_of)
     if store.committed("score_state", batch_id):
         return
-    active = D.active_users_30d(daily_facts(store), as_of)
+    active = D.active_users_30d(daily_facts(store, day_of(as_of, WINDOW_DAYS)), as_of)
     seated = D.with_seats(store.read("dim_accounts"), active)
     scored = score_accounts(current_health(health_components(seated, None, as_of)), as_of)
-    state = store.stage("score_state", flag_new(scored, store.read("score_state")), batch_id, REPLACE)
+    state = store.stage("score_state", flag_new(scored, store.read("score_state")), batch_id)
     store.stage("fact_health_score", state, batch_id)
-    store.commit(batch_id, {"score_state": REPLACE, "fact_health_score": APPEND})
+    store.commit(batch_id, ["score_state", "fact_health_score"])
 
 
 def write_briefs(
@@ -113,7 +119,7 @@ def write_briefs(
         "at_risk", "prev_score",
     )
     context = B.brief_context(
-        store.read("dim_accounts"), store.read("fact_health_score"), daily_facts(store), alert_rows(store),
+        store.read("dim_accounts"), store.read("fact_health_score"), daily_facts(store, day_of(as_of, WINDOW_DAYS)), alert_rows(store),
         store.read("crm_notes"), as_of, pairs=pairs,
     )
     if ids is not None:
@@ -122,7 +128,7 @@ def write_briefs(
     queue = store.stage("brief_queue", B.brief_queue(gated), batch_id)
     answers = store.stage("responses", B.generate(queue, generator, parallelism), batch_id)
     store.stage("ai_summaries", B.to_briefs(answers, model, as_of), batch_id)
-    store.commit(batch_id, {"brief_queue": APPEND, "responses": APPEND, "ai_summaries": APPEND})
+    store.commit(batch_id, ["brief_queue", "responses", "ai_summaries"])
 
 
 def at_risk_now(store: Store) -> DataFrame:
@@ -140,10 +146,11 @@ def scan_alerts(store: Store, as_of: str) -> None:
     if store.committed("alert_log", batch_id):
         return
     at_risk = staged(at_risk_now(store), "at_risk")
-    alerts = store.stage("alert_log", AL.new_alerts(at_risk, store.read("alert_log"), as_of), batch_id)
+    # Alerts of the day or later: earlier partitions of the log are not opened.
+    alerts = store.stage("alert_log", AL.new_alerts(at_risk, store.read("alert_log", day_of(as_of)), as_of), batch_id)
     store.stage("chat_messages", AL.chat_messages(existing(at_risk, alerts), as_of), batch_id)
     store.stage("alert_digests", AL.alert_digest(at_risk, as_of), batch_id)
-    store.commit(batch_id, {"alert_log": APPEND, "chat_messages": APPEND, "alert_digests": APPEND})
+    store.commit(batch_id, ["alert_log", "chat_messages", "alert_digests"])
 
 
 def _append_once(store: Store, table: str, df: DataFrame, batch_id: int) -> None:
@@ -182,8 +189,9 @@ def run(
     """All steps in order; returns ``(step, counter, value)`` rows of this run.
 
     A run dated before the newest one raises. Accounts are recounted from all events by default.
-    ``incremental_accounts`` reads new events only, once, and rolls accounts up from the stored user days: the cost of a
-    run then follows the new events. It relies on ids growing, as the mark of the daily facts does. ``brief_ids`` limits the
+    ``incremental_accounts`` reads new events only, once, and adds them to the stored activity per user and type, from which
+    accounts are rolled up: the cost of a run then follows the new events and the number of users, not the length of the
+    history. It relies on ids growing, as the mark of the daily facts does. ``brief_ids`` limits the
     briefs to some accounts.
     """
     run_step("drift", lambda: check_sources(sources))
@@ -203,7 +211,7 @@ def counters(store: Store, as_of: str) -> DataFrame:
     """Counters of one run, read from the batches it wrote."""
     batch_id = batch_of(as_of)
     return run_counters(
-        accounts=store.read_batch("dim_accounts", batch_id, REPLACE).filter(
+        accounts=store.read_batch("dim_accounts", batch_id).filter(
             F.col("synced_at") == F.lit(str(as_of)).cast("timestamp_ntz")
         ),
         daily=store.read_batch("daily_log", batch_id),

@@ -13,18 +13,20 @@ from acctpulse.operators import accounts as AC
 from acctpulse.operators import alerts as AL
 from acctpulse.operators import briefs as B
 from acctpulse.operators import daily as D
+from acctpulse.operators import people as P
 from acctpulse.operators import quality as Q
 from acctpulse.operators import rollup
 from acctpulse.operators import scoring as S
 from acctpulse.operators import trend as T
 from acctpulse.plans.counters import run_counters
-from acctpulse.plans.ingest import compact_daily, ingest_run_batch, ingest_stream_batch
+from acctpulse.plans.ingest import compact_daily, fold_activity, ingest_log, ingest_run_batch, ingest_stream_batch
 from acctpulse.registry.inputs import AS_OF, BATCH_CUTS, DENSE_SNAPSHOTS, MODEL, SCAN_AT, Inputs
 from acctpulse.session import staged, work_path
 from acctpulse.sources import adapters
 from acctpulse.sources import readers as R
 from acctpulse.sources.drift import schema_drift
 from acctpulse.sources.store import Store
+from acctpulse.streaming import windows as W
 from acctpulse.streaming.alerts import stream_alerts
 from acctpulse.streaming.daily import stream_daily
 
@@ -163,16 +165,18 @@ def events_daily_stream(i):
 
 
 def _mixed_store(i: Inputs) -> Store:
-    """All events in three batches of two writers, compacted in between: a run, a stream's batch, a run."""
+    """All events in four batches of two writers, compacted in between: a run, a stream's batch, a run, and late events."""
     store = Store(i.spark, f"{work_path(i.spark, 'mixed')}/store")
     last = i.events.agg(F.max("id")).first()[0] or 0
     low, high = last // 3, 2 * last // 3
     start = {**i.sources, "events": i.events.filter(F.col("id") <= low)}
     ingest_run_batch(store, start, 1, BATCH_CUTS[0])
     # The stream's files hold all events up to its end; those that the run had are left out by the mark.
-    ingest_stream_batch(store, i.events.filter(F.col("id") <= high), i.users, 0, "event-stream")
+    late = (F.col("id") % 97 == 5) & F.col("id").between(low + 1, (low + high) // 2)
+    ingest_stream_batch(store, i.events.filter((F.col("id") <= high) & ~late), i.users, 0, "event-stream")
     compact_daily(store)
     ingest_run_batch(store, i.sources, 2, BATCH_CUTS[1])
+    ingest_stream_batch(store, i.events.filter(late), i.users, 1, "event-stream")
     return store
 
 
@@ -185,8 +189,38 @@ def ingest_mixed(i):
 @query
 def account_rollup_incremental(i):
     """Accounts rolled up from the user days of such a store instead of all events."""
-    activity = D.activity_of(_mixed_store(i).read("user_days"))
-    return rollup.account_rollup(**i.sources, as_of=AS_OF, activity=activity)
+    return rollup.account_rollup(**i.sources, as_of=AS_OF, activity=fold_activity(_mixed_store(i)))
+
+
+@query
+def ingest_counters(i):
+    """What each batch of such a store held: events, those behind the mark, those of no company."""
+    return ingest_log(_mixed_store(i))
+
+
+def _windowed(i: Inputs, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an event-time stream has emitted after three starts. A third of the events arrive a day late, and so in part
+    after younger events."""
+    root = work_path(i.spark, "windows")
+    arrival = F.col("occurred_at") + F.when(F.col("id") % 3 == 0, F.make_dt_interval(F.lit(1))).otherwise(F.make_dt_interval())
+    cuts = [F.lit(c).cast("timestamp_ntz") for c in BATCH_CUTS]
+    for wanted in (arrival < cuts[0], (arrival >= cuts[0]) & (arrival < cuts[1]), arrival >= cuts[1]):
+        i.events.filter(wanted).write.mode("append").parquet(f"{root}/events")
+        emitted = rows(i.spark.readStream.schema(i.events.schema).parquet(f"{root}/events"))
+        W.append_to(emitted, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return i.spark.read.schema(emitted.schema).parquet(f"{root}/out")
+
+
+@query
+def events_daily_windows(i):
+    """Daily facts of complete days, as an event-time stream emits them."""
+    return _windowed(i, lambda events: W.daily_windows(events, i.users))
+
+
+@query
+def seat_usage_windows(i):
+    """The trailing measure at the end of every complete day, as an event-time stream emits it."""
+    return _windowed(i, lambda events: W.trailing_windows(events, i.users))
 
 
 @query
@@ -220,6 +254,13 @@ def seat_utilization_exact(i):
     return D.seat_utilization_exact(i.accounts, i.events, i.users, AS_OF)
 
 
+@query
+def seat_utilization_people(i):
+    """The exact measure from bitmaps of each day's people; the folded days are staged, the events are not read again."""
+    people = staged(P.daily_people(D.user_days(i.events), i.users), "people")
+    return P.seat_utilization_people(i.accounts, people, AS_OF)
+
+
 @query
 def login_recency(i):
     points = rules.login_recency(F.col("last_login"), AS_OF)
@@ -364,7 +405,7 @@ def alerts_stream(i):
     for part in (rows.filter(at), rows.filter(~at), rows):
         part.write.mode("append").parquet(f"{root}/flagged")
         source = i.spark.readStream.schema(rows.schema).parquet(f"{root}/flagged")
-        stream_alerts(source, store, f"{root}/checkpoint").awaitTermination()
+        stream_alerts(source, store, f"{root}/checkpoint", delay="90 days").awaitTermination()
     return store.read("alert_log")
 
 

@@ -6,6 +6,8 @@ Counts are ``BIGINT``, score points ``INT``.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import types as T
 
 _LONG, _INT, _STR, _BOOL = T.LongType(), T.IntegerType(), T.StringType(), T.BooleanType()
@@ -50,10 +52,12 @@ STORE_SCHEMAS: dict[str, T.StructType] = {
     "daily_log": _schema(
         company_id=_LONG, event_date=_DATE, event_type=_STR, event_count=_LONG, unique_users=_LONG, max_id=_LONG
     ),
-    # Folded events of each batch, kept when accounts are rolled up incrementally.
+    # Folded events of each batch: exact facts of split days, and what the next fold of the activity adds.
     "user_days": _schema(
         user_id=_LONG, event_date=_DATE, event_type=_STR, events=_LONG, max_id=_LONG, first_at=_TS, last_at=_TS
     ),
+    # Activity per user and type over all folded user days, replaced by each fold: a run adds what is new to it.
+    "user_activity": _schema(user_id=_LONG, event_type=_STR, events=_LONG, first_at=_TS, last_at=_TS),
     "chat_messages": _schema(company_id=_LONG, text=_STR, created_at=_TS),
     "alert_digests": _schema(part=_STR, company_id=_LONG, line=_STR),
     "alert_acks": _schema(alert_id=_STR, acknowledged_at=_TS),
@@ -69,6 +73,23 @@ STORE_SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+
+class Day(NamedTuple):
+    """The day by which a table is partitioned below its batches."""
+
+    column: str
+    expression: str
+
+
+STORE_DAYS = {
+    "daily_log": Day("event_date", "event_date"),
+    "user_days": Day("event_date", "event_date"),
+    "fact_health_score": Day("scored_date", "to_date(scored_at)"),
+    "alert_log": Day("created_date", "to_date(created_at)"),
+}
+# Tables of which the newest batch alone counts.
+STATE_TABLES = ("dim_accounts", "score_state", "user_activity")
+
 KNOWN_COLUMNS: dict[str, tuple[str, ...]] = {name: tuple(s.names) for name, s in SOURCE_SCHEMAS.items()}
 
 # Enumerated domains and score bounds of the data model.

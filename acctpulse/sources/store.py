@@ -1,159 +1,143 @@
-"""Analytics tables as Parquet batches made visible by a manifest.
+"""Analytics tables as partitioned Parquet, and a small table of the batches that count.
 
-A step writes one directory per table and then one manifest file naming all of them. The manifest is written last
-and by a single task, so a reader sees either all tables of a step or none, and a step that died before it simply
-runs again over its own directories.
+A step writes its rows of each table under ``batch=<writer>-<sequence>`` and then appends one file to ``commits`` that names
+all of them. A reader semi-joins a table with its committed batches on the partition column, so it sees all tables of a step
+or none, and opens the files of those batches only. Writing a batch replaces its own partition as a whole: a step that died
+before its commit simply runs again.
 
-A batch is known by its writer (a stable name, such as ``run`` or a stream's) and a sequence that grows per writer, so
-the numbers of different writers never meet. A replacement names the batches it stands for; whatever it does not name
-stays visible. A sequence below a writer's newest, or other content under a used one, is an error: it is never skipped.
+Tables that are read by day are partitioned by it below the batch, so a filter on the day opens only those partitions. State
+tables show their newest batch alone. A later batch may take the place of earlier ones (a compaction); its commit says so in
+the same file. A sequence below a writer's newest is an error: it is never skipped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from typing import NamedTuple
+from collections.abc import Mapping, Sequence
+from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acctpulse.schemas import STORE_SCHEMAS
+from acctpulse.schemas import STATE_TABLES, STORE_DAYS, STORE_SCHEMAS
 
-APPEND, REPLACE = "append", "replace"
 RUN, COMPACTION = "run", "compaction"
-_MANIFEST = (
-    "generation bigint, table_name string, writer string, sequence bigint, kind string, digest string, covers array<string>"
+# A commit may carry what is known of its batch: counters, its newest event and the mark that its writer started from.
+INFO = {
+    "events": "bigint", "late_events": "bigint", "orphan_events": "bigint", "newest_id": "bigint", "newest_at": "timestamp_ntz",
+    "floor_id": "bigint",
+}
+COMMITS = "table_name string, batch string, writer string, sequence bigint, visible boolean, " + ", ".join(
+    f"{name} {kind}" for name, kind in INFO.items()
 )
 
 
-class Batch(NamedTuple):
-    writer: str
-    sequence: int
-    kind: str
-    digest: str | None = None
-    covers: tuple[str, ...] = ()
-
-    @property
-    def key(self) -> str:
-        return f"{self.writer}/{self.sequence}/{self.kind}"
-
-
-def content_digest(df: DataFrame) -> str:
-    """Content of a batch as one value that does not depend on row order: row count and a sum of row hashes."""
-    row = df.agg(F.count("*"), F.sum(F.xxhash64(*(f"`{c}`" for c in df.columns)).cast("decimal(38,0)"))).first()
-    return f"{row[0]}:{row[1] or 0}"
+def batch_name(sequence: int, writer: str = RUN) -> str:
+    return f"{writer}-{sequence}"
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._standing_for: dict[tuple[str, str], tuple[str, ...]] = {}
-
-    def path(self, table: str, sequence: int, kind: str = APPEND, writer: str = RUN) -> str:
-        return f"{self.root}/{table}/{kind}/writer={writer}/sequence={sequence}"
-
-    def stage(self, table: str, df: DataFrame, sequence: int, kind: str = APPEND, writer: str = RUN) -> DataFrame:
-        """Write the rows of a batch (invisible until committed) and return them read back from the files."""
-        if kind == REPLACE:
-            key = Batch(writer, sequence, kind).key
-            self._standing_for[table, key] = tuple(b.key for b in self.batches(table))
-        target = self.path(table, sequence, kind, writer)
-        df.select(*self.schema(table).names).write.mode("overwrite").parquet(target)
-        return self.spark.read.schema(self.schema(table)).parquet(target)
-
-    def commit(self, sequence: int, tables: Mapping[str, str], writer: str = RUN, digest: str | None = None) -> None:
-        """Make the staged batches ``{table: kind}`` visible together."""
-        generation = self._manifest()[0]
-        rows = []
-        for table, kind in tables.items():
-            covers = self._standing_for.get((table, Batch(writer, sequence, kind).key), ())
-            rows.append((generation, table, writer, sequence, kind, digest, [*covers]))
-        self._append_manifest(rows)
-
-    def _append_manifest(self, rows: list[tuple]) -> None:
-        frame = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
-        frame.drop("generation").write.mode("append").json(f"{self.root}/_manifest/generation={rows[0][0]}")
-
-    def _manifest(self) -> tuple[int, list[T.Row]]:
-        """Newest generation of the manifest and its rows: metadata, one row per table and commit."""
-        try:
-            everything = self.spark.read.schema(_MANIFEST).json(f"{self.root}/_manifest")
-            newest = everything.agg(F.max("generation")).first()[0] or 0
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return 0, []
-        return newest, everything.filter(F.col("generation") == newest).collect()
-
-    def entries(self, table: str) -> list[Batch]:
-        """All batches of a table that the manifest knows, visible or not."""
-        rows = [r for r in self._manifest()[1] if r.table_name == table]
-        return sorted({Batch(r.writer, r.sequence, r.kind, r.digest, tuple(r.covers or ())) for r in rows})
-
-    def batches(self, table: str) -> list[Batch]:
-        """Visible batches of a table: those that no replacement stands for."""
-        known = self.entries(table)
-        gone = {key for b in known for key in b.covers}
-        return [b for b in known if b.key not in gone]
-
-    def committed(self, table: str, sequence: int, writer: str = RUN, digest: str | None = None) -> bool:
-        """Whether this very batch is stored. Raises if another one took its place or came after it."""
-        own = [b for b in self.entries(table) if b.writer == writer]
-        same = [b for b in own if b.sequence == sequence]
-        if same and digest is not None and any(b.digest not in (None, digest) for b in same):
-            raise ValueError(f"{table}: batch {sequence} of writer {writer} is stored with other content")
-        newest = max((b.sequence for b in own), default=sequence)
-        if not same and sequence < newest:
+        self._known: set[str] = set()
+
+    # --- batches -----------------------------------------------------------------------------------------------
+
+    def commits(self) -> DataFrame:
+        """One row per table and commit, and one with ``visible`` false for each batch that another took the place of."""
+        return self._table("commits", COMMITS)
+
+    def _table(self, name: str, schema: T.StructType | str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        if name not in self._known:  # an empty folder where there is none yet
+            self.spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(path)
+            self._known.add(name)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _own(self, table: str, writer: str | None = None) -> DataFrame:
+        own = self.commits().filter(F.col("table_name") == table)
+        return own if writer is None else own.filter(F.col("writer") == writer)
+
+    def visible(self, table: str) -> DataFrame:
+        """``batch`` of every batch of a table that counts."""
+        shown = self._own(table).groupBy("batch").agg(F.min("visible").alias("shown"), F.max("sequence").alias("sequence"))
+        shown = shown.filter("shown")
+        if table in STATE_TABLES:
+            shown = shown.groupBy().agg(F.max_by("batch", F.struct("sequence", "batch")).alias("batch"))
+        return shown.select("batch").filter("batch IS NOT NULL")
+
+    def committed(self, table: str, sequence: int, writer: str = RUN) -> bool:
+        """Whether this batch is stored. Raises if a later one of its writer is, but not this one."""
+        same = F.max(F.col("sequence") == sequence)
+        newest, known = self._own(table, writer).agg(F.max("sequence"), same).first()
+        if not known and newest is not None and sequence < newest:
             raise ValueError(f"{table}: batch {sequence} of writer {writer} lies before its newest, {newest}")
-        return bool(same)
+        return bool(known)
 
     def next_sequence(self, table: str, writer: str) -> int:
-        return max((b.sequence for b in self.entries(table) if b.writer == writer), default=-1) + 1
+        newest = self._own(table, writer).agg(F.max("sequence")).first()[0]
+        return 0 if newest is None else newest + 1
 
-    def compact_manifest(self) -> None:
-        """Rewrite the manifest as one file: visible batches, and the newest of every writer as its high-water mark.
+    def commit(
+        self, sequence: int, tables: Sequence[str], writer: str = RUN, info: Mapping[str, object] | None = None,
+        more: DataFrame | None = None,
+    ) -> None:
+        """Make the staged batches of ``tables`` visible together, with what is known of them, in one file.
 
-        For maintenance, while no other writer commits.
+        ``more`` adds ``(table_name, batch, visible)`` rows to it: batches that go with this commit, or, where ``visible`` is
+        false, that this one takes the place of.
         """
-        generation, rows = self._manifest()
-        if not rows:
-            return
-        kept = []
-        for table in {r.table_name for r in rows}:
-            visible = {b.key for b in self.batches(table)}
-            known = self.entries(table)
-            newest = {b.writer: b for b in known}  # entries ascend by writer and sequence
-            gone = {b.key for b in known} - visible
-            for b in known:
-                if b.key in visible or b is newest[b.writer]:
-                    # A covered high-water mark stays covered.
-                    covers = [key for key in b.covers if key in {n.key for n in newest.values()}]
-                    if b.key in gone and not any(b.key in v.covers for v in known if v.key in visible):
-                        covers.append(b.key)
-                    kept.append((generation + 1, table, b.writer, b.sequence, b.kind, b.digest, covers))
-        self._append_manifest(kept)
+        known = [(info or {}).get(name) for name in INFO]
+        rows = self.spark.createDataFrame([(t, batch_name(sequence, writer), writer, sequence, True, *known) for t in tables], COMMITS)
+        if more is not None:
+            rows = rows.unionByName(more.withColumn("writer", F.lit(writer)), allowMissingColumns=True)
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+
+    # --- rows --------------------------------------------------------------------------------------------------
 
     def schema(self, table: str) -> T.StructType:
         return STORE_SCHEMAS[table]
 
-    def read(self, table: str) -> DataFrame:
-        paths = [self.path(table, b.sequence, b.kind, b.writer) for b in self.batches(table)]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema(table))
-        return self.spark.read.schema(self.schema(table)).parquet(*paths)
+    def _stored_schema(self, table: str) -> T.StructType:
+        """Columns in the files and in the paths below a batch."""
+        schema = T.StructType([*self.schema(table)])
+        day = STORE_DAYS.get(table)
+        return schema.add(day.column, T.DateType()) if day and day.column not in schema.names else schema
 
-    def read_batch(self, table: str, sequence: int, kind: str = APPEND, writer: str = RUN) -> DataFrame:
+    def path(self, table: str, sequence: int, writer: str = RUN) -> str:
+        return f"{self.root}/{table}/batch={batch_name(sequence, writer)}"
+
+    def stage(self, table: str, df: DataFrame, sequence: int, writer: str = RUN) -> DataFrame:
+        """Write the rows of a batch (invisible until committed) and return them read back from the files."""
+        rows, day = df.select(*self.schema(table).names), STORE_DAYS.get(table)
+        if day and day.column not in rows.columns:
+            rows = rows.withColumn(day.column, F.expr(day.expression))
+        return self._write(table, rows, sequence, writer)
+
+    def _write(self, table: str, rows: DataFrame, sequence: int, writer: str) -> DataFrame:
+        target, day = self.path(table, sequence, writer), STORE_DAYS.get(table)
+        out = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        (out.partitionBy(day.column) if day else out).parquet(target)
+        return self.spark.read.schema(self._stored_schema(table)).parquet(target).select(*self.schema(table).names)
+
+    def read(self, table: str, since: date | str | None = None, batches: DataFrame | None = None) -> DataFrame:
+        """The rows that count; ``since`` leaves out earlier days of a table kept by day, ``batches`` all but some batches."""
+        schema = T.StructType([*self._stored_schema(table), T.StructField("batch", T.StringType())])
+        rows = self._table(table, schema)
+        if since is not None:
+            rows = rows.filter(F.col(STORE_DAYS[table].column) >= F.lit(since).cast("date"))
+        shown = self.visible(table) if batches is None else batches.select("batch")
+        return rows.join(shown, "batch", "left_semi").select(*self.schema(table).names)
+
+    def read_batch(self, table: str, sequence: int, writer: str = RUN) -> DataFrame:
         """The rows of one batch; none if it was never committed."""
-        if not any((b.writer, b.sequence, b.kind) == (writer, sequence, kind) for b in self.entries(table)):
-            return self.spark.createDataFrame([], self.schema(table))
-        return self.spark.read.schema(self.schema(table)).parquet(self.path(table, sequence, kind, writer))
+        own = self._own(table, writer).filter((F.col("sequence") == sequence) & F.col("visible")).select("batch").distinct()
+        return self.read(table, batches=own)
 
-    def append(self, table: str, df: DataFrame, sequence: int, writer: str = RUN, digest: str | None = None) -> bool:
+    def append(self, table: str, df: DataFrame, sequence: int, writer: str = RUN) -> bool:
         """Stage and commit one batch; False if this very batch is stored already."""
-        if self.committed(table, sequence, writer, digest):
+        if self.committed(table, sequence, writer):
             return False
-        self.stage(table, df, sequence, writer=writer)
-        self.commit(sequence, {table: APPEND}, writer, digest)
+        self.stage(table, df, sequence, writer)
+        self.commit(sequence, [table], writer)
         return True

@@ -7,50 +7,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from acctpulse.functions.text import alert_message
+from acctpulse.functions.times import instant
 from acctpulse.operators.alerts import SCORE_DROP, alert_id
-from acctpulse.sources.store import Store, content_digest
+from acctpulse.sources.store import Store
 
 ALERTS = "alert-stream"
+DELAY = "31 days"
 
 
-def first_of_day(flagged: DataFrame, logged: DataFrame, alert_type: str = SCORE_DROP) -> DataFrame:
-    """Alert rows of the earliest flagged snapshot per company and day, for days without an alert of this type."""
-    day = F.to_date("scored_at").alias("day")
-    first = flagged.groupBy("company_id", day).agg(
-        F.min(F.struct("scored_at", "score", "company_name", "plan")).alias("row")
-    )
-    days = first.agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
-    created = F.to_date("created_at")
-    known = logged.filter((F.col("alert_type") == alert_type) & created.between(F.lit(days.low), F.lit(days.high)))
-    fresh = first.join(known.select("company_id", created.alias("day")).distinct(), ["company_id", "day"], "left_anti")
-    row = F.col("row")
+def once_a_day(flagged: DataFrame, alert_type: str = SCORE_DROP, delay: str = DELAY) -> DataFrame:
+    """Alert rows, at most one per company and day of a stream of flagged snapshots.
+
+    The stream's state remembers the companies and days it has alerted for, for ``delay`` after the newest snapshot; a
+    snapshot that comes later than that is dropped. A delay of a day or more keeps the state of a day as long as any row of
+    the day is taken, so no day is alerted twice. Which of several snapshots of one day in one micro-batch makes the alert is
+    not fixed.
+    """
+    rows = flagged.withColumns({"day": F.to_date("scored_at"), "at": instant("scored_at")}).withWatermark("at", delay)
+    fresh = rows.dropDuplicatesWithinWatermark(["company_id", "day"])
     alerts = fresh.select(
         "company_id",
         F.lit(alert_type).alias("alert_type"),
-        alert_message(row["company_name"], row["plan"], row["score"]).alias("message"),
+        alert_message(F.col("company_name"), F.col("plan"), F.col("score")).alias("message"),
         F.lit(False).alias("acknowledged"),
-        row["scored_at"].alias("created_at"),
+        F.col("scored_at").alias("created_at"),
     )
     return alerts.select(alert_id(), "*")
 
 
+def not_logged(alerts: DataFrame, store: Store) -> DataFrame:
+    """Alerts whose company, type and day no writer has logged. Opens the log's partitions from the first day on."""
+    day = F.to_date("created_at").alias("day")
+    first = alerts.agg(F.min(day)).first()[0]
+    if first is None:
+        return alerts
+    logged = store.read("alert_log", first).select("company_id", "alert_type", day).distinct()
+    return alerts.withColumn("day", day).join(logged, ["company_id", "alert_type", "day"], "left_anti").drop("day")
+
+
 def stream_alerts(
-    flagged: DataFrame, store: Store, checkpoint: str, alert_type: str = SCORE_DROP, writer: str = ALERTS
-) -> StreamingQuery:
-    """At most one alert per company, type and day in the stored alert log, however late a row arrives.
+    flagged: DataFrame, store: Store, checkpoint: str, alert_type: str = SCORE_DROP, writer: str = ALERTS,
+    delay: str = DELAY, shared: bool = False,
+) -> StreamingQuery:
+    """At most one alert per company, type and day in the stored alert log.
 
-    ``flagged`` streams ``(company_id, company_name, plan, score, scored_at)``. Each micro-batch is compared with the log
-    of its own days, so restarts, other streams and the daily run do not alert twice, and no state is kept. A replayed
-    epoch changes nothing.
+    ``flagged`` streams ``(company_id, company_name, plan, score, scored_at)``. What has been alerted is stream state in the
+    checkpoint: the log is not read, and a restart does not alert twice. A replayed epoch changes nothing. Where other
+    streams or the daily scan log alerts of the same days, ``shared`` also compares each micro-batch's new alerts with the
+    log's partitions of those days.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        digest = content_digest(batch)
-        if not store.committed("alert_log", epoch, writer, digest):
-            store.append("alert_log", first_of_day(batch, store.read("alert_log"), alert_type), epoch, writer, digest)
+        if not store.committed("alert_log", epoch, writer):
+            store.append("alert_log", not_logged(batch, store) if shared else batch, epoch, writer)
 
     return (
-        flagged.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        once_a_day(flagged, alert_type, delay).writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )

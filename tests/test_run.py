@@ -1,5 +1,7 @@
 """Store, daily run and views on the small benchmark tables."""
 
+import contextlib
+import io
 from datetime import datetime
 
 import pytest
@@ -9,7 +11,8 @@ from acctpulse.operators.briefs import per_prompt
 from acctpulse.plans import run as R
 from acctpulse.plans import views as V
 from acctpulse.sources import adapters
-from acctpulse.sources.store import APPEND, COMPACTION, REPLACE, RUN, Store
+from acctpulse.plans.ingest import marks
+from acctpulse.sources.store import COMPACTION, RUN, Store, batch_name
 
 FIRST, SECOND = "2024-01-20 00:30:00", "2024-01-27 00:30:00"
 
@@ -26,6 +29,10 @@ def until(sources, as_of):
     return {**sources, "events": sources["events"].filter(F.col("occurred_at") <= at)}
 
 
+def batches(store, table):
+    return sorted(r.batch for r in store.visible(table).collect())
+
+
 def values(counters):
     return {r.counter: r.value for r in counters.collect()}
 
@@ -75,7 +82,7 @@ def test_incremental_facts_equal_one_batch(done, spark):
     folded = {(r.company_id, r.event_date, r.event_type): r.event_count for r in R.daily_facts(store).collect()}
     assert folded == once
     newest = until(sources, SECOND)["events"].agg(F.max("id")).first()[0]
-    assert sorted(tuple(r)[:2] for r in store.read("sync_state").collect()) == [("events", newest), ("events/run", newest)]
+    assert sorted(tuple(r)[:2] for r in marks(store).collect()) == [("events", newest), ("events/run", newest)]
 
 
 def test_history_and_state_agree(done):
@@ -99,7 +106,7 @@ def test_compaction_keeps_the_facts(done):
     store = done[0]
     before = sorted(map(tuple, R.daily_facts(store).collect()))
     R.compact_daily(store)
-    assert [(b.writer, b.kind) for b in store.batches("daily_log")] == [(COMPACTION, REPLACE)]
+    assert batches(store, "daily_log") == batches(store, "user_days") == [batch_name(0, COMPACTION)]
     assert sorted(map(tuple, R.daily_facts(store).collect())) == before
     assert store.committed("daily_log", R.batch_of(FIRST))
 
@@ -158,32 +165,75 @@ def test_uncommitted_batches_are_invisible(spark, tmp_path):
     assert store.read("sync_state").isEmpty()
     store.stage("sync_state", frame, 1)
     assert store.read("sync_state").isEmpty()
-    store.commit(1, {"sync_state": APPEND})
+    store.commit(1, ["sync_state"])
     assert store.read("sync_state").count() == 1
-    store.stage("sync_state", frame.withColumn("last_synced_id", F.lit(9).cast("bigint")), 2, REPLACE)
-    store.commit(2, {"sync_state": REPLACE})
+    later = frame.withColumn("last_synced_id", F.lit(9).cast("bigint"))
+    store.stage("sync_state", later, 2)
+    store.commit(2, ["sync_state"], more=store.visible("sync_state").selectExpr("'sync_state' as table_name", "batch", "false as visible"))
     assert [r.last_synced_id for r in store.read("sync_state").collect()] == [9]
+    # A step that died before its commit left rows behind: the next attempt takes their place.
+    store.stage("sync_state", frame.unionByName(later), 3)
+    store.append("sync_state", later, 3)
+    assert [r.last_synced_id for r in store.read("sync_state").collect()] == [9, 9]
+
+
+def test_state_tables_show_their_newest_batch(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    row = lambda n: spark.createDataFrame([(1, "a", n, None, None)], store.schema("user_activity"))
+    for sequence in (9, 10):
+        store.append("user_activity", row(sequence), sequence)
+    assert [r.events for r in store.read("user_activity").collect()] == [10]
+    assert [r.events for r in store.read_batch("user_activity", 9).collect()] == [9]
+
+
+def test_days_are_partitions(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    parts = (25, 20, 20, 4, 5)
+    for n in range(3):
+        rows = [(1, 50, False, parts, datetime(2024, 1, 1 + day)) for day in (n, n + 1)] + [(2, 50, False, parts, None)]
+        store.append("fact_health_score", spark.createDataFrame(rows, store.schema("fact_health_score")), n)
+    assert store.read("fact_health_score").count() == 9
+    late = store.read("fact_health_score", "2024-01-03")
+    assert sorted(r.scored_at.day for r in late.collect()) == [3, 3, 4]
+    with contextlib.redirect_stdout(io.StringIO()) as shown:
+        late.explain("formatted")
+    filters = [x for x in shown.getvalue().splitlines() if x.startswith("PartitionFilters") and "scored_date" in x]
+    assert filters and all(">= 2024-01-03" in x and "dynamicpruning" in x for x in filters)
+    opened = spark.read.parquet(f"{tmp_path}/fact_health_score").filter("scored_date >= date'2024-01-03'")
+    assert opened.select("_metadata.file_path").distinct().count() == 3
+
+
+def test_trailing_measure_and_alerts_open_their_days_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    sources = adapters.sources(spark, "/root/testdata/sf0.001")
+    R.sync_daily(sources, store, SECOND)
+    day = R.day_of("2024-02-20 00:00:00", R.WINDOW_DAYS)
+    read = R.daily_facts(store, day)
+    files = {r.f for r in read.groupBy().count().sparkSession.read.parquet(f"{tmp_path}/daily_log").filter(F.col("event_date") >= F.lit(day)).selectExpr("_metadata.file_path as f").collect()}
+    assert all(f.rsplit("event_date=", 1)[1][:10] >= "2024-01-21" for f in files) and files
+    whole = R.D.active_users_30d(R.daily_facts(store), "2024-02-20 00:00:00").collect()
+    assert sorted(map(tuple, R.D.active_users_30d(read, "2024-02-20 00:00:00").collect())) == sorted(map(tuple, whole))
 
 
 def test_failing_step_leaves_the_mark(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path))
     sources = adapters.sources(spark, "/root/testdata/sf0.001")
     R.sync_daily(until(sources, FIRST), store, FIRST)
-    before = store.read("sync_state").collect()
+    before = marks(store).collect()
 
     def broken(*_args, **_kwargs):
         raise RuntimeError("lost")
 
-    monkeypatch.setattr(R.D, "advance_watermark", broken)
+    monkeypatch.setattr(store, "commit", broken)
     with pytest.raises(RuntimeError):
         R.run_step("daily", lambda: R.sync_daily(until(sources, SECOND), store, SECOND))
-    assert store.read("sync_state").collect() == before
-    assert [b[:3] for b in store.batches("daily_log")] == [(RUN, R.batch_of(FIRST), APPEND)]
+    assert marks(store).collect() == before
+    assert batches(store, "daily_log") == [batch_name(R.batch_of(FIRST), RUN)]
     monkeypatch.undo()
     R.sync_daily(until(sources, SECOND), store, SECOND)
-    assert len(store.batches("daily_log")) == 2
+    assert len(batches(store, "daily_log")) == 2
     R.sync_daily(until(sources, SECOND), store, "2024-01-28 00:00:00")  # nothing new: no batch, same mark
-    assert len(store.batches("daily_log")) == 2
+    assert len(batches(store, "daily_log")) == 2
 
 
 def test_incremental_accounts_equal_a_recount(spark, tmp_path):
@@ -204,7 +254,7 @@ def test_incremental_accounts_equal_a_recount(spark, tmp_path):
         exact = facts_of(fold_user_days(store.read("user_days")), users)
         once = events_daily(until(sources, SECOND)["events"], users)
         assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, once.collect()))
-    assert [b[:3] for b in store.batches("user_days")] == [(COMPACTION, 0, REPLACE)]
+    assert batches(store, "user_days") == [batch_name(0, COMPACTION)]
 
 
 def exact_facts(store, users):
@@ -264,23 +314,19 @@ def test_briefs_for_chosen_accounts(spark, tmp_path):
     assert sorted(r.company_id for r in store.read("ai_summaries").collect()) == [1, 2]
 
 
-def test_manifest_compaction_keeps_batches_and_marks(spark, tmp_path):
+def test_activity_reads_new_batches_only(spark, tmp_path):
+    from acctpulse.plans.ingest import FOLDED, fold_activity
+
     store = Store(spark, str(tmp_path))
-    rows = spark.createDataFrame([("events", 5, None)], store.schema("sync_state"))
-    for n in range(3):
-        store.append("sync_state", rows, n)
-    store.stage("sync_state", rows, 3, REPLACE)
-    store.commit(3, {"sync_state": REPLACE})
-    store.append("sync_state", rows, 0, "stream", "d1")
-    store.stage("sync_state", rows, 4, REPLACE)
-    store.commit(4, {"sync_state": REPLACE})
-    store.append("sync_state", rows, 5)
-    before = store.batches("sync_state")
-    store.compact_manifest()
-    assert [b[:3] for b in store.batches("sync_state")] == [b[:3] for b in before] and store.read("sync_state").count() == 2
-    assert store.committed("sync_state", 0, "stream", "d1") and store.committed("sync_state", 5)
-    with pytest.raises(ValueError):
-        store.committed("sync_state", 0, "stream", "d2")
-    with pytest.raises(ValueError):
-        store.committed("sync_state", 1)
-    assert len([1 for b in store.entries("sync_state")]) == 3
+    sources = adapters.sources(spark, "/root/testdata/sf0.001")
+    expected = lambda at: sorted(map(tuple, R.D.activity_of(R.D.user_days(until(sources, at)["events"])).collect()))
+    for n, at in enumerate((FIRST, SECOND)):
+        R.sync_daily(until(sources, at), store, at)
+        assert sorted(map(tuple, fold_activity(store).collect())) == expected(at)
+        assert batches(store, "user_activity") == [batch_name(n, "fold")]
+    fold_activity(store)  # nothing new: no batch
+    assert batches(store, "user_activity") == [batch_name(1, "fold")]
+    assert sorted(r.batch for r in store.commits().filter(F.col("table_name") == FOLDED).collect()) == batches(store, "user_days")
+    R.compact_daily(store)
+    assert sorted(map(tuple, fold_activity(store).collect())) == expected(SECOND)
+    assert batches(store, "user_activity") == [batch_name(1, "fold")]
