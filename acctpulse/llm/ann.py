@@ -23,7 +23,7 @@ from acctpulse.session import staged
 
 K, QUERY_EVERY = 20, 20
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 96, 1.2
-SHARDS, SHARD_ROWS, BLOCK_QUERIES = 8, 200_000, 4096
+SHARDS, SHARD_ROWS = 8, 200_000
 _BATCH = 256
 
 
@@ -77,6 +77,12 @@ def prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree:
     far[candidates == nodes[:, None]] = np.inf
     order = np.argsort(far, axis=1, kind="stable")
     candidates, far, at = (np.take_along_axis(x, order, 1) for x in (candidates, far, at))
+    # A node that is named twice counts once: rounding may set two mentions of it apart.
+    by_name = np.argsort(candidates, axis=1, kind="stable")
+    names = np.take_along_axis(candidates, by_name, 1)
+    again = np.zeros(candidates.shape, bool)
+    again[:, 1:] = names[:, 1:] == names[:, :-1]
+    np.put_along_axis(far, by_name, np.where(again, np.inf, np.take_along_axis(far, by_name, 1)), 1)
     own = points[at]
     lengths = np.einsum("ncd,ncd->nc", own, own)
     between = lengths[:, :, None] + lengths[:, None, :] - 2 * own @ own.transpose(0, 2, 1)
@@ -121,7 +127,40 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
             wide = extra[some]
             for k in range(0, wide.shape[1], 2 * degree):
                 edges[hosts[some]] = prune(points, hosts[some], np.concatenate([edges[hosts[some]], wide[:, k : k + 2 * degree]], 1), degree, relax)
-    return edges, entry
+    return connect(points, edges, entry, beam), entry
+
+
+def reached(edges: np.ndarray, entry: int) -> np.ndarray:
+    """Whether a walk from the entry comes to each node."""
+    seen = np.zeros(len(edges) + 1, bool)  # the last one stands for "no node"
+    seen[[entry, -1]] = True
+    front = np.array([entry])
+    while len(front):
+        near = np.unique(edges[front])
+        front = near[~seen[near]]
+        seen[front] = True
+    return seen[:-1]
+
+
+def connect(points: np.ndarray, edges: np.ndarray, entry: int, beam: int = BUILD_BEAM) -> np.ndarray:
+    """``edges`` with a further edge to every node that none leads to, from the nearest node that a search for it meets.
+
+    The edge goes into a free place, or into a new column beyond the degree: pruning cannot take it away. One node per host
+    and round, as others near it may be reached through it.
+    """
+    while not (seen := reached(edges, entry)).all():
+        lost = np.nonzero(~seen)[0]
+        hosts = np.concatenate([
+            beam_search(points, edges, entry, points[lost[at : at + _BATCH]], min(beam, len(points)))[0][:, 0]
+            for at in range(0, len(lost), _BATCH)
+        ])
+        hosts, first = np.unique(hosts, return_index=True)
+        free = edges[hosts] < 0
+        if not free.any(axis=1).all():
+            edges = np.concatenate([edges, np.full((len(edges), 1), -1, edges.dtype)], 1)
+            free = edges[hosts] < 0
+        edges[hosts, free.argmax(axis=1)] = lost[first]
+    return edges
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
@@ -175,55 +214,80 @@ def augmented(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, more[:, None]], 1).astype(np.float32)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_BEAM, block: int = BLOCK_QUERIES) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_BEAM) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found for every query ``vec_id, v``, never itself.
 
-    Queries are taken in blocks; each block meets each shard's graph in one task, which holds a shard and a block.
+    Each shard's rows and all queries, sorted so that the graph comes first, are one task's stream: it holds one graph and a
+    batch of queries at a time. The index is shuffled once, however many queries there are; queries are copied to every shard.
     """
-    blocks = max(1, -(-queries.count() // block))
-    shards = index.select(F.col("shard").alias("in_shard"), F.col("dim").alias("of_dim")).distinct()
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")
-    asked = queries.select("vec_id", "v", part).join(shards, F.size("v") == F.col("of_dim"))
-    graphs = index.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    asked = asked.select("vec_id", "v", "in_shard", "of_dim", F.col("block").cast("bigint").alias("in_block"))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def look(graph: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
-        if graph.num_rows and wanted.num_rows:
-            graph, dim = graph.sort_by([("node", "ascending")]), graph["dim"][0].as_py()
-            x, edges = _matrix(graph["v"], dim), np.stack(graph["edges"].to_numpy()).astype(np.int64)
-            points, members = augmented(x), graph["ids"].to_pylist()
-            q = _matrix(wanted["v"], dim)
-            asking = wanted["vec_id"].to_numpy()
-            entry, width = graph["entry"][0].as_py(), min(beam, len(points))
-            unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-            flat = np.concatenate([unit, np.zeros((len(q), 1))], 1).astype(np.float32)
-            for at in range(0, len(q), _BATCH):
-                ids, _ = beam_search(points, edges, entry, flat[at : at + _BATCH], width)
-                for row, own in enumerate(ids):
-                    own = own[own >= 0]
-                    scores = x[own] @ q[at + row]
-                    # Ties of many equal scores must not be cut before the smallest ids are known.
-                    names = [members[i] for i in own.tolist()]
-                    found = np.concatenate([np.array(m, np.int64) for m in names])
-                    worth = np.repeat(scores, [len(m) for m in names])
-                    other = found != asking[at + row]
-                    found, worth = found[other], worth[other]
-                    best = np.lexsort((found, -worth))[:k]
-                    out[0].append(np.full(len(best), asking[at + row]))
-                    out[1].append(found[best])
-                    out[2].append(worth[best])
-        arrays = [pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(out, schema)]
-        return pa.Table.from_arrays(arrays, schema=schema)
-
-    pairs = graphs.groupBy("shard", "dim", "block").cogroup(asked.groupBy("in_shard", "of_dim", "in_block"))
-    found = pairs.applyInArrow(look, "query_id bigint, vec_id bigint, score double")
+    shards = index.select(F.col("shard").alias("of_shard"), F.col("dim").alias("of_dim")).distinct()
+    count = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    asked = queries.select("vec_id", "v").join(shards, F.size("v") == F.col("of_dim"))
+    none = {f: F.lit(None).cast(index.schema[f].dataType).alias(f) for f in ("node", "ids", "edges", "entry")}
+    graph = index.select("shard", "dim", F.lit(False).alias("asks"), *none.keys(), "v", F.lit(None).cast("bigint").alias("vec_id"))
+    wanted = asked.select(F.col("of_shard").alias("shard"), F.col("of_dim").alias("dim"), F.lit(True).alias("asks"), *none.values(), "v", "vec_id")
+    streams = graph.unionByName(wanted).repartitionById(count, F.col("shard").cast("int"))
+    streams = streams.sortWithinPartitions("shard", "dim", "asks", "node")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        shard: _Shard | None = None
+        for rows in map(pa.Table.from_batches, ([b] for b in batches)):
+            # Where another shard, another length of vectors or the queries begin.
+            marks = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("shard", "dim", "asks")])
+            cuts = [0, *(np.nonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0))[0] + 1).tolist(), rows.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                part = rows.slice(at, end - at)
+                if end == at:
+                    continue
+                if not part["asks"][0].as_py():
+                    if shard is not None or (held and (held[0]["shard"][0], held[0]["dim"][0]) != (part["shard"][0], part["dim"][0])):
+                        held, shard = [], None
+                    held.append(part)
+                    continue
+                if shard is None:
+                    shard, held = _Shard(pa.concat_tables(held)), []
+                yield from shard.answers(part, k, beam)
+
+    found = streams.mapInArrow(look, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+class _Shard:
+    """One shard's graph in memory."""
+
+    def __init__(self, graph: pa.Table):
+        self.x = _matrix(graph["v"], graph["dim"][0].as_py())
+        self.edges = np.stack(graph["edges"].to_numpy()).astype(np.int64)
+        self.points, self.members = augmented(self.x), graph["ids"].to_pylist()
+        self.entry = graph["entry"][0].as_py()
+
+    def answers(self, wanted: pa.Table, k: int, beam: int) -> Iterator[pa.RecordBatch]:
+        queries, asking = _matrix(wanted["v"], self.x.shape[1]), wanted["vec_id"].to_numpy()
+        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+        flat = np.concatenate([unit, np.zeros((len(queries), 1))], 1).astype(np.float32)
+        for at in range(0, len(queries), _BATCH):
+            ids, _ = beam_search(self.points, self.edges, self.entry, flat[at : at + _BATCH], min(beam, len(self.points)))
+            out: list[list[np.ndarray]] = [[], [], []]
+            for row, own in enumerate(ids, at):
+                own = own[own >= 0]
+                scores = self.x[own] @ queries[row]
+                # Ties of many equal scores must not be cut before the smallest ids are known.
+                names = [self.members[i] for i in own.tolist()]
+                found = np.concatenate([np.array(m, np.int64) for m in names])
+                worth = np.repeat(scores, [len(m) for m in names])
+                other = found != asking[row]
+                found, worth = found[other], worth[other]
+                best = np.lexsort((found, -worth))[:k]
+                for column, values in zip(out, (np.full(len(best), asking[row]), found[best], worth[best])):
+                    column.append(values)
+            types = (pa.int64(), pa.int64(), pa.float64())
+            columns = [pa.array(np.concatenate(c), t) for c, t in zip(out, types)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K, beam: int = SEARCH_BEAM, **index) -> DataFrame:
     """The ``k`` nearest of every vector whose id is divisible by ``every``, against all others.
 

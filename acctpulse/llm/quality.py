@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from acctpulse.llm.words import word_blocks
 from acctpulse.session import staged
@@ -40,11 +41,17 @@ STATISTICS = {
     "dup_lines": "sqrt(n_dup_lines / greatest(n_lines, 1))",
     "repeats": "sqrt(n_repeat_words / greatest(n_words, 1))",
 }
-#: Spread that a statistic may have in any group, added to the estimate: sound texts of a few lines repeat one, hold a
-#: number or a symbol, in groups whose bulk has none.
-FLOORS = {"word_length": 0.05, "symbols": 0.03, "upper": 0.05, "digits": 0.1, "marks": 0.05, "dup_lines": 0.2, "repeats": 0.2}
-PART, STEPS, REWEIGHT, REJECT = 0.75, 4, 0.975, 1e-4
-MIN_ROWS = 200
+#: Sampling variance of each statistic in a text of its length: the square root of a share of n units that come in clumps of c
+#: varies by c / (4 n) even where the share is the same. Clumps: a number or key counts as one run of digits, a repeated window of
+#: words as the words of both its copies.
+CLUMPS = {"symbols": 2, "upper": 2, "digits": 16, "marks": 2, "dup_lines": 1, "repeats": 2 * WINDOW}
+_UNITS = {"dup_lines": "n_lines", "repeats": "n_words"}
+SAMPLING = {"word_length": "1 / (4 * greatest(n_words, 1))"} | {
+    name: f"{clump} / (4 * greatest({_UNITS.get(name, 'word_chars')}, 1))" for name, clump in CLUMPS.items()
+}
+PART, REWEIGHT, REJECT = 0.75, 0.975, 1e-4
+# Rows that the language's estimate counts for beside a group's own; steps end when the log determinant falls by less.
+PRIOR_ROWS, SETTLED, MOST_STEPS = 50, 1e-3, 100
 _P = len(STATISTICS)
 _BINS = 4
 
@@ -125,13 +132,23 @@ def chi2_quantile(q: float, p: int) -> float:
     return high
 
 
-def _whitener(cov: np.ndarray) -> np.ndarray:
+_LOWER = np.tril_indices(_P)
+
+
+def _whitener(cov: np.ndarray) -> list[float]:
     """Lower triangle of ``W`` with ``|W (x - centre)|`` the Mahalanobis distance."""
-    return np.linalg.inv(np.linalg.cholesky(cov))[np.tril_indices(_P)]
+    return np.linalg.inv(np.linalg.cholesky(cov))[_LOWER].tolist()
+
 
+def _square(lower: np.ndarray) -> np.ndarray:
+    """Symmetric matrix of a lower triangle."""
+    out = np.zeros((_P, _P))
+    out[_LOWER] = lower
+    return out + np.tril(out, -1).T
 
-def concentrate(bins: pd.DataFrame, part: float | None, within: float | None) -> pd.DataFrame:
-    """One group's new estimate from its bins: the nearest ``part`` of the rows, or those ``within`` a squared distance."""
+
+def concentrated(bins: pd.DataFrame, part: float | None = None, within: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of a group's nearest ``part`` of rows, or of those ``within`` a squared distance, from its bins."""
     bins = bins.sort_values("bin")
     n = bins["n"].to_numpy(float)
     inside = np.cumsum(n) - n < part * n.sum() if part else bins["bin"].to_numpy() <= math.floor(math.log(within) * _BINS)
@@ -140,24 +157,63 @@ def concentrate(bins: pd.DataFrame, part: float | None, within: float | None) ->
     taken = n[inside].sum()
     sums = np.stack(bins["sums"].to_numpy())[inside].sum(axis=0)
     mean = sums[:_P] / taken
-    cov = np.zeros((_P, _P))
-    cov[np.tril_indices(_P)] = sums[_P:] / taken
-    cov = cov + np.tril(cov, -1).T - np.outer(mean, mean)
+    cov = _square(sums[_P:] / taken) - np.outer(mean, mean)
+    # Rounding may leave a spread of nothing slightly below nothing.
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    cov = (vectors * np.maximum(values, 0)) @ vectors.T
     # A normal bulk cut at a distance looks too narrow by a known factor.
     share = min(taken / n.sum(), 1 - 1e-9) if part else REWEIGHT
-    cov *= share / chi2_below(chi2_quantile(share, _P), _P + 2)
-    cov = (cov + cov.T) / 2 + np.diag([f * f for f in FLOORS.values()])
-    return pd.DataFrame({"key": [bins["key"].iloc[0]], "rows": [int(n.sum())], "centre": [mean.tolist()], "whiten": [_whitener(cov).tolist()]})
+    return mean, cov * share / chi2_below(chi2_quantile(share, _P), _P + 2)
+
+
+def _step(part: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """One concentration step of a group and start; a step that no longer lowers the determinant is not taken and settles it."""
+
+    def step(bins: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
+        if not len(now) or not len(bins):
+            return now
+        old = now.iloc[0]
+        mean, cov = concentrated(bins, part=part)
+        cov = cov + np.diag(old["error"])
+        logdet = float(np.linalg.slogdet(cov)[1])
+        settled = not logdet < old["logdet"] - SETTLED
+        if settled:
+            return now.assign(settled=True)
+        return now.assign(centre=[mean.tolist()], whiten=[_whitener(cov)], logdet=[logdet])
 
+    return step
 
-def _fit(part: float | None, within: float | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def fit(bins: pd.DataFrame) -> pd.DataFrame:
-        return concentrate(bins, part, within)
 
-    return fit
+def _reweighted(bins: pd.DataFrame) -> pd.DataFrame:
+    mean, cov = concentrated(bins, within=chi2_quantile(REWEIGHT, _P))
+    return pd.DataFrame({"key": [bins["key"].iloc[0]], "n": [int(bins["n"].sum())], "centre": [mean.tolist()], "cov": [cov[_LOWER].tolist()]})
 
 
-_ESTIMATE = "key string, rows bigint, centre array<double>, whiten array<double>"
+def shrunk(own: tuple, prior: tuple, rows: float, prior_rows: float = PRIOR_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of a group that its language's count for as ``prior_rows`` further rows of."""
+    (centre, cov), (other, spread) = own, prior
+    w = rows / (rows + prior_rows)
+    apart = centre - other
+    return w * centre + (1 - w) * other, w * cov + (1 - w) * spread + w * (1 - w) * np.outer(apart, apart)
+
+
+def _shrink(prior_rows: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                levels = [(np.array(e["centre"]), _square(np.array(e["cov"]))) for e in (row.e2, row.e1, row.e0)]
+                now = levels[0]
+                for level, e in zip(levels[1:], (row.e1, row.e0)):
+                    now = shrunk(level, now, e["n"], prior_rows)
+                out.append((row.key, now[0].tolist(), now[1][_LOWER].tolist()))
+            yield pd.DataFrame(out, columns=["key", "centre", "cov"])
+
+    return run
+
+
+_STATE = "key string, start int, error array<double>, centre array<double>, whiten array<double>, logdet double, settled boolean"
+_ESTIMATE = "key string, n bigint, centre array<double>, cov array<double>"
 
 
 def _distance2() -> F.Column:
@@ -176,71 +232,120 @@ def _level(lang, source, level: int) -> F.Column:
     return F.to_json(F.struct(F.lit(level).alias("level"), *kept))
 
 
-def estimates(rows: DataFrame, part: float = PART, steps: int = STEPS, min_rows: int = MIN_ROWS) -> DataFrame:
-    """``lang, source, centre, whiten`` for every language and source of ``rows`` (``lang, source, v``).
+def _bins(keyed: DataFrame, now: DataFrame, *by: str) -> DataFrame:
+    """Counts, sums and products of every group's rows by their distance from its estimate, combined in the map tasks."""
+    binned = keyed.join(now.select("key", *by, "centre", "whiten"), "key")
+    binned = binned.withColumn("bin", F.floor(F.log(F.greatest(_distance2(), F.lit(1e-6))) * _BINS))
+    return binned.groupBy("key", *by, "bin").agg(F.count("*").alias("n"), F.array(*map(F.sum, _products())).alias("sums"))
+
+
+def _products() -> list[F.Column]:
+    v = [F.col("v")[i] for i in range(_P)]
+    return v + [v[i] * v[j] for i, j in zip(*(x.tolist() for x in _LOWER))]
 
-    A pair with fewer than ``min_rows`` rows takes the estimate of its language, and a language with fewer that of all rows:
-    too few rows say nothing about a spread in several dimensions.
+
+def _starts(keyed: DataFrame) -> DataFrame:
+    """Two starts per group: medians and quartile spreads, and the plain mean and covariance. ``error`` is the mean sampling variance."""
+    quarters = [F.percentile_approx(F.col("v")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for i in range(_P)]
+    errors = [F.avg(F.col("e")[i]) for i in range(_P)]
+    summed = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.array(*quarters).alias("q"), F.array(*errors).alias("error"), F.array(*map(F.sum, _products())).alias("sums")
+    )
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                q, error, sums = np.stack(row.q), np.array(row.error), np.array(row.sums) / row.n
+                robust = np.square((q[:, 2] - q[:, 0]) / 1.349)
+                plain = np.diag(_square(sums[_P:]) - np.outer(sums[:_P], sums[:_P]))
+                for start, (centre, spread) in enumerate(((q[:, 1], robust), (sums[:_P], np.maximum(plain, 0)))):
+                    out.append((row.key, start, error.tolist(), centre.tolist(), _whitener(np.diag(spread + error)), math.inf, False))
+            yield pd.DataFrame(out, columns=["key", "start", "error", "centre", "whiten", "logdet", "settled"])
+
+    return summed.mapInPandas(run, _STATE)
+
+
+def estimates(rows: DataFrame, part: float = PART, prior_rows: float = PRIOR_ROWS) -> DataFrame:
+    """``key, centre, cov`` (lower triangle) for every language and source of ``rows`` (``lang, source, v, e``).
+
+    ``v`` is a text's vector and ``e`` the sampling variances of its statistics. Concentration steps run from two starts until
+    the determinant falls no more, and the smaller one is kept. A group's mean sampling variance is added to its covariance
+    in the steps, so that a statistic that is the same in the bulk does not make it singular. Few rows say little about a
+    spread in several dimensions: the language's estimate counts as ``prior_rows`` further rows of every source, and that of
+    all rows as as many of every language.
     """
     keys = F.explode(F.array(*(_level(F.col("lang"), F.col("source"), k) for k in range(3)))).alias("key")
-    keyed = rows.select("v", keys)
-    quarters = [F.percentile_approx(F.col("v")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for i in range(_P)]
-    start = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.array(*quarters).alias("q"))
-    floors = F.array(*map(F.lit, FLOORS.values()))
-    at = list(zip(*(x.tolist() for x in np.tril_indices(_P))))
-    whiten = [
-        1 / F.sqrt(F.pow((F.col("q")[i][2] - F.col("q")[i][0]) / 1.349, 2) + F.pow(floors[i], 2)) if i == j else F.lit(0.0)
-        for i, j in at
-    ]
-    now = staged(start.select("key", "rows", F.array(*(F.col("q")[i][1] for i in range(_P))).alias("centre"), F.array(*whiten).alias("whiten")), "start")
-    for step in range(steps + 1):
-        last = step == steps
-        binned = keyed.join(now, "key").withColumn("bin", F.floor(F.log(F.greatest(_distance2(), F.lit(1e-6))) * _BINS))
-        products = [F.col("v")[i] for i in range(_P)] + [F.col("v")[i] * F.col("v")[j] for i, j in at]
-        sums = binned.groupBy("key", "bin").agg(F.count("*").alias("n"), F.array(*map(F.sum, products)).alias("sums"))
-
-        fit = _fit(None, chi2_quantile(REWEIGHT, _P)) if last else _fit(part, None)
-        now = staged(sums.groupBy("key").applyInPandas(fit, _ESTIMATE), "estimates")
-    # The estimate of all rows is one small row.
-    whole = now.filter(F.col("key") == F.to_json(F.struct(F.lit(2).alias("level")))).first()
-    groups = rows.groupBy("lang", "source").agg(F.count("*").alias("size"))
-    names = [_level(F.col("lang"), F.col("source"), k).alias(f"k{k}") for k in range(2)]
-    groups = groups.select("lang", "source", *names)
-    for k in range(2):
-        found = now.filter(F.col("rows") >= min_rows).select(F.col("key").alias(f"k{k}"), F.struct("centre", "whiten").alias(f"e{k}"))
-        groups = groups.join(found, f"k{k}", "left")
-    last = [F.array(*map(F.lit, x)).alias(n) for n, x in (("centre", whole.centre), ("whiten", whole.whiten))] if whole else []
-    rest = [F.struct(*last)] if whole else []
-    return groups.select("lang", "source", F.coalesce("e0", "e1", *rest).alias("e")).select("lang", "source", "e.*")
-
-
-def quality(
-    docs: DataFrame, part: float = PART, steps: int = STEPS, reject: float = REJECT, min_rows: int = MIN_ROWS
-) -> DataFrame:
+    keyed = rows.select("v", "e", keys)
+    now = staged(_starts(keyed), "starts")
+    for _ in range(MOST_STEPS):
+        moving = now.filter("NOT settled")
+        if moving.isEmpty():
+            break
+        sums = _bins(keyed, moving.withColumnRenamed("start", "of_start"), "of_start")
+        paired = sums.groupBy("key", "of_start").cogroup(now.groupBy("key", "start"))
+        now = staged(paired.applyInPandas(_step(part), _STATE), "estimates")
+    else:
+        raise RuntimeError(f"estimates did not settle within {MOST_STEPS} steps")
+    best = now.groupBy("key").agg(F.min_by(F.struct("centre", "whiten"), F.struct("logdet", "start")).alias("b")).select("key", "b.*")
+    found = staged(_bins(keyed, best).groupBy("key").applyInPandas(_reweighted, _ESTIMATE), "reweighted")
+    groups = rows.select("lang", "source").distinct()
+    groups = groups.select(*(_level(F.col("lang"), F.col("source"), k).alias(f"k{k}") for k in range(3)))
+    for k in range(3):
+        groups = groups.join(found.select(F.col("key").alias(f"k{k}"), F.struct("n", "centre", "cov").alias(f"e{k}")), f"k{k}")
+    named = groups.select(F.col("k0").alias("key"), "e0", "e1", "e2")
+    return named.mapInPandas(_shrink(prior_rows), "key string, centre array<double>, cov array<double>")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """``distance2`` of every row from its group, by the group's covariance and its own sampling variances."""
+    names = rows.columns
+    schema = T.StructType([*rows.schema, T.StructField("distance2", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = dict(zip(names, batch.columns))
+            have = np.array(table["centre"].is_valid()) & ~np.array(table["base_failed"])
+            found = np.full(batch.num_rows, np.nan)
+            at = np.nonzero(have)[0]
+            if len(at):
+                take = pa.array(at)
+                v, e, centre, lower = (np.stack(table[c].take(take).to_numpy(zero_copy_only=False)) for c in ("v", "e", "centre", "cov"))
+                cov = np.zeros((len(at), _P, _P))
+                cov[:, _LOWER[0], _LOWER[1]] = cov[:, _LOWER[1], _LOWER[0]] = lower
+                cov[:, np.arange(_P), np.arange(_P)] += e
+                moved = v - centre
+                found[at] = np.einsum("ij,ij->i", moved, np.linalg.solve(cov, moved[:, :, None])[:, :, 0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, mask=~have)], names=[*names, "distance2"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def quality(docs: DataFrame, part: float = PART, reject: float = REJECT, prior_rows: float = PRIOR_ROWS) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``kept``, ``distance2`` and ``text_hash`` for every row.
 
     Texts that fail the base rules (under 50 words, or over half of the words in repeated windows) are rejected and not
     part of the estimates. The others are kept if their squared distance is within the ``1 - reject`` quantile of
-    chi-square. Null and empty texts have no words and fail. A null language or source is a group of its own.
-    Repeated rows count and are returned each. No rows give no rows. Other columns are not read.
+    chi-square; a text's own sampling variances, by its length, are part of the spread it may have. Null and empty texts have
+    no words and fail. A null language or source is a group of its own. Repeated rows count and are returned each. No rows give
+    no rows. Other columns are not read.
     """
     rows = staged(base_statistics(docs), "counts")
-    vector = F.array(*map(F.expr, STATISTICS.values())).alias("v")
-    passed = rows.filter("NOT base_failed").select("lang", "source", vector)
-    found = staged(estimates(passed, part, steps, min_rows), "found").select(
-        F.struct("lang", "source").alias("of"), "centre", "whiten"
-    )
-    group = F.to_json(F.struct("lang", "source"))
-    found = found.select(F.to_json("of").alias("group"), "centre", "whiten")
-    joined = rows.withColumn("group", group).join(found, "group", "left").withColumn("v", vector)
-    distance = F.when(~F.col("base_failed"), _distance2())
-    judged = joined.withColumn("distance2", distance)
+    vectors = [F.array(*(F.expr(x).cast("double") for x in of.values())).alias(n) for n, of in (("v", STATISTICS), ("e", SAMPLING))]
+    passed = rows.filter("NOT base_failed").select("lang", "source", *vectors)
+    found = staged(estimates(passed, part, prior_rows), "found")
+    keyed = rows.select("doc_id", *COUNTS, "base_failed", "text_hash", _level(F.col("lang"), F.col("source"), 0).alias("key"), *vectors)
+    judged = _judged(keyed.join(found, "key", "left"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= chi2_quantile(1 - reject, _P), F.lit(False))
     return judged.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "distance2", "text_hash")
 
 
 def keep_sound(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text is kept, all columns."""
+    """The rows of ``docs`` whose text is kept, all columns, under any names.
+
+    Rows are found again by id (null or not) and the text's hash, so repeated rows stay as often as they were. Null and empty
+    texts are dropped. No rows give no rows.
+    """
     sound = quality(docs, **options).filter("kept").select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h")).distinct()
     rows = docs.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
     on = rows["k"].eqNullSafe(sound["k"]) & (rows["h"] == sound["h"])

@@ -28,8 +28,7 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations")
-    return preferences.preferences(turns, preferences.neighbour_pairs(turns))
+    return preferences.formatted(preferences.answer_pairs(_table(spark, sf_dir, "conversations")))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

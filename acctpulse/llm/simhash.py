@@ -57,16 +57,19 @@ def fingerprint(data: bytes | None, size: int = SHINGLE, block_bytes: int = BLOC
     return int.from_bytes(bits.tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` of whole texts; ``fp`` holds the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, *more: str) -> DataFrame:
+    """``(doc_id, fp)`` of whole texts, and further columns; ``fp`` holds the 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *more])
 
     text = F.col("text").cast("string").cast("binary").alias("data")
-    return docs.select(F.col("doc_id").cast("bigint"), text).mapInArrow(run, "doc_id bigint, fp bigint")
+    given = docs.select(F.col("doc_id").cast("bigint"), text, *more)
+    schema = ", ".join(["doc_id bigint", "fp bigint", *(f"{c} {given.schema[c].dataType.simpleString()}" for c in more)])
+    return given.mapInArrow(run, schema)
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,6 +156,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, cell_rows: int
     return work.select("fps").mapInArrow(run, "a bigint, b bigint")
 
 
+def _rooted(distinct: DataFrame, radius: int, cell_rows: int) -> DataFrame:
+    """Distinct fingerprints ``fp`` with the ``root`` fingerprint of their component; other columns stay."""
+    tree = components(fingerprint_links(distinct, radius, cell_rows))
+    joined = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left")
+    return joined.select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
@@ -165,22 +175,27 @@ def near_duplicates(
     """
     fps = staged(fingerprints(docs, size), "fingerprints")
     distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    tree = components(fingerprint_links(distinct, radius, cell_rows))
-    joined = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = staged(joined.select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = staged(_rooted(distinct, radius, cell_rows), "rooted")
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(named, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest id of each component, all columns; further rows under its id are dropped.
+def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """One row of each component, all columns: the one with the smallest id, a null id last.
 
-    Rows without an id take the hash of their text as one, so of equal ones a single row stays.
+    Rows are told apart by all their columns, not by their ids: rows of different components stay, whatever ids they
+    share. Among rows of one id the smallest row hash decides, so reruns and other partitionings agree; of rows that are equal
+    in every column one stays. Null and empty texts are copies of each other. No rows give no rows.
     """
-    key = F.coalesce("doc_id", F.xxhash64("text"))
-    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), size, radius)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    rows = docs.select(key.alias("key"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
-    return rows.join(keep, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    row_hash = [F.xxhash64(F.lit(k), *cells).alias(name) for k, name in enumerate(("hash_1", "hash_2"))]
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col("doc_id"), F.col("text"), *row_hash)
+    found = staged(fingerprints(rows, size, "hash_1", "hash_2"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash_1", "hash_2")).alias("first")
+    distinct = staged(found.groupBy("fp").agg(first), "distinct")
+    keep = _rooted(distinct, radius, cell_rows).groupBy("root").agg(F.min("first").alias("first"))
+    keep = keep.select("first.hash_1", "first.hash_2")
+    key = ["hash_1", "hash_2"]
+    return rows.join(keep, key, "left_semi").dropDuplicates(key).select("row.*")

@@ -62,3 +62,41 @@ def test_recall_on_the_table(spark):
     for r in ann.nearest(table).collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert recall(got, want) >= 0.95
+
+
+@pytest.mark.parametrize("dim", [2, 4])
+def test_every_node_is_reached(dim):
+    for seed in range(120):
+        rng = np.random.default_rng(seed)
+        points = rng.normal(size=(int(rng.integers(1, 120)), dim)).astype(np.float32)
+        points *= np.exp(2 * rng.normal(size=(len(points), 1))).astype(np.float32)
+        edges, entry = ann.build_graph(ann.augmented(points.astype(np.float64)), degree=4, beam=8)
+        assert ann.reached(edges, entry).all()
+        met, _ = ann.beam_search(ann.augmented(points.astype(np.float64)), edges, entry, np.zeros((1, dim + 1), np.float32), len(points))
+        assert set(met[0].tolist()) == set(range(len(points)))
+
+
+def test_lost_nodes_are_linked_beyond_the_degree():
+    points = np.arange(12, dtype=np.float32)[:, None]
+    edges = np.array([[1, 2], *([[0, 1]] * 11)])  # 3 to 11 are never pointed at
+    whole = ann.connect(points, edges, 0)
+    assert ann.reached(whole, 0).all() and (whole[:, :2] == edges).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 150])
+def test_all_candidates_if_there_are_few(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 3)).astype(np.float32))]
+    got, want = run(spark, rows, k=200, beam=200, shards=3), brute(rows, k=200)
+    assert {q: {j for j, _ in best} for q, best in got.items()} == {q: {j for j, _ in best} for q, best in want.items() if best}
+
+
+def test_batches_of_queries_and_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(20 * i, rng.normal(size=6 if i % 3 else 9).astype(np.float32).tolist()) for i in range(2500)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        got, want = run(spark, rows, shards=2), brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(want) and recall(got, want) >= 0.95

@@ -118,6 +118,18 @@ def test_one_of_each(spark):
     assert sorted((r.text or "") for r in rows if r.doc_id is None) == ["", "same text"]
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 7])
+def test_one_of_each_loses_no_text_under_shared_ids(spark, parts):
+    long_a, long_b, long_c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    docs = [(1, long_a), (5, long_a), (5, long_b), (5, long_b), (None, long_b), (None, long_c), (None, long_c), (9, None), (9, "")]
+    df = spark.createDataFrame([(*d, "x", k % 2) for k, d in enumerate(docs)], SCHEMA).repartition(parts)
+    kept = sorted(((r.doc_id, r.text or "") for r in simhash.one_of_each(df).collect()), key=repr)
+    assert kept == sorted([(1, long_a), (5, long_b), (None, long_c), (9, "")], key=repr)
+    again = df.repartition(parts + 2)
+    rows = [sorted(map(repr, simhash.one_of_each(x).collect())) for x in (df, again)]
+    assert rows[0] == rows[1]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).count() == 0 and simhash.one_of_each(df).count() == 0
