@@ -24,8 +24,9 @@ from acctpulse.registry.inputs import AS_OF, BATCH_CUTS, DENSE_SNAPSHOTS, MODEL,
 from acctpulse.session import staged, work_path
 from acctpulse.sources import adapters
 from acctpulse.sources import readers as R
-from acctpulse.sources.drift import schema_drift
+from acctpulse.sources.drift import file_columns, read_drifting, schema_drift
 from acctpulse.sources.store import Store
+from acctpulse.sources.tables import upsert_buckets, write_clustered
 from acctpulse.streaming import windows as W
 from acctpulse.streaming.alerts import stream_alerts
 from acctpulse.streaming.daily import stream_daily
@@ -102,6 +103,28 @@ def schema_drift_report(i):
 QUERIES["schema_drift"] = QUERIES.pop("schema_drift_report")
 
 
+def _drifted(i: Inputs) -> str:
+    """The events in files of three schemas: without metadata, as known, and with a narrower id and a surplus column."""
+    path = f"{work_path(i.spark, 'drift')}/events"
+    part = lambda k: i.events.filter(F.col("id") % 3 == k)
+    narrow = part(2).withColumns({"id": F.col("id").cast("int"), "channel": F.lit("web")})
+    for rows in (part(0).drop("metadata"), part(1), narrow):
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query
+def drifting_events(i):
+    """Known columns of a source whose files differ."""
+    return read_drifting(i.spark, _drifted(i), "events")
+
+
+@query
+def drift_by_file(i):
+    """Columns, their types and the number of files that have them."""
+    return file_columns(i.spark, _drifted(i)).drop("first_file")
+
+
 @query
 def constraint_report(i):
     # Several rules read each of these.
@@ -144,6 +167,30 @@ def upsert_accounts(i):
     return AC.upsert_replace(old, new, ["company_id"])
 
 
+@query
+def upsert_accounts_buckets(i):
+    """The same upsert into a dimension kept in hash buckets: only the buckets of its last new rows are rewritten."""
+    path = f"{work_path(i.spark, 'dimension')}/accounts"
+    few = F.col("company_id") % 50 == 7
+    old = i.companies.select(
+        (F.col("id") * 2).alias("company_id"), F.concat(F.lit("old "), F.col("name")).alias("company_name"), "plan",
+        F.lit(0).cast("bigint").alias("total_users"),
+    )
+    new = staged(i.accounts.select("company_id", "company_name", "plan", "total_users"), "new")
+    for rows in (old, new.filter(~few), new.filter(few)):
+        upsert_buckets(path, rows, ["company_id"], 16)
+    return i.spark.read.parquet(path).select(*new.columns)
+
+
+@query
+def events_after_mark(i):
+    """Events past a mark out of files clustered by id: the files before it are not opened."""
+    path = f"{work_path(i.spark, 'clustered')}/events"
+    write_clustered(i.events, path, 8)
+    last = i.events.agg(F.max("id")).first()[0] or 0
+    return R.incremental(i.spark.read.schema(i.events.schema).parquet(path), last - last // 10)
+
+
 @query
 def events_daily(i):
     return D.events_daily(i.events, i.users)
