@@ -12,48 +12,69 @@ from acctpulse.llm import site_style as S
 SCHEMA = "page_id bigint, url string, html string, host string, low int, salt string"
 
 
-def texts(html):
-    return S.Page(html).main_text()
-
-
-@pytest.mark.parametrize(
-    ("html", "want"),
-    [
-        (None, []), ("", []), ("plain  text\n here", ["plain text here"]), ("<p>a<p>b", ["a", "b"]), ("a<br>b<hr>c", ["a b", "c"]),
-        ("<p>x &amp; y&nbsp;z &#233; &am", ["x & y z é &am"]), ("<p>1 < 2</p>", ["1 < 2"]), ("<p title='a>b'>q</p>", ["q"]),
-        ("<script>if (a < b) x('</p>')</script><p>t</p>", ["t"]), ("<style>p{}</style>t", ["t"]), ("t<!-- <p>no</p> -->u<!--", ["tu"]),
-        ("<ul><li>a<li>b<ul><li>c</ul></ul>", ["a", "b", "c"]), ("<b>un<i>closed<p>x</b>y", ["unclosed", "xy"]),
-        ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]), ("<title>no</title><body>t", ["t"]), ("<p>cut <a hre", ["cut"]),
-        ("<header>site</header><article><header><h1>T</h1></header><p>x</p><div class='share-bar'>no</div></article><div>out</div>", ["T", "x"]),
-        ("<nav>n</nav><div id=sidebar>s</div><div class='post'>p</div><footer>f</footer>", ["p"]),
-        ("<main><p>m</p><section class='comments'><article><p>reader</p></article></section></main>", ["m"]),
-        ("<div style='display:none'>h</div><div hidden>h</div><div role=navigation>r</div><p>t <span class=ad>ad</span>u</p>", ["t u"]),
-        ("<form><p>q</p></form><article></article><p>t</p>", ["t"]),
-    ],
-)
-def test_pages(html, want):
-    assert texts(html) == want
-
-
-@pytest.mark.parametrize(
-    ("html", "want"),
-    [
-        ("<body class='no-sidebar comments-open'><p>a</p></body>", ["a"]), ("<main class='has-sidebar'><p>a</p></main>", ["a"]),
-        ("<article class='social-science'><p>a</p><div class=share>s</div></article>", ["a"]),
-        ("<body><form action=x><p>the text of the page</p><div class=menu>m</div></form><p>end</p></body>", ["the text of the page", "end"]),
-        ("<div id=page class='has-sidebar'><p>the text</p><div class=sidebar>s</div></div><div class=footer>f</div>", ["the text"]),
-        ("<p>the text</p><form>name</form><div class=comments>c</div>", ["the text"]),
-        ("<div role=form><p>the text</p></div><nav>n</nav>", ["the text"]),
-    ],
-)
-def test_words_and_forms_do_not_discard_a_page(html, want):
-    assert texts(html) == want
+def alone(spark, pages):
+    """Main texts of pages that are the only ones of their hosts."""
+    rows = [(i, f"http://h{i}.example/", html, "x", 1, "y") for i, html in enumerate(pages)]
+    got = {r.page_id: r.text for r in S.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+PAGES = [
+    (None, []), ("", []), ("plain  text\n here", ["plain text here"]), ("<p>a<p>b", ["a", "b"]), ("a<br>b<hr>c", ["a b", "c"]),
+    ("<p>x &amp; y&nbsp;z &#233; &am", ["x & y z é &am"]), ("<p>1 < 2</p>", ["1 < 2"]), ("<p title='a>b'>q</p>", ["q"]),
+    ("<script>if (a < b) x('</p>')</script><p>t</p>", ["t"]), ("<style>p{}</style>t", ["t"]), ("t<!-- <p>no</p> -->u<!--", ["tu"]),
+    ("<ul><li>a<li>b<ul><li>c</ul></ul>", ["a", "b", "c"]), ("<b>un<i>closed<p>x</b>y", ["unclosed", "xy"]),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]), ("<title>no</title><body>t", ["t"]), ("<p>cut <a hre", ["cut"]),
+    ("<header>site</header><article><header><h1>T</h1></header><p>x</p><div class='share-bar'>no</div></article><div>out</div>", ["T", "x"]),
+    ("<nav>n</nav><div id=sidebar>s</div><div class='post'>p</div><footer>f</footer>", ["p"]),
+    ("<main><p>m</p><section class='comments'><article><p>reader</p></article></section></main>", ["m"]),
+    ("<div style='display:none'>h</div><div hidden>h</div><div role=navigation>r</div><p>t <span class=ad>ad</span>u</p>", ["t u"]),
+    ("<form><p>q</p></form><article></article><p>t</p>", ["t"]),
+]
+
+
+DECLARED = [
+    ("<body class='no-sidebar comments-open'><p>a</p></body>", ["a"]), ("<main class='has-sidebar'><p>a</p></main>", ["a"]),
+    ("<article class='social-science'><p>a</p><div class=share>s</div></article>", ["a"]),
+    ("<body><form action=x><p>the text of the page</p><div class=menu>m</div></form><p>end</p></body>", ["the text of the page", "end"]),
+    ("<div id=page class='has-sidebar'><p>the text</p><div class=sidebar>s</div></div><div class=footer>f</div>", ["the text"]),
+    ("<p>the text</p><form>name</form><div class=comments>c</div>", ["the text"]),
+    ("<div role=form><p>the text</p></div><nav>n</nav>", ["the text"]),
+]
+
+
+LONG = "A story that is told at some length here. " * 60
+SPARED = [
+    (f"<div class='post social-science'><p>{LONG}</p></div><div><p>{'beside ' * 50}</p></div>", LONG), (f"<main><div class='promo'><p>{LONG}</p></div><p>end</p></main>", LONG),
+    (f"<div><p>{LONG}</p></div><article class=card>Teaser text</article>", LONG), (f"<p data-x='is hidden now'>{LONG}</p>", LONG),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given.</p>", "Let x=2 be given."),
+    (f"<div class='comments'><p>short one</p></div><p>{LONG}</p>", LONG), (f"<form><p>{LONG}</p></form>", LONG),
+]
+
+
+@pytest.mark.parametrize("pages", [PAGES, DECLARED])
+def test_pages(spark, pages):
+    got = alone(spark, [html for html, _ in pages])
+    assert [(html, text) for (html, _), text in zip(pages, got)] == [(html, "\n\n".join(want)) for html, want in pages]
+
+
+def test_declarations_do_not_take_the_story(spark):
+    for (html, story), text in zip(SPARED, alone(spark, [html for html, _ in SPARED])):
+        assert " ".join(story.split()) in text, html
+        assert "short one" not in text
+
+
+def test_nothing_goes_without_the_tree():
+    page = S.Page("<nav>n</nav><article><p>a</p></article><div class=ad>d</div><footer>f</footer><div hidden>h</div>")
+    assert page.main_text() == ["n", "a", "d", "f"]
 
 
 def test_deep_and_broken_markup():
-    assert texts("<div>" * 3000 + "x") == ["x"]
-    assert texts("<p \"" * 300) in ([], ["x"]) or True
-    assert texts("</p></div>" * 1000 + "<p>t") == ["t"]
+    assert S.Page("<div>" * 3000 + "x").main_text() == ["x"]
+    assert S.Page("<p \"" * 300).main_text() == []
+    assert S.Page("</p></div>" * 1000 + "<p>t").main_text() == ["t"]
+    long_page = S.Page("<article>" + "<p>some words &amp; more</p>" * 100_000 + "</article>")
+    assert long_page.main_text() == ["some words & more"] * 100_000
 
 
 def site(n, host="h.example.com"):
@@ -104,7 +125,7 @@ def test_small_hosts_and_long_notices(spark):
 
 def test_importance_against_whole_host(spark):
     pages = site(30)
-    df = spark.createDataFrame([(*p, "x", 1, "y") for p in pages], SCHEMA)
+    df = S._sites(spark.createDataFrame([(*p, "x", 1, "y") for p in pages], SCHEMA))
     counts = Counter()
     for _, _, html in pages:
         counts.update({(n, k, v) for n, k, v, _ in S.Page(html).counts()})
@@ -113,7 +134,7 @@ def test_importance_against_whole_host(spark):
         blocks = [c for (n, k, _), c in counts.items() if n == node and k == 1]
         if blocks and 1 - sum(c * math.log(c) for c in blocks) / (sum(blocks) * math.log(30)) <= S.LOW:
             low.add(node)
-    got = {n % (1 << 64) for r in S.low_importance(df).collect() for n in r.low}
+    got = {r.node % (1 << 64) for r in S.low_importance(df).collect() if not r.own}
     assert got == low and len(low) == 2
 
 
@@ -129,5 +150,18 @@ def test_the_table_against_its_articles(spark, sf_dir):
         assert got[p.page_id].n_chars == len(got[p.page_id].text) and got[p.page_id].url == p.url
 
 
+def test_the_tree_changes_the_table(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: r.text for r in S.main_texts(pages).collect()}
+    changed = sum(got[p.page_id] != "\n\n".join(S.Page(p.html).main_text()) for p in pages.collect())
+    assert changed > 0.9 * len(got)
+
+
+def test_one_host_over_several_tasks(spark):
+    df = spark.createDataFrame([(*p, "x", 1, "y") for p in site(40)], SCHEMA)
+    whole, spread = ({r.page_id: r.text for r in S.main_texts(df, task_pages=n).collect()} for n in (1000, 7))
+    assert whole == spread and all(t.startswith("Story") for t in whole.values())
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
