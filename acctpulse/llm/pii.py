@@ -11,6 +11,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from acctpulse.llm import spans as S
@@ -82,7 +83,7 @@ DIGIT_WORDS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "null": 0, "eins": 1,
     "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9, "zéro": 0, "un": 1, "deux": 2, "trois": 3,
     "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9, "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6,
-    "siete": 7, "ocho": 8, "nueve": 9,
+    "siete": 7, "ocho": 8, "nueve": 9, "oh": 0,
 }
 AT_WORDS, DOT_WORDS = ["at", "arroba", "chez"], ["dot", "punkt", "point", "punto"]
 TOP_LEVEL = set(
@@ -134,32 +135,47 @@ _SPELLED_DOT = re.compile(rf"(?<=[0-9])\s+(?:{_dot})\s+(?=[0-9])", re.I)
 
 
 class Tape:
-    """A text being rewritten: for every character its source span, and whether it was rewritten."""
+    """A text being rewritten, and the changes of each step, from which spans are mapped back to the source.
+
+    A step keeps where its changes begin and end before and after it, so memory follows the changes and not the text.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.starts: list[int] | range = range(len(text))
-        self.ends: list[int] | range = range(1, len(text) + 1)
-        self.new: list[bool] | None = None
+        self.steps: list[np.ndarray] = []  # rows: start and end before, start and end after
 
     def rewrite(self, changes: list[tuple[int, int, str]]) -> None:
         """Replace ``[start, end)`` by a string, for changes in order that do not overlap."""
         if not changes:
             return
-        old_new = self.new or [False] * len(self.text)
-        text, starts, ends, new, at = [], [], [], [], 0
-        for a, b, put in [*changes, (len(self.text), len(self.text), "")]:
-            text += [self.text[at:a], put]
-            starts += [*self.starts[at:a], *[self.starts[a]] * len(put)] if put else self.starts[at:a]
-            ends += [*self.ends[at:a], *[self.ends[b - 1]] * len(put)] if put else self.ends[at:a]
-            new += [*old_new[at:a], *[True] * len(put)]
-            if not put and b > a and new:
-                new[-1] = True  # something was taken out here
+        parts, at = [], 0
+        for a, b, put in changes:
+            parts += [self.text[at:a], put]
             at = b
-        self.text, self.starts, self.ends, self.new = "".join(text), starts, ends, new
-
-    def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.starts[start], self.ends[end - 1]
+        self.text = "".join([*parts, self.text[at:]])
+        before = np.array([c[:2] for c in changes], np.int64).T
+        sizes = np.array([len(put) for _, _, put in changes], np.int64)
+        grown = np.cumsum(sizes - (before[1] - before[0]))
+        after = before[1] + grown
+        self.steps.append(np.stack([*before, after - sizes, after]))
+
+    def source(self, start: int, end: int) -> tuple[int, int, bool]:
+        """The source span of a span of the text, and whether it rests on a change. What was taken out belongs to the
+        character before it."""
+        changed, last = False, end - 1
+        for a, b, out_a, out_b in reversed(self.steps):
+            # Changes that write into the span, or take something out behind one of its characters.
+            first = np.searchsorted(out_b, start, side="right")
+            reach = np.searchsorted(out_a, last, side="right")
+            touched = bool(np.any(out_b[first:reach] > out_a[first:reach]))
+            taken = (out_b == out_a) & (out_a - 1 >= start) & (out_a - 1 <= last) if not touched else ()
+            changed = changed or touched or bool(np.any(taken))
+            k = np.searchsorted(out_a, start, side="right") - 1
+            start = int(a[k]) if k >= 0 and out_a[k] <= start < out_b[k] else int(start - out_b[k] + b[k]) if k >= 0 else start
+            k = np.searchsorted(out_a, last, side="right") - 1
+            inside = k >= 0 and out_a[k] <= last < out_b[k]
+            last = int(b[k]) - 1 if inside else int(last - out_b[k] + b[k]) if k >= 0 else last
+        return int(start), int(last) + 1, changed
 
 
 def _letters(text: str) -> list[tuple[int, int, str]]:
@@ -237,9 +253,23 @@ _ANNOUNCED = re.compile(
 _BARE_AT = re.compile(rf"\b(?:{_at})\s+[A-Za-z0-9-]+\.[A-Za-z]", re.I)
 _BRACKETED = re.compile(rf"[\[({{<]\s*(?:{_at}|{_dot}|@|\.)\s*[\])}}>]", re.I)
 _SPACED_AT = re.compile(r"@\s|(?<=\s)@")
+#: Characters set apart by single spaces, and numbers of single digits between spelled dots.
+_SET_APART = re.compile(r"(?<!\S)(?:[A-Za-z0-9._%+-] ){2,}@(?: [A-Za-z0-9.-]){4,}(?!\S)")
+_DIGITS_APART = re.compile(rf"(?<!\w)[0-9](?: [0-9]){{0,2}}(?:\s+(?:{_dot})\s+[0-9](?: [0-9]){{0,2}}){{3}}(?!\w)", re.I)
+_BETWEEN = re.compile(r"(?<=[0-9]) (?=[0-9])")
 _SEPARATORS = str.maketrans(",-", "  ")
 
 
+def _set_apart(text: str) -> list[tuple[int, int, str]]:
+    """``j a n e @ x . c o m``: the spaces are taken out."""
+    return [(k, k + 1, "") for m in _SET_APART.finditer(text) for k in range(m.start() + 1, m.end(), 2)]
+
+
+def _digits_apart(text: str) -> list[tuple[int, int, str]]:
+    """``1 9 2 dot 1 6 8 dot 1 dot 1``: the spaces inside the numbers are taken out."""
+    return [(*space.span(), "") for m in _DIGITS_APART.finditer(text) for space in _BETWEEN.finditer(text, *m.span())]
+
+
 def normalised(text: str) -> Tape:
     """All steps in turn; those are left out whose words or marks the text does not hold."""
     tape = Tape(text)
@@ -249,6 +279,10 @@ def normalised(text: str) -> Tape:
     dots = not words.isdisjoint(DOT_WORDS)
     if not words.isdisjoint(DIGIT_WORDS):
         tape.rewrite(_spelled(tape.text))
+    if " @ " in tape.text:
+        tape.rewrite(_set_apart(tape.text))
+    if dots:
+        tape.rewrite(_digits_apart(tape.text))
     if _BRACKETED.search(tape.text):
         tape.rewrite(_brackets(tape.text))
     bare = not words.isdisjoint(AT_WORDS) and _BARE_AT.search(tape.text)
@@ -262,14 +296,14 @@ def normalised(text: str) -> Tape:
 def personal_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and spans found only after normalising, which lie in no base span of their kind."""
     base, tape, added = base_spans(text), normalised(text), []
-    if tape.new is not None:
+    if tape.steps:
         # Base spans of a kind do not overlap, so only the last that starts no later can hold another.
         starts = {kind: [s for k, s, _ in base if k == kind] for kind in KINDS}
         ends = {kind: [e for k, _, e in base if k == kind] for kind in KINDS}
         for kind, a, b in base_spans(tape.text):
-            start, end = tape.source(a, b)
+            start, end, changed = tape.source(a, b)
             last = bisect_right(starts[kind], start) - 1
-            if any(tape.new[a:b]) and not (last >= 0 and end <= ends[kind][last]):
+            if changed and not (last >= 0 and end <= ends[kind][last]):
                 added.append((kind, start, end))
     return base, added
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from acctpulse.llm import spans as S
 from acctpulse.llm.spans import Span
@@ -31,7 +32,8 @@ _LETTER_AND_DIGIT = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
 # What it also learns from, as examples of no secrets.
 _LONG = re.compile(r"(?<![^\s\"'(<>)])[^\s\"'(<>)]{10,}")
 
-MOST_FINDINGS, LEAST_FINDINGS = 1500, 30
+# Invented findings count as so many rows of either kind in all, beside the real ones.
+MOST_FINDINGS, PRIOR_FINDINGS = 1500, 30
 RECALL, CONTEXT, BODY, STRIDE = 0.98, 16, 48, 16
 WIDTH, FILTERS, EPOCHS, BATCH = 5, 16, 12, 64
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\"'=:+/_.-"
@@ -134,8 +136,12 @@ class Network:
         return {"conv": conv, "bias": back.sum(axis=(0, 1)), "out": pooled.T @ error, "shift": error.sum()}
 
 
-def train(rows: np.ndarray, labels: np.ndarray, seed: int = 0, epochs: int = EPOCHS, recall: float = RECALL, lots: np.ndarray | None = None) -> Network:
-    """Fit by Adam on three quarters of the rows; calibrate and choose the threshold on the rest. Rows of a lot stay together."""
+def train(rows: np.ndarray, labels: np.ndarray, seed: int = 0, epochs: int = EPOCHS, recall: float = RECALL, lots: np.ndarray | None = None, worth: np.ndarray | None = None) -> Network:
+    """Fit by Adam on three quarters of the rows; calibrate and choose the threshold on the rest. Rows of a lot stay together.
+
+    ``worth`` weighs the rows, in the fit, the calibration and the recall.
+    """
+    worth = np.ones(len(rows)) if worth is None else worth
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     held = np.zeros(len(rows), bool)
@@ -149,8 +155,9 @@ def train(rows: np.ndarray, labels: np.ndarray, seed: int = 0, epochs: int = EPO
             held |= (labels == label) & np.isin(lots, drawn[: max(1, len(drawn) // 4)])
     learn = order[~held[order]]
     net = Network.fresh(seed)
-    share = labels[learn].mean()
-    weight = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)).astype(np.float32)
+    share = np.average(labels[learn], weights=worth[learn])
+    weight = worth / np.average(worth[learn]) * np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
+    weight = weight.astype(np.float32)
     state = {k: [np.zeros_like(getattr(net, k), dtype=np.float64), np.zeros_like(getattr(net, k), dtype=np.float64)] for k in ("conv", "bias", "out", "shift")}
     turn = 0
     for _ in range(epochs):
@@ -165,23 +172,26 @@ def train(rows: np.ndarray, labels: np.ndarray, seed: int = 0, epochs: int = EPO
                 move = 0.01 * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.999**turn)) + 1e-8)
                 setattr(net, k, getattr(net, k) - (move.astype(np.float32) if k != "shift" else float(move)))
     raw = np.concatenate([net.forward(rows[held][i : i + 256])[0] for i in range(0, held.sum(), 256)])
-    net.scale, net.offset = _platt(raw, labels[held])
-    secrets = np.sort(net.scores(rows[held & (labels == 1)]))
+    net.scale, net.offset = _platt(raw, labels[held], worth[held])
+    known = held & (labels == 1)
+    secrets, share = net.scores(rows[known]), worth[known] / worth[known].sum()
+    order = np.argsort(secrets, kind="stable")
     # The highest threshold that keeps the wanted recall.
-    net.threshold = float(secrets[int((1 - recall) * len(secrets))])
+    lost = np.cumsum(share[order])
+    net.threshold = float(secrets[order][min(np.searchsorted(lost, 1 - recall + 1e-12, side="right"), len(order) - 1)])
     return net
 
 
-def _platt(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+def _platt(raw: np.ndarray, labels: np.ndarray, worth: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve through the raw scores, by Newton's method with smoothed labels."""
-    yes, no = labels.sum(), (1 - labels).sum()
+    yes, no = (labels * worth).sum(), ((1 - labels) * worth).sum()
     wanted = np.where(labels == 1, (yes + 1) / (yes + 2), 1 / (no + 2))
     x = np.stack([raw, np.ones_like(raw)], 1).astype(np.float64)
     w = np.array([1.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - wanted) + 1e-3 * (w - [1.0, 0.0])
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), grad)
+        grad = x.T @ (worth * (p - wanted)) + 1e-3 * (w - [1.0, 0.0])
+        w = w - np.linalg.solve((x * (worth * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), grad)
     return max(float(w[0]), 1e-3), float(w[1])
 
 
@@ -210,6 +220,7 @@ def variant(text: str, start: int, end: int, label: int, draw: int) -> tuple[str
     return left + value + text[end : end + CONTEXT], at, min(at + BODY, len(left) + len(value)) if inner else len(left) + len(value)
 
 
+LOT_GROUPS = 64
 _FINDINGS = "codes array<smallint>, label int, lot bigint"
 
 
@@ -225,7 +236,8 @@ def _forms(text: str, start: int, end: int, label: int, draw: int) -> list[list[
 def labelled_findings(docs: DataFrame, most: int = MOST_FINDINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, labels and lots of at most ``most`` rows of either label, the smallest by hash of all documents.
 
-    A task keeps the smallest of its own, so what is collected is bounded and nothing is sampled before it is labelled.
+    A task keeps the smallest of its own and a group of lots those of all tasks, so what the driver is sent is bounded whatever
+    the number of tasks, and nothing is sampled before it is labelled.
     """
     import heapq
 
@@ -252,15 +264,33 @@ def labelled_findings(docs: DataFrame, most: int = MOST_FINDINGS) -> tuple[np.nd
         yield pa.RecordBatch.from_arrays(columns, names=["codes", "label", "lot"])
 
     found = staged(docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, _FINDINGS), "findings")
-    got = [r for label in (1, 0) for r in found.filter(F.col("label") == label).orderBy("lot", "codes").limit(most).collect()]
+    group = Window.partitionBy("label", F.pmod("lot", F.lit(LOT_GROUPS))).orderBy("lot", "codes")
+    few = staged(found.withColumn("rank", F.row_number().over(group)).filter(F.col("rank") <= most).drop("rank"), "few_findings")
+    got = [r for label in (1, 0) for r in few.filter(F.col("label") == label).orderBy("lot", "codes").limit(most).collect()]
     codes = np.array([r.codes for r in got], np.int16).reshape(len(got), 2 * CONTEXT + BODY)
     return codes, np.array([r.label for r in got], np.int64), np.array([r.lot for r in got], np.int64)
 
 
+# Plain words that invented findings are made of.
+WORDS = """the of and to in that is was for on are with as his they at be this from have or by one had not but what all were when we
+there can an your which their said if do will each about how up out them then she many some so these would other into has more her two
+like him see time could no make than first been its who now people my made over did down only way find use may water long little very
+after words called just where most know get through back much before go good new write our used me man too any day same right look
+think also around another came come work three word must because does part even place well such here take why things help put years
+different away again off went old number great tell men say small every found still between name should home big give air line set own
+under read last never us left end along while might next sound below saw something thought both few those always looked show large
+often together asked house world going want school important until form food keep children feet land side without boy once animals
+life enough took sometimes four head above kind began almost live page got earth need far hand high year mother light parts country
+father let night following picture being study second eyes soon times story boys since white days ever paper hard near sentence better
+best across during today others however sure means knew its try told young miles sun ways thing whole hear example heard several
+change answer room sea against top turned learn point city play toward five using himself usually configuration administrator
+documentation environment repository extraordinary understanding temperature responsibility"""
+
+
 def made_findings(n: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fixed invented findings, for a corpus with too few of its own: keys in plain words, and words, names, paths, dates."""
+    """Fixed invented findings: keys among plain words, and words, names, paths, dates."""
     rng = random.Random(0)
-    words = [w for w in re.findall("[A-Za-z]{2,}", " ".join((__doc__, *(f.__doc__ or "" for f in (variant, findings, train, find_secrets)))))]
+    words = WORDS.split()
     rows, labels, lots = [], [], []
     for i in range(n):
         label = i % 2
@@ -278,17 +308,18 @@ def made_findings(n: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fitted(docs: DataFrame, **options) -> Network:
-    """The network for a corpus. Where it has too few labelled findings of a kind, invented ones are learned from as well.
+    """The network for a corpus, learned from its own labelled findings and from invented ones.
 
-    With few labelled secrets, keys that no pattern knows would weigh among the other strings, so those are all invented.
+    Invented rows of a kind count for ``PRIOR_FINDINGS`` rows in all, shrinking as the corpus has more of its own, without a
+    step. Among the other strings of a corpus are the keys that no pattern knows, which matters where it has few labelled
+    secrets, so those strings count less there, by the same rule.
     """
-    found = labelled_findings(docs, **options)
-    secret = found[1] == 1
-    if min(secret.sum(), (~secret).sum()) < LEAST_FINDINGS:
-        taken = secret if secret.sum() < LEAST_FINDINGS else slice(None)
-        found = tuple(np.concatenate([own[taken], made]) for own, made in zip(found, made_findings()))
-    rows, labels, lots = found
-    return train(rows, labels, lots=lots)
+    (codes, labels, lots), made = labelled_findings(docs, **options), made_findings()
+    secrets, others = (labels == 1).sum(), (labels == 0).sum()
+    prior = {1: PRIOR_FINDINGS / (secrets + PRIOR_FINDINGS), 0: PRIOR_FINDINGS / (min(secrets, others) + PRIOR_FINDINGS)}
+    worth = np.concatenate([np.where(labels == 1, 1.0, 1 - prior[0]), np.where(made[1] == 1, prior[1], prior[0])])
+    rows = np.concatenate([codes, made[0]])
+    return train(rows, np.concatenate([labels, made[1]]), lots=np.concatenate([lots, made[2]]), worth=worth)
 
 
 def finder(net: Network | None) -> Callable[[str], tuple[list[Span], list[Span]]]:
@@ -318,7 +349,11 @@ def find_secrets(docs: DataFrame, net: Network | None = None, **options) -> Data
 
 
 def redact(docs: DataFrame, net: Network | None = None, **options) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by its kind in brackets, and ``n_chars`` brought up to date."""
+    """``docs`` with every secret in ``text`` replaced by its kind in brackets, and ``n_chars`` brought up to date.
+
+    A null text stays null, with a null ``n_chars``; an empty one stays as it is. Rows, repeated or with null ids, and their other
+    columns, whatever their names, stay as they are. No rows give no rows.
+    """
     net = net or fitted(docs, **options)
 
     @F.pandas_udf("string")

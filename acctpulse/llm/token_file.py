@@ -18,7 +18,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +34,12 @@ from acctpulse.llm.tokens import END, encoder
 from acctpulse.session import staged, work_path
 
 TOKENIZER = "word_bpe_49k.json"
+READ_BYTES = 1 << 23
 # Fixed values of the public seekable format.
 IDS_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, HAS_CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 ENTRY, FOOTER = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")]), struct.Struct("<IBI")
 FILES = "file_no bigint, path string, first_doc bigint, last_doc bigint, n_docs bigint, n_tokens bigint, bytes bigint"
-FRAMES = "path string, frame bigint, doc_id bigint, position bigint, packed bigint, check bigint"
+FRAMES = "path string, frame bigint, doc_id bigint"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -95,8 +96,27 @@ class Reader:
         return self.source.read(n)
 
     def read(self, frame: int) -> bytes:
-        entry = self.entries[frame]
-        return unpack(self._at(int(self.positions[frame]), int(entry["packed"])), int(entry["check"]))
+        return next(self.read_many([frame]))
+
+    def read_many(self, frames: Iterable[int], most: int = READ_BYTES) -> Iterator[bytes]:
+        """The ids of some frames in order; neighbours are read together, up to ``most`` bytes at a time."""
+        run: list[int] = []
+
+        def unpacked() -> Iterator[bytes]:
+            start = int(self.positions[run[0]])
+            end = int(self.positions[run[-1]]) + int(self.entries[run[-1]]["packed"])
+            data = self._at(start, end - start)
+            for frame in run:
+                at, entry = int(self.positions[frame]) - start, self.entries[frame]
+                yield unpack(data[at : at + int(entry["packed"])], int(entry["check"]))
+
+        for frame in frames:
+            if run and (frame != run[-1] + 1 or int(self.positions[frame]) + int(self.entries[frame]["packed"]) - int(self.positions[run[0]]) > most):
+                yield from unpacked()
+                run = []
+            run.append(frame)
+        if run:
+            yield from unpacked()
 
 
 def unpack(packed: bytes, check: int) -> bytes:
@@ -158,8 +178,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, start, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 reader, out = open_reader(path), []
-                for frame, doc_id in enumerate(reader.doc_ids):
-                    ids = reader.read(frame)
+                for doc_id, ids in zip(reader.doc_ids, reader.read_many(range(len(reader.doc_ids)))):
                     out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids)))
                     start += len(ids) // 4
                 columns = [pa.array(c, pa.int64()) for c in zip(*out)]
@@ -170,31 +189,38 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 
 def read_documents(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(doc_id, ids)`` of the wanted ``doc_id`` rows. Reads seek tables, then decompresses only their frames."""
+    """``(doc_id, ids)`` of the wanted ``doc_id`` rows. Reads seek tables, then decompresses only their frames.
+
+    The wanted frames of a file are read by one task in the order of the file, which it opens once.
+    """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 reader = open_reader(path)
-                n, entries = len(reader.doc_ids), reader.entries
-                columns = [[path] * n, range(n), reader.doc_ids, reader.positions[:n], entries["packed"][:n].astype("i8"), entries["check"][:n].astype("i8")]
-                names = ["path", "frame", "doc_id", "position", "packed", "check"]
-                yield pa.RecordBatch.from_arrays([pa.array(c) if k == "path" else pa.array(c, pa.int64()) for k, c in zip(names, columns)], names=names)
+                n = len(reader.doc_ids)
+                columns = [pa.array([path] * n), pa.array(range(n), pa.int64()), pa.array(reader.doc_ids, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "frame", "doc_id"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, now = None, None
         for batch in batches:
-            docs, out = [], []
-            for row in batch.to_pylist():
-                place, name = pafs.FileSystem.from_uri(row["path"])
-                with place.open_input_file(name) as source:
-                    source.seek(row["position"])
-                    ids = unpack(source.read(row["packed"]), row["check"])
-                docs.append(row["doc_id"])
-                out.append(np.frombuffer(ids, "<u4").astype("i8"))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+            paths, frames = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at = 0
+            while at < len(paths):
+                end = at
+                while end < len(paths) and paths[end] == paths[at]:
+                    end += 1
+                if paths[at] != now:
+                    reader, now = open_reader(paths[at]), paths[at]
+                ids = [np.frombuffer(x, "<u4").astype("i8") for x in reader.read_many(frames[at:end])]
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, end - at), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+                at = end
 
     frames = files.select("path").mapInArrow(index, FRAMES)
-    return frames.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(fetch, "doc_id bigint, ids array<bigint>")
+    found = frames.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("path", "frame", "doc_id")
+    ordered = found.repartition("path").sortWithinPartitions("path", "frame")
+    return ordered.mapInArrow(fetch, "doc_id bigint, ids array<bigint>")
 
 
 def token_round_trip(docs: DataFrame, root: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -153,7 +153,7 @@ def test_few_labelled_secrets_still_give_a_network(spark):
     docs += [(1000 + i, f"some words before {key()} and after them") for i in range(10)] + [(2000, f"token = {key()}")]
     df = spark.createDataFrame([(*d, "x", 1, 5) for d in docs], SCHEMA).repartition(5)
     rows, labels, _ = X.labelled_findings(df)
-    assert 0 < labels.sum() < X.LEAST_FINDINGS
+    assert 0 < labels.sum() < X.PRIOR_FINDINGS
     learned = {r.doc_id for r in X.find_secrets(df).collect() if r.added}
     assert len(learned & set(range(1000, 1010))) >= 8 and len(learned) <= 13
 
