@@ -1,5 +1,6 @@
 """Each stage of the pipeline against plain Python over its own input."""
 
+import random
 import re
 from collections import Counter
 
@@ -101,3 +102,40 @@ def test_packed_sequences_hold_every_token(stages):
 def test_run_gives_the_last_stage(spark, stages):
     columns = stages["packing"][1].columns
     assert P.run(spark, "/root/testdata/sf0.001").columns == columns and callable(check_sequences)
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and repeated rows, shared ids, clashing extra columns, and enough sound texts."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprst") for _ in range(rng.randrange(3, 9)))
+    text = lambda n: "\n".join(" ".join(word() for _ in range(10)).capitalize() + "." for _ in range(n))
+    rows = [(i, text(8 + i % 5), "en", f"s{i % 3}", 1) for i in range(60)]
+    rows += [rows[5], rows[5], (5, text(9), "en", "s1", 1), (None, text(9), None, None, None), (None, None, None, None, None), (70, "", "en", "s0", 0), (71, None, "en", "s0", None)]
+    rows += [(80, text(9) + f"\npassword = {'x1' * 10}", "en", "s2", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, key int, h long, taken long, size long"
+    return spark.createDataFrame([(*r, "r", 1, 2, 3, 4) for r in rows], schema), rows
+
+
+def test_stages_take_odd_rows_and_keep_extra_columns(spark, tmp_path):
+    docs, rows = odd_documents(spark)
+    columns = docs.columns
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "packing":
+            assert out.columns == columns
+        out.write.parquet(str(tmp_path / name))
+        given, docs = docs, spark.read.parquet(str(tmp_path / name))
+        if name == "SimHash near-dedup":
+            kept = [r.text for r in docs.collect()]
+            assert len(set(kept)) == len(kept) and set(kept) == {r.text for r in given.collect()}
+        if name == "secret scans":
+            assert docs.count() == given.count() and not any("x1x1" in r.text for r in docs.collect())
+    assert {r.doc_id for r in docs.collect()} <= {r[0] for r in rows} and docs.count() > 0
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = odd_documents(spark)[0].limit(0)
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0
+        docs = docs if name == "packing" else out.limit(0)
