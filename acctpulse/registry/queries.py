@@ -20,7 +20,7 @@ from acctpulse.operators import scoring as S
 from acctpulse.operators import trend as T
 from acctpulse.plans.counters import run_counters
 from acctpulse.plans.ingest import compact_daily, fold_activity, ingest_log, ingest_run_batch, ingest_stream_batch
-from acctpulse.registry.inputs import AS_OF, BATCH_CUTS, DENSE_SNAPSHOTS, MODEL, SCAN_AT, Inputs
+from acctpulse.registry.inputs import AS_OF, BATCH_CUTS, DENSE_SNAPSHOTS, MODEL, SCAN_AT, SNAPSHOTS, Inputs
 from acctpulse.session import staged, work_path
 from acctpulse.sources import adapters
 from acctpulse.sources import readers as R
@@ -233,6 +233,19 @@ def ingest_mixed(i):
     return D.facts_of(D.fold_user_days(_mixed_store(i).read("user_days")), i.users)
 
 
+@query
+def ingest_replayed(i):
+    """Two runs, each done twice, with rows of an attempt that died in between: as if every step had run once."""
+    store = Store(i.spark, f"{work_path(i.spark, 'replayed')}/store")
+    last = i.events.agg(F.max("id")).first()[0] or 0
+    half = {**i.sources, "events": i.events.filter(F.col("id") <= last // 2)}
+    for sources, sequence, at in ((half, 1, BATCH_CUTS[0]), (i.sources, 2, BATCH_CUTS[1])):
+        store.stage("user_days", D.user_days(half["events"]), sequence)  # never committed: the run takes its place
+        for _ in range(2):
+            ingest_run_batch(store, sources, sequence, at)
+    return D.facts_of(D.fold_user_days(store.read("user_days")), i.users)
+
+
 @query
 def account_rollup_incremental(i):
     """Accounts rolled up from the user days of such a store instead of all events."""
@@ -351,6 +364,17 @@ def score_accounts(i):
     return _flat_components(i.scored())
 
 
+@query
+def stored_scores(i):
+    """Score history appended run by run, the last run twice, read from a day on: earlier partitions are not opened."""
+    store = Store(i.spark, f"{work_path(i.spark, 'scores')}/store")
+    history = staged(i.scores, "history")
+    for sequence, at in enumerate([*SNAPSHOTS, SNAPSHOTS[-1]]):
+        run = history.filter(F.col("scored_at") == F.lit(at).cast("timestamp_ntz"))
+        store.append("fact_health_score", run, min(sequence, len(SNAPSHOTS) - 1))
+    return _flat_components(store.read("fact_health_score", SNAPSHOTS[1][:10]))
+
+
 @query
 def score_snapshots(i):
     return _flat_components(i.snapshots())
@@ -424,6 +448,17 @@ def new_alerts(i):
     return AL.new_alerts(i.at_risk, i.alerts, SCAN_AT)
 
 
+@query
+def stored_alerts(i):
+    """Alerts of the scan's day in a store, after two scans of that day: the second finds every account logged."""
+    store = Store(i.spark, f"{work_path(i.spark, 'alerts')}/store")
+    store.append("alert_log", i.alerts, 0)
+    day = SCAN_AT[:10]
+    for sequence, at in ((1, SCAN_AT), (2, f"{day} 09:00:00")):
+        store.append("alert_log", AL.new_alerts(i.staged_at_risk, store.read("alert_log", day), at), sequence)
+    return store.read("alert_log", day)
+
+
 @query
 def chat_alerts(i):
     fresh = i.at_risk.join(AL.alerted_today(i.alerts, SCAN_AT), "company_id", "left_anti")

@@ -75,17 +75,23 @@ STORE_SCHEMAS: dict[str, T.StructType] = {
 
 
 class Day(NamedTuple):
-    """The day by which a table is partitioned below its batches."""
+    """The day of a row, and the column that a table is partitioned by below its batches: the day, or the first of its month."""
 
     column: str
-    expression: str
+    day: str
+    monthly: bool = False
+
+    @property
+    def partition(self) -> str:
+        return f"cast(trunc({self.day}, 'MM') as date)" if self.monthly else self.day
 
 
 STORE_DAYS = {
     "daily_log": Day("event_date", "event_date"),
     "user_days": Day("event_date", "event_date"),
     "fact_health_score": Day("scored_date", "to_date(scored_at)"),
-    "alert_log": Day("created_date", "to_date(created_at)"),
+    # Few rows a day.
+    "alert_log": Day("created_month", "to_date(created_at)", monthly=True),
 }
 # Tables of which the newest batch alone counts.
 STATE_TABLES = ("dim_accounts", "score_state", "user_activity")

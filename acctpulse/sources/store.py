@@ -5,7 +5,8 @@ all of them. A reader semi-joins a table with its committed batches on the parti
 or none, and opens the files of those batches only. Writing a batch replaces its own partition as a whole: a step that died
 before its commit simply runs again.
 
-Tables that are read by day are partitioned by it below the batch, so a filter on the day opens only those partitions. State
+Tables that are read by day are partitioned by it (alerts by month) below the batch, so a filter on the day opens only those
+partitions. State
 tables show their newest batch alone. A later batch may take the place of earlier ones (a compaction); its commit says so in
 the same file. A sequence below a writer's newest is an error: it is never skipped.
 """
@@ -111,7 +112,7 @@ class Store:
         """Write the rows of a batch (invisible until committed) and return them read back from the files."""
         rows, day = df.select(*self.schema(table).names), STORE_DAYS.get(table)
         if day and day.column not in rows.columns:
-            rows = rows.withColumn(day.column, F.expr(day.expression))
+            rows = rows.withColumn(day.column, F.expr(day.partition))
         return self._write(table, rows, sequence, writer)
 
     def _write(self, table: str, rows: DataFrame, sequence: int, writer: str) -> DataFrame:
@@ -125,7 +126,10 @@ class Store:
         schema = T.StructType([*self._stored_schema(table), T.StructField("batch", T.StringType())])
         rows = self._table(table, schema)
         if since is not None:
-            rows = rows.filter(F.col(STORE_DAYS[table].column) >= F.lit(since).cast("date"))
+            day, first = STORE_DAYS[table], date.fromisoformat(str(since))
+            # The first condition names a partition column, so files of earlier ones are not even listed.
+            rows = rows.filter(F.col(day.column) >= F.lit(first.replace(day=1) if day.monthly else first))
+            rows = rows.filter(F.expr(day.day) >= F.lit(first))
         shown = self.visible(table) if batches is None else batches.select("batch")
         return rows.join(shown, "batch", "left_semi").select(*self.schema(table).names)
 
