@@ -52,6 +52,8 @@ SAMPLING = {"word_length": "1 / (4 * greatest(n_words, 1))"} | {
 PART, REWEIGHT, REJECT = 0.75, 0.975, 1e-4
 # Rows that the language's estimate counts for beside a group's own; steps end when the log determinant falls by less.
 PRIOR_ROWS, SETTLED, MOST_STEPS = 50, 1e-3, 100
+# Groups with a thousandth of all rows or more are spread over so many tasks each.
+LARGE_GROUPS, SALTS = 1000, 64
 _P = len(STATISTICS)
 _BINS = 4
 
@@ -212,7 +214,7 @@ def _shrink(prior_rows: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
     return run
 
 
-_STATE = "key string, start int, error array<double>, centre array<double>, whiten array<double>, logdet double, settled boolean"
+_STATE = "key string, n bigint, start int, error array<double>, centre array<double>, whiten array<double>, logdet double, settled boolean"
 _ESTIMATE = "key string, n bigint, centre array<double>, cov array<double>"
 
 
@@ -232,9 +234,23 @@ def _level(lang, source, level: int) -> F.Column:
     return F.to_json(F.struct(F.lit(level).alias("level"), *kept))
 
 
-def _bins(keyed: DataFrame, now: DataFrame, *by: str) -> DataFrame:
+def _salted(keyed: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``keyed`` with a salt that spreads the rows of large groups, and ``(key, salts)`` of those groups.
+
+    A group is large from a thousandth of all rows on. A row is in three groups, so there are at most 3,000 of them, which
+    bounds what is broadcast.
+    """
+    large = F.col("n") >= keyed.count() / (3 * LARGE_GROUPS)
+    hot = staged(starts.filter("start = 0").filter(large).select("key", F.lit(SALTS).alias("salts")), "large")
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("salts"))).cast("int")
+    return keyed.join(F.broadcast(hot), "key", "left").withColumn("salt", salt).drop("salts"), hot
+
+
+def _bins(keyed: DataFrame, hot: DataFrame, now: DataFrame, *by: str) -> DataFrame:
     """Counts, sums and products of every group's rows by their distance from its estimate, combined in the map tasks."""
-    binned = keyed.join(now.select("key", *by, "centre", "whiten"), "key")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+    spread = now.select("key", *by, "centre", "whiten").join(F.broadcast(hot), "key", "left").select("key", *by, "centre", "whiten", salts)
+    binned = keyed.join(spread, ["key", "salt"])
     binned = binned.withColumn("bin", F.floor(F.log(F.greatest(_distance2(), F.lit(1e-6))) * _BINS))
     return binned.groupBy("key", *by, "bin").agg(F.count("*").alias("n"), F.array(*map(F.sum, _products())).alias("sums"))
 
@@ -260,8 +276,8 @@ def _starts(keyed: DataFrame) -> DataFrame:
                 robust = np.square((q[:, 2] - q[:, 0]) / 1.349)
                 plain = np.diag(_square(sums[_P:]) - np.outer(sums[:_P], sums[:_P]))
                 for start, (centre, spread) in enumerate(((q[:, 1], robust), (sums[:_P], np.maximum(plain, 0)))):
-                    out.append((row.key, start, error.tolist(), centre.tolist(), _whitener(np.diag(spread + error)), math.inf, False))
-            yield pd.DataFrame(out, columns=["key", "start", "error", "centre", "whiten", "logdet", "settled"])
+                    out.append((row.key, row.n, start, error.tolist(), centre.tolist(), _whitener(np.diag(spread + error)), math.inf, False))
+            yield pd.DataFrame(out, columns=["key", "n", "start", "error", "centre", "whiten", "logdet", "settled"])
 
     return summed.mapInPandas(run, _STATE)
 
@@ -278,17 +294,18 @@ def estimates(rows: DataFrame, part: float = PART, prior_rows: float = PRIOR_ROW
     keys = F.explode(F.array(*(_level(F.col("lang"), F.col("source"), k) for k in range(3)))).alias("key")
     keyed = rows.select("v", "e", keys)
     now = staged(_starts(keyed), "starts")
+    keyed, hot = _salted(keyed, now)
     for _ in range(MOST_STEPS):
         moving = now.filter("NOT settled")
         if moving.isEmpty():
             break
-        sums = _bins(keyed, moving.withColumnRenamed("start", "of_start"), "of_start")
+        sums = _bins(keyed, hot, moving.withColumnRenamed("start", "of_start"), "of_start")
         paired = sums.groupBy("key", "of_start").cogroup(now.groupBy("key", "start"))
         now = staged(paired.applyInPandas(_step(part), _STATE), "estimates")
     else:
         raise RuntimeError(f"estimates did not settle within {MOST_STEPS} steps")
     best = now.groupBy("key").agg(F.min_by(F.struct("centre", "whiten"), F.struct("logdet", "start")).alias("b")).select("key", "b.*")
-    found = staged(_bins(keyed, best).groupBy("key").applyInPandas(_reweighted, _ESTIMATE), "reweighted")
+    found = staged(_bins(keyed, hot, best).groupBy("key").applyInPandas(_reweighted, _ESTIMATE), "reweighted")
     groups = rows.select("lang", "source").distinct()
     groups = groups.select(*(_level(F.col("lang"), F.col("source"), k).alias(f"k{k}") for k in range(3)))
     for k in range(3):
