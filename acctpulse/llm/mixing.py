@@ -73,7 +73,11 @@ def mix(
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, in the columns of ``docs``."""
+    """The mix itself: every document as often as it is taken, in the columns of ``docs``, under any names.
+
+    Null and empty texts are never taken; null ids and sources, repeated rows and rows that share an id are treated as ``mix``
+    does, each for itself. No rows give no rows.
+    """
     plan = _Mix(docs, **options)
     own = docs.select(F.struct(*map(F.col, _quoted(docs))).alias("row"), "doc_id", "source", "text")
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
