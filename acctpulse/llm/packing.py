@@ -15,7 +15,8 @@ from acctpulse.llm.tokens import END, encoder
 
 WINDOW = 2048
 TOKENIZER = "byte_bpe_50k.json"
-ROW_FLUSH = 20_000
+# Rows, and bytes of ids, of a batch that goes out.
+ROW_FLUSH, BYTE_FLUSH = 20_000, 1 << 22
 _NEVER = np.iinfo(np.int64).max
 _FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -106,19 +107,24 @@ def _take(window: list, n: int) -> list:
 
 def _pack_partition(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, with_ids: bool, schema: pa.Schema):
     encode, levels, rows = encoder(tokenizer).encode, Levels(size), []
-    base, made = TaskContext.get().partitionId() << 32, 0
+    base, made, held = TaskContext.get().partitionId() << 32, 0, 0
 
     def add(window: list) -> None:
-        nonlocal made
+        nonlocal made, held
         offset = 0
         for (doc_id, tokens), start, ids in window:
             n = len(ids) // 4
             row = [doc_id, start, n, zlib.crc32(ids), tokens, base + made, offset]
             rows.append((*row, ids) if with_ids else row)
+            held += len(ids) * with_ids
             offset += n
         made += 1
 
+    def due() -> bool:
+        return len(rows) >= ROW_FLUSH or held >= BYTE_FLUSH
+
     def flush() -> pa.RecordBatch:
+        nonlocal held
         columns = list(zip(*rows)) or [()] * len(schema)
         arrays = [pa.array(c, f.type) for c, f in zip(columns, schema) if f.name != "ids"]
         if with_ids:
@@ -126,6 +132,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int
             ends = np.cumsum([0, *(len(x) // 4 for x in columns[-1])], dtype=np.int32)
             arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
         rows.clear()
+        held = 0
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     for batch in batches:
@@ -135,15 +142,17 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int
             while total - at >= size:
                 add([(doc, at, ids[4 * at : 4 * (at + size)])])
                 at += size
+                if due():
+                    yield flush()
             if at < total:
                 full = levels.place((doc, at, ids[4 * at :]), total - at)
                 if full:
                     add(full)
-            if len(rows) >= ROW_FLUSH:
+            if due():
                 yield flush()
     for window in close(levels.rest(), size):
         add(window)
-        if len(rows) >= ROW_FLUSH:
+        if due():
             yield flush()
     yield flush()
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +22,8 @@ _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 END_ID = 1
 BLOCK_CHARS = 1 << 20
-CACHE_CHUNKS = 800_000
+# For each worker: entries of a generation of the cache, and bytes of what is in them (long words).
+CACHE_CHUNKS, CACHE_BYTES = 400_000, 1 << 25
 # A word of Latin letters, after a line end or not, with ASCII marks behind it: the patterns cut at both places.
 _EASY = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 # The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on.
@@ -40,10 +41,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=64)
+def _packer(n: int) -> Callable[..., bytes]:
+    return struct.Struct(f"<{n}I").pack
+
+
 class Encoder:
     """``encode(text)`` gives a text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, name: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, name: str, cache_chunks: int = CACHE_CHUNKS, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,11 +59,13 @@ class Encoder:
         # Whether normalising a word of Latin letters is nothing but lower case.
         latin = "".join(c for c in map(chr, range(0x250)) if _EASY.fullmatch(c))
         self.lower = self.normalizer is not None and self.normalizer.normalize_str(latin) == latin.lower()
-        self.cache_chunks = cache_chunks
+        self.cache_chunks, self.cache_bytes = cache_chunks, cache_bytes
         # Two generations: what has not been asked for since the last change is forgotten at the next.
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        # Bytes of the texts and ids in ``pieces`` and in ``chunks``.
+        self.pieces_held = self.chunks_held = 0
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -65,28 +73,38 @@ class Encoder:
 
     def _chunk(self, text: str) -> bytes:
         if text not in self.chunks:
-            if len(self.chunks) > self.cache_chunks:
-                self.chunks.clear()
-            self.chunks[text] = self._direct([text])[0]
+            self._forget_chunks()
+            self._add_chunks([text])
         return self.chunks[text]
 
+    def _add_chunks(self, texts: list[str]) -> None:
+        ids = self._direct(texts)
+        self.chunks.update(zip(texts, ids))
+        self.chunks_held += sum(map(len, texts)) + sum(map(len, ids))
+
+    def _forget_chunks(self) -> None:
+        """Empty ``chunks`` if it has grown too large."""
+        if len(self.chunks) > self.cache_chunks or self.chunks_held > self.cache_bytes:
+            self.chunks.clear()
+            self.chunks_held = 0
+
     def _word(self, word: str) -> bytes:
         """Ids of letters after at most one space: a single unit for either tokenizer's pattern."""
         if self.normalizer is not None:
             word = (word.lower() if self.lower else self.normalizer.normalize_str(word)).strip(" ")
         shown = word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
         ids = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packer(len(ids))(*ids)
 
     def _learn(self, pieces: set[str]) -> bool:
         """Add the pieces not known yet; False if one of them does not end in a word."""
-        if len(self.pieces) > self.cache_chunks:
-            self.old, self.pieces = self.pieces, {}
+        if len(self.pieces) > self.cache_chunks or self.pieces_held > self.cache_bytes:
+            self.old, self.pieces, self.pieces_held = self.pieces, {}, 0
         hard = []
         new = [p for p in pieces if p not in self.pieces]
+        if any(not p or p[-1].isspace() for p in new):
+            return False
         for piece in new:
-            if not piece or piece[-1].isspace():
-                return False
             if piece in self.old:
                 self.pieces[piece] = self.old[piece]
             elif parts := _EASY.fullmatch(piece):
@@ -103,6 +121,8 @@ class Encoder:
                 hard.append(piece)
         chunks = [p if p[0] == "\n" else " " + p for p in hard]
         self.pieces.update(zip(hard, self._direct(chunks)))
+        # A word kept beside a piece is no longer than the piece.
+        self.pieces_held += sum(map(len, new)) + sum(map(len, map(self.pieces.__getitem__, new)))
         return True
 
     def _block(self, text: str) -> bytes:
@@ -123,11 +143,8 @@ class Encoder:
     def _careful(self, text: str) -> bytes:
         """Any white space, chunk by chunk."""
         chunks = _CHUNK.findall(text)
-        new = list({c for c in chunks if c not in self.chunks})
-        if len(self.chunks) > self.cache_chunks:
-            self.chunks.clear()
-            new = list(set(chunks))
-        self.chunks.update(zip(new, self._direct(new)))
+        self._forget_chunks()
+        self._add_chunks(list({c for c in chunks if c not in self.chunks}))
         return b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, text: str | None) -> bytes:

@@ -3,8 +3,10 @@
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -42,6 +44,35 @@ def test_blocks_join_to_the_text_and_keep_ids():
     assert b"".join(map(own.encode, parts)) == own.encode(text)
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_cache_of_long_words_stays_small(name):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=3000)) for _ in range(5)) for _ in range(30)]
+    texts += [t.replace(" ", "\t ") for t in texts[:15]]
+    own = Encoder(name, cache_bytes=100_000)
+    for text, ids in zip(texts, plain(name, texts)):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids[:-1]
+        for cache in (own.pieces, own.old, own.chunks):
+            assert sum(len(k) + len(v) for k, v in cache.items()) < 300_000
+
+
+def test_packed_batches_hold_few_ids(monkeypatch):
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    ints, ids = pa.int64(), pa.list_(pa.int32())
+    schema = pa.schema([(c, ids if c == "ids" else ints) for c in [*packing._FIELDS, "ids"]])
+    # Two documents of many windows, then many short ones.
+    texts = ["the quick fox " * 500_000] * 2 + ["a naïve fox " * 300] * 1500
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), ints), pa.array(texts)], names=["doc_id", "text"])
+    got = list(packing._pack_partition(iter([given]), NAMES[0], 2048, True, schema))
+    assert max(len(b.column("ids").flatten()) * 4 for b in got) <= (1 << 22) + 4 * 2048
+    tokens = defaultdict(int)
+    for b in got:
+        for d, n in zip(b.column("doc_id").to_pylist(), b.column("length").to_pylist()):
+            tokens[d] += n
+    want = {t: len(Encoder(NAMES[0]).encode(t)) // 4 + 1 for t in set(texts)}
+    assert tokens == {d: want[t] for d, t in enumerate(texts)}
+
+
 def check_sequences(pieces, docs, name, size):
     """Pieces tile every document, sequences are gapless and need no padding."""
     ids_of = {d: ids for (d, _), ids in zip(docs, plain(name, [t for _, t in docs]))}
