@@ -46,6 +46,16 @@ def _packer(n: int) -> Callable[..., bytes]:
     return struct.Struct(f"<{n}I").pack
 
 
+class _Pieces(dict):
+    """Ids by piece. One that is not there is learned on the way, so a text is gone through once."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.learn(piece)
+
+
 class Encoder:
     """``encode(text)`` gives a text's ids as little-endian unsigned 32-bit integers."""
 
@@ -61,7 +71,7 @@ class Encoder:
         self.lower = self.normalizer is not None and self.normalizer.normalize_str(latin) == latin.lower()
         self.cache_chunks, self.cache_bytes = cache_chunks, cache_bytes
         # Two generations: what has not been asked for since the last change is forgotten at the next.
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = _Pieces(self._learn)
         self.old: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         # Bytes of the texts and ids in ``pieces`` and in ``chunks``.
@@ -96,18 +106,13 @@ class Encoder:
         ids = [t.id for t in self.model.tokenize(shown)]
         return _packer(len(ids))(*ids)
 
-    def _learn(self, pieces: set[str]) -> bool:
-        """Add the pieces not known yet; False if one of them does not end in a word."""
-        if len(self.pieces) > self.cache_chunks or self.pieces_held > self.cache_bytes:
-            self.old, self.pieces, self.pieces_held = self.pieces, {}, 0
-        hard = []
-        new = [p for p in pieces if p not in self.pieces]
-        if any(not p or p[-1].isspace() for p in new):
-            return False
-        for piece in new:
-            if piece in self.old:
-                self.pieces[piece] = self.old[piece]
-            elif parts := _EASY.fullmatch(piece):
+    def _learn(self, piece: str) -> bytes:
+        """Ids of a piece not known yet; KeyError if it does not end in a word."""
+        if not piece or piece[-1].isspace():
+            raise KeyError(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            if parts := _EASY.fullmatch(piece):
                 line, word, marks = parts.groups()
                 if self.lower:
                     word = word.lower()
@@ -116,14 +121,14 @@ class Encoder:
                 else:  # a normalised word has the same ids after any white space
                     ids = self.pieces.get(word) or self.old.get(word) or self._word(" " + word)
                     self.pieces[word] = ids
-                self.pieces[piece] = ids + self._chunk(marks) if marks else ids
+                if marks:
+                    ids += self._chunk(marks)
             else:
-                hard.append(piece)
-        chunks = [p if p[0] == "\n" else " " + p for p in hard]
-        self.pieces.update(zip(hard, self._direct(chunks)))
+                ids = self._direct([piece if piece[0] == "\n" else " " + piece])[0]
+        self.pieces[piece] = ids
         # A word kept beside a piece is no longer than the piece.
-        self.pieces_held += sum(map(len, new)) + sum(map(len, map(self.pieces.__getitem__, new)))
-        return True
+        self.pieces_held += len(piece) + len(ids)
+        return ids
 
     def _block(self, text: str) -> bytes:
         body = text.rstrip(SPACE)
@@ -132,12 +137,12 @@ class Encoder:
         first, *pieces = body.replace("\n", " \n").split(" ")
         if first and first[-1].isspace():
             return self._careful(body) + tail
+        if len(self.pieces) > self.cache_chunks or self.pieces_held > self.cache_bytes:
+            self.old, self.pieces, self.pieces_held = self.pieces, _Pieces(self._learn), 0
         try:
             rest = b"".join(map(self.pieces.__getitem__, pieces))
         except KeyError:
-            if not self._learn(set(pieces)):
-                return self._careful(body) + tail
-            rest = b"".join(map(self.pieces.__getitem__, pieces))
+            return self._careful(body) + tail
         return (self._chunk(first) if first else b"") + rest + tail
 
     def _careful(self, text: str) -> bytes:
