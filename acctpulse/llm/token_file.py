@@ -145,16 +145,16 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str = TOKENIZER) ->
               "n_docs": pa.int64(), "n_tokens": pa.int64(), "bytes": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, tokens = encoder(tokenizer).encode, None, 0
+        encode, writer, tokens = encoder(tokenizer).encode_many, None, 0
         number = TaskContext.get().partitionId()
         path = f"{root}/part-{number:06d}-{uuid.uuid4().hex}.zst"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
+            for doc_id, ids in zip(batch.column(0), encode(text.as_py() for text in batch.column(1))):
                 if writer is None:
                     place, name = pafs.FileSystem.from_uri(path)
                     place.create_dir(name.rpartition("/")[0], recursive=True)
                     writer = Writer(place.open_output_stream(name, compression=None))
-                ids = encode(text.as_py()) + END
+                ids += END
                 tokens += len(ids) // 4
                 writer.add(doc_id.as_py(), ids)
         if writer is not None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from acctpulse.llm import packing, token_file
+from acctpulse.llm import packing, token_file, tokens
 from acctpulse.llm.tokens import SPACE, Encoder, blocks, tokenizer_path
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
@@ -36,6 +36,36 @@ def test_chunks_give_the_ids_of_the_whole_text(name):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == ids[:-1], repr(text)
 
 
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("most", [100, 1 << 22])
+def test_groups_give_the_ids_of_the_whole_texts(name, most, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP_CHARS", most)
+    rng = random.Random(8)
+    marks = [*SPACE, *" \n    ", "Word", "WORD", "don't", "rock'n'", "'s'", "naïve", "Ǆ", "and,", "x.»", "»,", "J̌", "H̱", "T̈", "\u030c", "İ", "\x1c", "İ,", "́", ".", "1.", "23", "²!", "!?!", "Σ", "ΣΑΣ.", "漢,", "<|endoftext|>"]
+    texts = [*EDGE, *("".join(rng.choice(marks) for _ in range(rng.randrange(60))) for _ in range(1500)), "many Words, " * 3000, "", None]
+    own = Encoder(name, cache_chunks=50)
+    got = list(own.encode_many(iter(texts)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids[:-1] for ids in plain(name, texts)]
+    assert list(own.encode_many([])) == [] and list(own.encode_many(["", None])) == [b"", b""]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_words_whose_lower_case_has_a_mark(name):
+    texts = ["x İ", "x İSTANBUL, x", "İ İ.\nİx"]
+    own = Encoder(name)
+    want = [ids[:-1] for ids in plain(name, texts)]
+    assert [np.frombuffer(own.encode(t), "<u4").tolist() for t in texts] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(texts)] == want
+
+
+def test_a_word_of_many_texts_is_looked_up_once(monkeypatch):
+    own, looked_up = Encoder(NAMES[1]), []
+    monkeypatch.setattr(own, "_ids", lambda piece: looked_up.append(piece) or Encoder._ids(own, piece))
+    texts = ["The fox, the naive fox\nand THE fox."] * 500
+    assert list(own.encode_many(texts)) == [own.encode(texts[0])] * 500
+    assert sorted(looked_up) == ["and", "fox", "fox,", "fox.", "naive", "the"]
+
+
 def test_blocks_join_to_the_text_and_keep_ids():
     text = "word another\n\n x  " * 400
     parts = list(blocks(text, 50))
